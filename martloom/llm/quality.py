@@ -60,13 +60,9 @@ def line_key(line: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """A row for each document: the base measures, and its lines that have words as (key, words), each key once, with the words of all its lines."""
+    """A row for each document: the base measures, and its lines that have words as (k: key, n: words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-
-    def summed(keyed: Column) -> Column:
-        return F.transform(F.array_distinct(F.transform(keyed, lambda x: x["k"])), lambda k: F.struct(k.alias("k"), F.aggregate(F.filter(keyed, lambda x: x["k"] == k), F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n")))
-
+    lines = F.filter(F.split(F.col("t"), "\n", -1), lambda x: x.rlike(WORD))
     d = docs.select("doc_id", F.col("source").alias("host"), text.alias("t"))
     d = d.select(
         "doc_id",
