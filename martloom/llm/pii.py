@@ -119,7 +119,11 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def joined(kinds: dict[str, list[str]]) -> Column:
     """kind:start:end of all spans, by kind and then start."""
-    parts = [F.transform(F.sort_array(F.concat(*[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for c in cols])), lambda x, k=kind: F.concat_ws(":", F.lit(k), x["start"].cast("string"), x["end"].cast("string"))) for kind, cols in kinds.items()]
+    def said(kind: str, cols: list[str]) -> Column:
+        both = F.sort_array(F.concat(*[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for c in cols]))
+        return F.transform(both, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
+
+    parts = [said(kind, cols) for kind, cols in kinds.items()]
     return F.array_join(F.concat(*parts), ",")
 
 
