@@ -77,7 +77,7 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     Base spans (e-mail, ip, card with Luhn, phone with + and 8 to 15 digits) always stay.
     Added: IBANs (0.9 if mod 97 holds, else 0.2), cards of 12 to 15 digits (0.4 with Luhn) and
     numbers of 8 to 15 digits without + as phones (0.3); a context word within 40
-    characters adds 0.3; spans of the threshold or more stay if no base span overlaps them.
+    characters adds 0.3; spans of the threshold or more stay if no base span and no added span of a surer kind (card, iban, phone) overlaps them.
 
     A null text is empty and has no spans; rows that share a doc_id stay rows of their
     own; an empty table gives no rows; other columns are ignored.
@@ -113,8 +113,10 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         "iban": scored("iban", lambda x: F.when(mod97(x["s"]), F.lit(0.9)).otherwise(F.lit(0.2)) + bonus(x, "iban")),
     }
     d = d.select("doc_id", *[v.alias(f"base_{k}") for k, v in base.items()], *[F.filter(v, lambda x: x["score"] >= threshold).alias(f"more_{k}") for k, v in more.items()])
-    taken = F.concat(*[F.col(f"base_{k}") for k in base])
-    return d.select("doc_id", *[f"base_{k}" for k in base], *[F.filter(f"more_{k}", lambda x: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))).alias(f"more_{k}") for k in more])
+    for k in ("card", "iban", "phone"):  # an added span gives way to base spans and to added ones of the kinds before
+        taken = F.concat(*[F.col(f"base_{b}") for b in base], *{"card": [], "iban": [F.col("more_card")], "phone": [F.col("more_card"), F.col("more_iban")]}[k])
+        d = d.withColumn(f"more_{k}", F.filter(f"more_{k}", lambda x: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))  # noqa: B023
+    return d.select("doc_id", *[f"base_{k}" for k in base], *[f"more_{k}" for k in more])
 
 
 def joined(kinds: dict[str, list[str]]) -> Column:
