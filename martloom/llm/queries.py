@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from martloom.llm import mixing, pii, quality, urls
+from martloom.llm import decontam, lm, mixing, neardup, pii, quality, substring, tokens, toxicity, urls
 
 QUERIES = {
+    "op1_decontamination": decontam.query,
     "op2_mixing": mixing.query,
     "op3_url_filter": urls.query,
+    "op4_substring_dedup": substring.query,
     "op5_pii": pii.query,
+    "op6_tokens": tokens.query,
+    "op7_toxicity": toxicity.query,
+    "op8_lm_scoring": lm.query,
     "op9_quality": quality.query,
+    "op10_near_duplicates": neardup.query,
 }
 SQL = {
+    "op1_decontamination": decontam.SQL,
     "op2_mixing": mixing.SQL,
     "op3_url_filter": urls.SQL,
+    "op4_substring_dedup": substring.SQL,
     "op9_quality": quality.SQL,
 }
