@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from martloom.llm.common import materialize, slices, table
 
 BUCKETS = 1 << 20
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7)
 TOKEN = re.compile(r"\w+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 SAMPLE_DOCS = 8000
@@ -27,7 +27,7 @@ CACHE = 400_000
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word and its first 4, 5 and 6 letters; bucket 0 stands for those it hasn't."""
+    """Buckets of a word and its first letters; bucket 0 stands for those it hasn't."""
     known = [xxhash.xxh32_intdigest(f"{k}^{word[:k]}") % (BUCKETS - 1) + 1 if len(word) > k else 0 for k in PREFIXES]
     return [xxhash.xxh32_intdigest("=" + word) % (BUCKETS - 1) + 1, *known]
 
@@ -70,7 +70,7 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def train(rows: list[tuple[int, bytes, bytes]], rounds: int = 120, rate: float = 0.15, decay: float = 2e-4) -> tuple[np.ndarray, float, float]:
+def train(rows: list[tuple[int, bytes, bytes]], rounds: int = 140, rate: float = 0.15, decay: float = 0.05) -> tuple[np.ndarray, float, float]:
     """Weights, bias and background that fit the labels best, by Adam over all rows. Without rows of both kinds: no weights, and the labels' share as background."""
     y = np.array([r[0] for r in rows], np.float64)
     weights = np.zeros(BUCKETS, np.float32)
