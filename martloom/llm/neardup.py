@@ -14,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martloom.llm.common import ALNUM, Words, grams, materialize, mix, signed, slices, table
 
-K = 128
-ROWS = 5
-BANDS = K // ROWS
+K = 160
+ROWS, BANDS = 5, 24
+TIGHT_ROWS, TIGHT_BANDS = 8, 20
+#: Members of a bucket that are compared with its queries in one piece.
+BLOCK = 512
 SHINGLE = 5
 GOLD = 0x9E3779B97F4A7C15
 
@@ -90,6 +92,13 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return rows[first], g[first], np.diff(np.append(first, len(g)))
 
 
+def banded(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """Hashes of groups of coordinates."""
+    factor = np.array([pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) for i in range(rows)], np.uint64)
+    sums = (sig[:, : bands * rows].astype(np.uint64).reshape(len(sig), bands, rows) * factor).sum(2, dtype=np.uint64)
+    return signed(mix(sums + (np.arange(bands, dtype=np.uint64) + np.uint64(rows << 16)) * np.uint64(GOLD)))
+
+
 def sketch(weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=1 << 20):
@@ -104,9 +113,7 @@ def sketch(weighted: bool):
                 ends = np.cumsum(n)
                 sets.append(signed(sums[ends] - sums[ends - n]))
             sig = signatures(rows, g, weights, total)
-            factor = np.array([pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) for i in range(ROWS)], np.uint64)
-            bands = (sig[:, : BANDS * ROWS].reshape(total, BANDS, ROWS) * factor).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(GOLD)
-            bands = signed(mix(bands))
+            bands = banded(sig, ROWS, BANDS)
             short = (sig & np.uint64(0xFFFFFFFF)).astype("<u4")
             lists = [bands[i].tolist() if n[i] else [] for i in range(total)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sets[0]), pa.array(sets[1]), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "set1", "set2", "sig", "bands"])
@@ -182,55 +189,84 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """Verified links (a, b) between documents of different shingle sets.
+def tight_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, K)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("comp"), pa.array(banded(sig, TIGHT_ROWS, TIGHT_BANDS).tolist(), pa.list_(pa.int64()))], ["doc_id", "comp", "bands"])
+
+
+def compared(limit: float):
+    """Pairs of a query and a member of other parts, in one block of a bucket, whose signatures agree at limit or more. Blocks come one after the other."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        ids, comp, query = (t.column(c).to_numpy() for c in ("doc_id", "comp", "query"))
+        keys = np.stack([t.column("band").to_numpy(), t.column("block").to_numpy()])
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, K)
+        edges = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))), len(ids)).tolist()
+        out = [np.zeros((0, 2), np.int64)]
+        for a, z in zip(edges, edges[1:], strict=False):
+            q, m = a + np.flatnonzero(query[a:z]), a + np.flatnonzero(~query[a:z])
+            for some in np.array_split(q, -(-len(q) // 64) or 1):
+                x, y = np.nonzero(((sig[some][:, None] == sig[m][None]).mean(2) >= limit) & (comp[some][:, None] != comp[m][None]))
+                out.append(np.sort(np.stack([ids[some[x]], ids[m[y]]], 1), 1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, t]) if held is not None else t
+            band, block = held.column("band").to_numpy(), held.column("block").to_numpy()
+            whole = np.flatnonzero((band != band[-1]) | (block != block[-1])) if len(band) else []
+            if len(whole) and held.num_rows > 4 * BLOCK:
+                yield found(held.slice(0, int(whole[-1]) + 1))
+                held = held.slice(int(whole[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield found(held)
+
+    return run
 
-    Documents that share a band form a bucket. Its hub is the member whose bands meet most
-    others, as the original of edited copies does; each member is tested against the hub.
-    Members that fail form the bucket's next round, with four times as many hubs, until
-    no bucket has two left. So a bucket of n alike members takes n tests, and only members
-    that fail against all hubs are tested against each other.
+
+def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """Verified links (a, b), a > b, that join all documents of a near-duplicate class.
+
+    Documents that share a band of five coordinates form a bucket. Its hub is the member
+    whose bands meet most others, as the original of edited copies does, and each member is
+    tested against it: n tests for n members. Buckets that stay in more than one part are
+    looked at again by bands of eight: members outside a bucket's largest part are compared
+    with all others, in blocks of signatures, and only likely pairs of different parts leave
+    a block. Links inside a part that is already joined aren't looked for.
     """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = materialize(sketches.select("doc_id", F.explode("bands").alias("band")).distinct())
     shared = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = members.join(shared, "band")
     centre = members.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("size").alias("rank"))
-    left = materialize(members.join(centre, F.col("doc_id") == F.col("_id")).select("band", "doc_id", "rank"))
-    found, hubs, tested = None, 1, None
-    while True:
-        best = top_members(left, hubs)
-        met = left.join(best, F.col("band") == F.col("_band")).select("band", "doc_id", "rank", F.explode("hs").alias("h"))
-        met = met.filter(F.struct((-F.col("rank")).alias("r"), F.col("doc_id").alias("d")) > F.col("h")).select("band", "doc_id", "rank", F.col("h.d").alias("hub"))
-        met = materialize(met)
-        pairs = met.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if not pairs.limit(1).count():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        held = verified(pairs, sketches, docs, threshold, weighted)
-        found = held if found is None else found.unionByName(held)
-        ok = found.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        linked = met.join(ok, (F.greatest("doc_id", "hub") == F.col("_a")) & (F.least("doc_id", "hub") == F.col("_b"))).select("band", "doc_id").distinct()
-        is_hub = best.select(F.col("_band").alias("band"), F.explode("hs.d").alias("doc_id"))
-        rest = left.join(linked, ["band", "doc_id"], "left_anti").join(is_hub, ["band", "doc_id"], "left_anti")
-        more = rest.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("band").alias("_band"))
-        left = materialize(rest.join(more, F.col("band") == F.col("_band"), "left_semi"))
-        if not left.limit(1).count():
-            break
-        hubs *= 4
-    return found if found is not None else docs.sparkSession.createDataFrame([], "a long, b long")
-
-
-def top_members(left: DataFrame, hubs: int) -> DataFrame:
-    """The members of each bucket whose bands meet most others, as (-rank, doc_id) in hs. One is found without sorting the bucket."""
-    member = F.struct((-F.col("rank")).alias("r"), F.col("doc_id").alias("d"))
-    if hubs == 1:
-        return left.groupBy(F.col("band").alias("_band")).agg(F.array(F.min(member)).alias("hs"))
-    nth = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("rank"), "doc_id"))
-    top = left.withColumn("nth", nth).filter(F.col("nth") <= hubs)
-    return top.groupBy(F.col("band").alias("_band")).agg(F.collect_list(member).alias("hs"))
+    members = materialize(members.join(centre, F.col("doc_id") == F.col("_id")).select("band", "doc_id", "rank"))
+    hubs = members.groupBy(F.col("band").alias("_band")).agg(F.min(F.struct((-F.col("rank")).alias("r"), F.col("doc_id").alias("d"))).alias("h"))
+    met = materialize(members.join(hubs, F.col("band") == F.col("_band")).select("band", "doc_id", F.col("h.d").alias("hub")))
+    pairs = materialize(met.filter("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct())
+    first = verified(pairs, sketches, docs, threshold, weighted)
+    labels = components(first)
+    comp = lambda name: labels.select(F.col("node").alias(f"_{name}"), F.col("label").alias(f"{name}_label"))
+    parts = met.join(comp("d"), F.col("doc_id") == F.col("_d"), "left").join(comp("h"), F.col("hub") == F.col("_h"), "left")
+    parts = materialize(parts.select("band", "doc_id", F.coalesce("d_label", "doc_id").alias("comp"), (F.coalesce("d_label", "doc_id") != F.coalesce("h_label", "hub")).alias("apart")))
+    torn = parts.filter("apart").select(F.col("band").alias("_band")).distinct()
+    again = parts.join(torn, F.col("band") == F.col("_band"), "left_semi").groupBy("doc_id").agg(F.min("comp").alias("comp"))
+    own = sketches.select(F.col("doc_id").alias("_id"), "sig")
+    again = again.join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "comp", "sig")
+    tight = materialize(again.mapInArrow(tight_bands, "doc_id long, comp long, bands array<long>").select("doc_id", "comp", F.explode("bands").alias("band")))
+    sizes = tight.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy(F.col("band").alias("_b")).agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).filter("comps > 1")
+    mixed = tight.join(sizes, F.col("band") == F.col("_b")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    home = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query")))
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("query")))
+    dealt = mixed.select("band", "doc_id", "comp", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(home, everywhere)).otherwise(home)).alias("x"))
+    dealt = dealt.join(own, F.col("doc_id") == F.col("_id")).select("band", F.col("x.block").alias("block"), F.col("x.query").alias("query"), "doc_id", "comp", "sig")
+    limit = threshold - 4 * (threshold * (1 - threshold) / K) ** 0.5
+    likely = dealt.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(compared(limit), "a long, b long")
+    second = verified(materialize(likely.distinct()), sketches, docs, threshold, weighted)
+    return first.unionByName(second).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
@@ -238,7 +274,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) ->
 
     Classes are the connected parts of links of threshold or more in Jaccard similarity of
     five-word shingles: sets, or with weighted bags. Documents of one shingle set are one
-    node, so copies cost one comparison; n_links counts a node's verified links.
+    node, so copies cost one comparison; n_links counts the links found for a node, enough to join its class.
 
     Null and empty texts, and texts without a word, are classes of their own. Rows that
     share a doc_id are one document, with the shingles of one of them. A null doc_id is
