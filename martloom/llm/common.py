@@ -28,7 +28,7 @@ LOWER[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C55
 GRAM = 0xC2B2AE3D27D4EB4F
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
