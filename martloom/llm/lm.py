@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from martloom.llm.common import SPACED, Words, materialize, mix, slices, table
 
-CHUNK_TOKENS = 4_500_000
+CHUNK_TOKENS = 2_500_000
 END = np.uint64(0xE4D0)
 BOS_ID, UNK_ID, FIRST_ID = 0, 1, 2
 HOT = 4096
