@@ -77,6 +77,11 @@ FIXTURES = {
           event_id % (SELECT count(*) FROM {part}) + 1 AS product_key, user_id % 5 + 1 AS source_key, (user_id + 1) % 5 + 1 AS destination_key,
           cast(cast(regexp_replace(props, '[^0-9]', '', 'g') AS int) AS decimal(18,4)) AS quantity, event_id % 97 = 0 AS is_deleted
         FROM {events} WHERE event_type = 'view'""",
+    "opening_report": """
+        SELECT p_partkey + 2 AS row_number, concat('  ', upper(p_name), '  ') AS item, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE concat('ref-', cast(p_partkey AS string)) END AS reference,
+          cast((p_partkey * 37) % 60 - 5 AS decimal(18,4)) AS quantity,
+          CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE cast(cast(p_retailprice AS decimal(18,2)) * 0.60 AS decimal(18,2)) END AS average_cost
+        FROM {part}""",
 }
 #: A global flag only the checking engine's regexp_replace needs.
 SPARK_TEXT = {", 'g')": ")"}
