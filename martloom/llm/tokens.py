@@ -7,12 +7,14 @@ one length for each id; lengths are at most 16, so one table of 65,536 places de
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from martloom.llm.common import materialize, slices, table
 LIMIT = 16
 STEP = 256
 END_ID = 2
-CACHE = 400_000
+CACHE = 300_000
 #: White space of Unicode. The byte-level splitter cuts wherever this pattern does, and further.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -37,44 +39,60 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Numbers(dict):
+    """Numbers pieces as they first come."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Ids of texts. The library encodes each different piece once; a text's ids are those of its pieces, one after the other."""
+    """Ids of texts. The library encodes each different piece once; a text's ids are those of its pieces, one after the other.
 
-    def __init__(self, path: str) -> None:
+    When more than CACHE pieces are kept, those that came only once so far are forgotten.
+    """
+
+    def __init__(self, path: str, cache: int = CACHE) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = regex.compile(PIECE).findall if str(self.tokenizer.pre_tokenizer).startswith("ByteLevel") else lambda t: [t] if t else []
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.cut = re.compile(PIECE).findall if str(self.tokenizer.pre_tokenizer).startswith("ByteLevel") else lambda t: [t] if t else []
+        self.cache = cache
+        self.number = Numbers()
+        self.flat, self.starts, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        keep = np.flatnonzero(self.seen > 1) if (self.seen > 1).sum() <= self.cache // 2 else np.zeros(0, np.int64)
+        kept = np.zeros(len(self.seen), bool)
+        kept[keep] = True
+        self.number = Numbers((piece, i) for i, piece in enumerate(x for x, k in zip(self.number, kept.tolist(), strict=True) if k))
+        lens = np.diff(self.starts)[keep]
+        self.flat = self.flat[np.repeat(kept, np.diff(self.starts))]
+        self.starts = np.concatenate([[0], np.cumsum(lens)])
+        self.seen = np.ones(len(keep), np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each text's."""
-        if len(self.number) > CACHE:
-            self.clear()
+        if len(self.number) > self.cache:
+            self.forget()
         pieces = [self.cut(t) for t in texts]
-        number, new = self.number, []
-        for p in pieces:
-            new += [x for x in p if x not in number]
-        if new:
-            new = list(dict.fromkeys(new))
-            for x in new:
-                number[x] = len(number)
+        sizes = list(map(len, pieces))
+        before = len(self.number)
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, sum(sizes))
+        if len(self.number) > before:
+            new = list(islice(self.number, before, None))
             got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             lens = np.fromiter(map(len, got), np.int64, len(got))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))])
-        which = np.fromiter((number[x] for p in pieces for x in p), np.int64, sum(map(len, pieces)))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))])
+        self.seen = np.bincount(which, minlength=len(self.number)) + np.pad(self.seen, (0, len(self.number) - len(self.seen)))
         lens = self.starts[which + 1] - self.starts[which]
         ends = np.cumsum(lens)
         ids = self.flat[np.repeat(self.starts[which] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        owner = np.repeat(np.arange(len(texts)), list(map(len, pieces)))
+        owner = np.repeat(np.arange(len(texts)), sizes)
         return ids, np.bincount(owner, lens, len(texts)).astype(np.int64)
 
 
@@ -105,11 +123,11 @@ def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each id occurs in a task's rows."""
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for raw, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-            got = np.bincount(ids_of(raw, n))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
+        rows = zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)
+        got = np.bincount(np.concatenate([ids_of(raw, n) for raw, n in rows])) if batch.num_rows else total[:0]
+        if len(got) > len(total):
+            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+        total[: len(got)] += got
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
 
