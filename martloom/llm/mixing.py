@@ -27,9 +27,10 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     Clamping the sources above their cap and sharing what is left by weight, again and
     again, ends where the level (target per weight) of the unclamped ones is below the
     cap per weight of each of them. Ordered by cap per weight, the clamped sources are
-    the first ones, so running sums give the level for each number of clamped sources;
-    the last source at which the level still reaches its cap is the last clamped one.
-    The window holds one row a source.
+    the first ones, so running sums give the level for each number of clamped sources.
+    The first source whose cap the level doesn't reach ends the clamped ones; from there on
+    clamping more would only lower the level, so the right one is the highest that is below
+    its source's cap. The window holds one row a source.
     """
     order = Window.orderBy("_limit", F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +41,7 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     left = F.greatest(F.col("_weights") - F.col("_used"), F.lit(1e-300))
     s = s.withColumn("_level", (F.col("_all") - F.col("_capped")) / left)
     s = s.withColumn("_clamped", F.col("_level") >= F.col("_limit"))
-    s = s.withColumn("_final", F.min(F.when(~F.col("_clamped"), F.col("_level"))).over(every))
+    s = s.withColumn("_final", F.max(F.when(~F.col("_clamped"), F.col("_level"))).over(every))
     target = F.when(F.col("_clamped") | F.col("_final").isNull(), F.col("_cap")).otherwise(F.col("_final") * F.col("weight"))
     return s.select("source", "size", "weight", F.least(target, F.col("_cap")).alias("target"))
 
@@ -97,7 +98,7 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 l AS (SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / weight AS lim, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight) OVER () AS weights FROM w),
 v AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY lim, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / (weights - coalesce(sum(weight) OVER (ORDER BY lim, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM l),
-t AS (SELECT source, source_size, CASE WHEN level >= lim THEN cap ELSE least(cap, weight * min(CASE WHEN level < lim THEN level END) OVER ()) END AS target FROM v),
+t AS (SELECT source, source_size, CASE WHEN level >= lim THEN cap ELSE least(cap, weight * max(CASE WHEN level < lim THEN level END) OVER ()) END AS target FROM v),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 r AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw % 4096, draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
 c AS (SELECT r.doc_id, r.source, r.size, q.source_size, q.target,

@@ -23,7 +23,7 @@ from martloom.llm.common import materialize, slices, table
 LIMIT = 16
 STEP = 256
 END_ID = 2
-CACHE = 300_000
+CACHE = 800_000
 #: White space of Unicode. The byte-level splitter cuts wherever this pattern does, and further.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -96,11 +96,21 @@ class Encoder:
         return ids, np.bincount(owner, lens, len(texts)).astype(np.int64)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder, kept from task to task with the pieces it knows."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def to_ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, file, nth = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, file, nth = encoder_of(path), TaskContext.get().partitionId(), 0
         for part in slices(batches):
             ids, n = encoder.encode([t or "" for t in part.column("text").to_pylist()])
             ends = np.cumsum(n)
