@@ -68,7 +68,7 @@ def decimal_of(payload: Column, path: str, kind: str = QUANTITY) -> Column:
 def date_of(payload: Column, path: str) -> Column:
     """Date of the first ten characters, if they are an ISO date."""
     head = F.substring(text_of(payload, path), 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, F.lit("yyyy-MM-dd")))
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd"))
 
 
 def code_of(payload: Column, path: str) -> Column:
