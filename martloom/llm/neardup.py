@@ -24,6 +24,8 @@ ROWS, BANDS = 5, 24
 TIGHT_ROWS, TIGHT_BANDS = 8, 20
 #: Members of a bucket that are compared with its queries in one piece.
 BLOCK = 512
+#: Standard errors of a signature's estimate beyond which it decides alone.
+MARGIN = 3
 SHINGLE = 5
 GOLD = 0x9E3779B97F4A7C15
 
@@ -159,8 +161,8 @@ def exact(weighted: bool):
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """Pairs (a, b) of the threshold or more. Signatures decide beyond four of their standard errors from it, the shingle sets of both texts in between."""
-    margin = 4 * (threshold * (1 - threshold) / K) ** 0.5
+    """Pairs (a, b) of the threshold or more. Signatures decide beyond three of their standard errors from it, the shingle sets of both texts in between."""
+    margin = MARGIN * (threshold * (1 - threshold) / K) ** 0.5
     side = lambda name: sketches.select(F.col("doc_id").alias(f"_{name}"), F.col("sig").alias(f"sig_{name}"))
     both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", "sig_a", "sig_b")
     rated = materialize(both.mapInArrow(estimated, "a long, b long, estimate double").filter(F.col("estimate") >= threshold - margin))
@@ -263,7 +265,7 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool
     everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("query")))
     dealt = mixed.select("band", "doc_id", "comp", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(home, everywhere)).otherwise(home)).alias("x"))
     dealt = dealt.join(own, F.col("doc_id") == F.col("_id")).select("band", F.col("x.block").alias("block"), F.col("x.query").alias("query"), "doc_id", "comp", "sig")
-    limit = threshold - 4 * (threshold * (1 - threshold) / K) ** 0.5
+    limit = threshold - MARGIN * (threshold * (1 - threshold) / K) ** 0.5
     likely = dealt.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(compared(limit), "a long, b long")
     second = verified(materialize(likely.distinct()), sketches, docs, threshold, weighted)
     return first.unionByName(second).distinct()

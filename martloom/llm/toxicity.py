@@ -22,7 +22,7 @@ BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
 TOKEN = re.compile(r"\w+|[.!?\n]")
 ENDS = frozenset(".!?\n")
-SAMPLE_DOCS = 8000
+SAMPLE_DOCS = 5000
 CACHE = 400_000
 
 
@@ -77,12 +77,17 @@ def train(rows: list[tuple[int, bytes, bytes]], rounds: int = 140, rate: float =
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return weights, -20.0, float(-np.log(max(1 - share, 1e-6)))
-    words = np.concatenate([np.frombuffer(r[1], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in rows])
-    kinds, word = np.unique(words, axis=0, return_inverse=True)
-    word = word.reshape(-1)
     sizes = [np.frombuffer(r[2], np.uint32) for r in rows]
-    sentence = np.repeat(np.arange(sum(map(len, sizes))), np.concatenate(sizes))
-    doc = np.repeat(np.arange(len(rows)), list(map(len, sizes)))
+    words = np.frombuffer(b"".join(r[1] for r in rows), np.uint32).reshape(-1, 1 + len(PREFIXES))
+    rows.clear()
+    name = words[:, 0].astype(np.uint64)  # the word's own bucket and two of its prefixes' tell words apart
+    for column in (-1, 1):
+        name = (name << np.uint64(20)) | words[:, column]
+    _, first, word = np.unique(name, return_index=True, return_inverse=True)
+    kinds, word = words[first], word.astype(np.int32)
+    del words, name
+    sentence = np.repeat(np.arange(sum(map(len, sizes)), dtype=np.int32), np.concatenate(sizes))
+    doc = np.repeat(np.arange(len(y)), list(map(len, sizes)))
     used, local = np.unique(kinds, return_inverse=True)
     local = local.reshape(kinds.shape)
     theta = np.zeros(len(used) + 2)
@@ -119,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS):
     chosen = usable.groupBy("_id").agg(F.max("toxic").alias("toxic")).join(known, F.col("_id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
     chosen = materialize(chosen)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    got = rows.mapInArrow(instances, "toxic int, words binary, sizes binary").collect()
+    got = rows.mapInArrow(instances, "toxic int, words binary, sizes binary").toLocalIterator()
     return spark.sparkContext.broadcast(train(sorted((r[0], bytes(r[1]), bytes(r[2])) for r in got)))
 
 
