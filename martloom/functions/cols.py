@@ -89,8 +89,8 @@ def missing_if_zero(c: Column) -> Column:
 def person_name(payload: Column, path: str) -> Column:
     """A text, else .name, else the parts of a name joined by a space."""
     parts = ("firstName", "secondName", "lastName", "secondLastName", "surname")
-    joined = F.concat_ws(" ", *[text_of(payload, f"{path}.{p}") for p in parts])
-    return F.coalesce(text_of(payload, path), text_of(payload, f"{path}.name"), text_of(payload, f"{path}.name.name"), F.nullif(joined, F.lit("")))
+    joined = lambda at: F.nullif(F.concat_ws(" ", *[text_of(payload, f"{at}.{p}") for p in parts]), F.lit(""))
+    return F.coalesce(text_of(payload, path), text_of(payload, f"{path}.name"), joined(f"{path}.name"), joined(path))
 
 
 def normalized_text(c: Column) -> Column:

@@ -231,8 +231,8 @@ def layer_balances(layers: DataFrame, allocations: DataFrame) -> DataFrame:
     """Original, taken and remaining units of each layer, those of returns included."""
     returns = allocations.filter("allocation_type = 'credit_note_return'").select("product_key", "layer_id", F.lit("return").alias("source"), (-F.col("quantity_allocated")).cast(UNITS).alias("quantity"), "unit_cost")
     every = layers.select("product_key", "layer_id", "source", F.col("quantity").cast(UNITS).alias("quantity"), F.col("unit_cost").cast(COST).alias("unit_cost")).unionByName(returns)
-    taken = allocations.filter("allocation_type = 'fifo'").groupBy(F.col("layer_id").alias("_l")).agg(F.sum("quantity_allocated").alias("_taken"))
-    rows = every.join(taken, F.col("layer_id") == F.col("_l"), "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast(UNITS)).withColumn("remaining", (F.col("quantity") - F.col("taken")).cast(UNITS))
+    taken = allocations.filter("allocation_type = 'fifo'").groupBy(F.col("product_key").alias("_p"), F.col("layer_id").alias("_l")).agg(F.sum("quantity_allocated").alias("_taken"))
+    rows = every.join(taken, (F.col("product_key") == F.col("_p")) & (F.col("layer_id") == F.col("_l")), "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast(UNITS)).withColumn("remaining", (F.col("quantity") - F.col("taken")).cast(UNITS))
     return rows.select("product_key", "layer_id", "source", "quantity", "taken", "remaining", F.when(F.col("remaining") > 0, "open").otherwise("depleted").alias("status"))
 
 
