@@ -23,7 +23,7 @@ from martloom.llm.common import materialize, slices, table
 LIMIT = 16
 STEP = 256
 END_ID = 2
-CACHE = 300_000
+CACHE = 450_000
 #: White space of Unicode. The byte-level splitter cuts wherever this pattern does, and further.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
