@@ -21,9 +21,10 @@ from martloom.llm.common import ALNUM, Words, grams, materialize, mix, signed, s
 
 K = 160
 ROWS, BANDS = 5, 24
-TIGHT_ROWS, TIGHT_BANDS = 8, 20
 #: Members of a bucket that are compared with its queries in one piece.
 BLOCK = 512
+#: A bucket's rows: of its largest part, of others, and of others as queries.
+MAIN, OTHER, QUERY = 0, 1, 2
 #: Standard errors of a signature's estimate beyond which it decides alone.
 MARGIN = 3
 SHINGLE = 5
@@ -115,8 +116,8 @@ def sketch(weighted: bool):
                 ends = np.cumsum(n)
                 sets.append(signed(sums[ends] - sums[ends - n]))
             sig = signatures(rows, g, weights, total)
-            bands = banded(sig, ROWS, BANDS)
             short = (sig & np.uint64(0xFFFFFFFF)).astype("<u4")
+            bands = banded(short, ROWS, BANDS)
             lists = [bands[i].tolist() if n[i] else [] for i in range(total)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sets[0]), pa.array(sets[1]), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "set1", "set2", "sig", "bands"])
 
@@ -191,27 +192,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def tight_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, K)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("comp"), pa.array(banded(sig, TIGHT_ROWS, TIGHT_BANDS).tolist(), pa.list_(pa.int64()))], ["doc_id", "comp", "bands"])
-
-
 def compared(limit: float):
-    """Pairs of a query and a member of other parts, in one block of a bucket, whose signatures agree at limit or more. Blocks come one after the other."""
+    """Pairs of a query and a member of other parts, in one block of a bucket, whose signatures agree at limit or more. Blocks come one after the other.
+
+    Documents of different parts meet in each band that they share; only the first of these gives the pair.
+    """
 
     def found(t: pa.Table) -> pa.RecordBatch:
-        ids, comp, query = (t.column(c).to_numpy() for c in ("doc_id", "comp", "query"))
-        keys = np.stack([t.column("band").to_numpy(), t.column("block").to_numpy()])
+        ids, comp, kind, band = (t.column(c).to_numpy() for c in ("doc_id", "comp", "kind", "band"))
+        keys = np.stack([band, t.column("block").to_numpy()])
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, K)
         edges = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))), len(ids)).tolist()
         out = [np.zeros((0, 2), np.int64)]
         for a, z in zip(edges, edges[1:], strict=False):
-            q, m = a + np.flatnonzero(query[a:z]), a + np.flatnonzero(~query[a:z])
+            nth = int(np.argmax(banded(sig[a : a + 1], ROWS, BANDS)[0] == band[a]))
+            q, m = a + np.flatnonzero(kind[a:z] == QUERY), a + np.flatnonzero(kind[a:z] != QUERY)
+            columns = np.ascontiguousarray(sig[m].T)
             for some in np.array_split(q, -(-len(q) // 64) or 1):
-                x, y = np.nonzero(((sig[some][:, None] == sig[m][None]).mean(2) >= limit) & (comp[some][:, None] != comp[m][None]))
-                out.append(np.sort(np.stack([ids[some[x]], ids[m[y]]], 1), 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
+                agree = np.zeros((len(some), len(m)), np.uint8)
+                for i in range(K):
+                    agree += sig[some, i][:, None] == columns[i]
+                once = (kind[m] == MAIN)[None] | (ids[some][:, None] > ids[m][None])
+                x, y = np.nonzero((agree / K >= limit) & (comp[some][:, None] != comp[m][None]) & once)
+                x, y = some[x], m[y]
+                if nth:
+                    new = ~(sig[x, : nth * ROWS] == sig[y, : nth * ROWS]).reshape(len(x), nth, ROWS).all(2).any(1)
+                    x, y = x[new], y[new]
+                out.append(np.sort(np.stack([ids[x], ids[y]], 1), 1))
+        pairs = np.concatenate(out)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +243,11 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool
 
     Documents that share a band of five coordinates form a bucket. Its hub is the member
     whose bands meet most others, as the original of edited copies does, and each member is
-    tested against it: n tests for n members. Buckets that stay in more than one part are
-    looked at again by bands of eight: members outside a bucket's largest part are compared
-    with all others, in blocks of signatures, and only likely pairs of different parts leave
-    a block. Links inside a part that is already joined aren't looked for.
+    tested against it: n tests for n members. In buckets that stay in more than one part,
+    members outside the largest part are then compared with all others, in blocks of
+    signatures, and only likely pairs of different parts leave a block. So every two
+    documents that share a band are in one part or compared. Links inside a part that is
+    already joined aren't looked for.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = materialize(sketches.select("doc_id", F.explode("bands").alias("band")).distinct())
@@ -255,16 +264,15 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool
     parts = met.join(comp("d"), F.col("doc_id") == F.col("_d"), "left").join(comp("h"), F.col("hub") == F.col("_h"), "left")
     parts = materialize(parts.select("band", "doc_id", F.coalesce("d_label", "doc_id").alias("comp"), (F.coalesce("d_label", "doc_id") != F.coalesce("h_label", "hub")).alias("apart")))
     torn = parts.filter("apart").select(F.col("band").alias("_band")).distinct()
-    again = parts.join(torn, F.col("band") == F.col("_band"), "left_semi").groupBy("doc_id").agg(F.min("comp").alias("comp"))
+    again = materialize(parts.join(torn, F.col("band") == F.col("_band"), "left_semi").select("band", "doc_id", "comp"))
     own = sketches.select(F.col("doc_id").alias("_id"), "sig")
-    again = again.join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "comp", "sig")
-    tight = materialize(again.mapInArrow(tight_bands, "doc_id long, comp long, bands array<long>").select("doc_id", "comp", F.explode("bands").alias("band")))
-    sizes = tight.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy(F.col("band").alias("_b")).agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).filter("comps > 1")
-    mixed = tight.join(sizes, F.col("band") == F.col("_b")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    home = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query")))
-    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("query")))
-    dealt = mixed.select("band", "doc_id", "comp", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(home, everywhere)).otherwise(home)).alias("x"))
-    dealt = dealt.join(own, F.col("doc_id") == F.col("_id")).select("band", F.col("x.block").alias("block"), F.col("x.query").alias("query"), "doc_id", "comp", "sig")
+    sizes = again.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy(F.col("band").alias("_b")).agg(F.sum("k").alias("size"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    mixed = again.join(sizes, F.col("band") == F.col("_b")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    outside = F.col("comp") != F.col("main")
+    home = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.when(outside, OTHER).otherwise(MAIN).alias("kind")))
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(QUERY).alias("kind")))
+    dealt = mixed.select("band", "doc_id", "comp", F.explode(F.when(outside, F.concat(home, everywhere)).otherwise(home)).alias("x"))
+    dealt = dealt.join(own, F.col("doc_id") == F.col("_id")).select("band", F.col("x.block").alias("block"), F.col("x.kind").alias("kind"), "doc_id", "comp", "sig")
     limit = threshold - MARGIN * (threshold * (1 - threshold) / K) ** 0.5
     likely = dealt.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(compared(limit), "a long, b long")
     second = verified(materialize(likely.distinct()), sketches, docs, threshold, weighted)
