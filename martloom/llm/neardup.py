@@ -26,7 +26,7 @@ BLOCK = 512
 #: A bucket's rows: of its largest part, of others, and of others as queries.
 MAIN, OTHER, QUERY = 0, 1, 2
 #: Standard errors of a signature's estimate beyond which it decides alone.
-MARGIN = 3
+MARGIN = 5
 SHINGLE = 5
 GOLD = 0x9E3779B97F4A7C15
 
@@ -161,14 +161,28 @@ def exact(weighted: bool):
     return run
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """Pairs (a, b) of the threshold or more. Signatures decide beyond three of their standard errors from it, the shingle sets of both texts in between."""
+def zone(threshold: float) -> tuple[float, float]:
+    """Estimates from which shingle sets decide, and from which a signature alone accepts."""
     margin = MARGIN * (threshold * (1 - threshold) / K) ** 0.5
+    return threshold - margin, min(threshold + margin, 1.0)
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool, joined: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of the threshold or more. Signatures decide beyond five of their standard errors from it, the shingle sets of both texts in between.
+
+    With joined, links known before, sets of pairs aren't compared where these links and the sure ones already join both documents.
+    """
+    low, high = zone(threshold)
     side = lambda name: sketches.select(F.col("doc_id").alias(f"_{name}"), F.col("sig").alias(f"sig_{name}"))
     both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", "sig_a", "sig_b")
-    rated = materialize(both.mapInArrow(estimated, "a long, b long, estimate double").filter(F.col("estimate") >= threshold - margin))
-    sure = rated.filter(F.col("estimate") >= min(threshold + margin, 1.0)).select("a", "b")
-    unsure = rated.filter(F.col("estimate") < min(threshold + margin, 1.0)).select("a", "b")
+    rated = materialize(both.mapInArrow(estimated, "a long, b long, estimate double").filter(F.col("estimate") >= low))
+    sure = rated.filter(F.col("estimate") >= high).select("a", "b")
+    unsure = rated.filter(F.col("estimate") < high).select("a", "b")
+    if joined is not None:
+        part = components(joined.select("a", "b").unionByName(sure))
+        of = lambda name: part.select(F.col("node").alias(f"_{name}"), F.col("label").alias(f"{name}_label"))
+        unsure = unsure.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+        unsure = materialize(unsure.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
     wanted = unsure.select(F.explode(F.array("a", "b")).alias("_w")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_w"), "left_semi")
     sets = materialize(texts.mapInArrow(shingle_sets(weighted), "_id long, set binary, counts binary").dropDuplicates(["_id"]))
@@ -192,10 +206,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def compared(limit: float):
-    """Pairs of a query and a member of other parts, in one block of a bucket, whose signatures agree at limit or more. Blocks come one after the other.
+def spanning(links: np.ndarray, root: dict) -> list[int]:
+    """The links, pairs of parts, that join two parts which weren't joined before, as root then says."""
+    out = []
+    for i, (x, y) in enumerate(links.tolist()):
+        x, y = top(root, x), top(root, y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
+def top(root: dict, part: int) -> int:
+    while part in root:
+        if root[part] in root:
+            root[part] = root[root[part]]
+        part = root[part]
+    return part
+
+
+def compared(low: float, high: float):
+    """Pairs of a query and a member of other parts, in one block of a bucket, whose signatures agree at low or more. Blocks come one after the other.
 
-    Documents of different parts meet in each band that they share; only the first of these gives the pair.
+    Documents of different parts meet in each band that they share; only the first of these
+    gives the pair. Pairs that agree at high or more are links; as many as join the same
+    parts are enough, and pairs below high that these links join aren't given.
     """
 
     def found(t: pa.Table) -> pa.RecordBatch:
@@ -205,6 +240,7 @@ def compared(limit: float):
         edges = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))), len(ids)).tolist()
         out = [np.zeros((0, 2), np.int64)]
         for a, z in zip(edges, edges[1:], strict=False):
+            near = []
             nth = int(np.argmax(banded(sig[a : a + 1], ROWS, BANDS)[0] == band[a]))
             q, m = a + np.flatnonzero(kind[a:z] == QUERY), a + np.flatnonzero(kind[a:z] != QUERY)
             columns = np.ascontiguousarray(sig[m].T)
@@ -213,12 +249,23 @@ def compared(limit: float):
                 for i in range(K):
                     agree += sig[some, i][:, None] == columns[i]
                 once = (kind[m] == MAIN)[None] | (ids[some][:, None] > ids[m][None])
-                x, y = np.nonzero((agree / K >= limit) & (comp[some][:, None] != comp[m][None]) & once)
+                share = agree / K
+                x, y = np.nonzero((share >= low) & (comp[some][:, None] != comp[m][None]) & once)
+                sure = share[x, y] >= high
                 x, y = some[x], m[y]
-                if nth:
-                    new = ~(sig[x, : nth * ROWS] == sig[y, : nth * ROWS]).reshape(len(x), nth, ROWS).all(2).any(1)
-                    x, y = x[new], y[new]
-                out.append(np.sort(np.stack([ids[x], ids[y]], 1), 1))
+                new = ~(sig[x, : nth * ROWS] == sig[y, : nth * ROWS]).reshape(len(x), nth, ROWS).all(2).any(1)
+                near.append(np.stack([x, y, sure, new], 1)[sure | new])
+            x, y, sure, new = np.concatenate(near).T if near else np.zeros((4, 0), np.int64)
+            ends, root = np.sort(np.stack([comp[x], comp[y]], 1), 1), {}
+            first = np.flatnonzero(sure & new)
+            first = first[np.unique(ends[first], axis=0, return_index=True)[1]]
+            first = first[spanning(ends[first], root)]
+            spanning(np.unique(ends[(sure & ~new) == 1], axis=0), root)
+            rest = np.flatnonzero((sure == 0) & (new == 1))
+            parts, at = np.unique(ends[rest], return_inverse=True)
+            tops = np.array([top(root, p) for p in parts.tolist()], np.int64)[at.reshape(-1, 2)] if len(rest) else np.zeros((0, 2), np.int64)
+            given = np.append(first, rest[tops[:, 0] != tops[:, 1]])
+            out.append(np.sort(np.stack([ids[x[given]], ids[y[given]]], 1), 1))
         pairs = np.concatenate(out)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
 
@@ -273,9 +320,8 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool
     everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(QUERY).alias("kind")))
     dealt = mixed.select("band", "doc_id", "comp", F.explode(F.when(outside, F.concat(home, everywhere)).otherwise(home)).alias("x"))
     dealt = dealt.join(own, F.col("doc_id") == F.col("_id")).select("band", F.col("x.block").alias("block"), F.col("x.kind").alias("kind"), "doc_id", "comp", "sig")
-    limit = threshold - MARGIN * (threshold * (1 - threshold) / K) ** 0.5
-    likely = dealt.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(compared(limit), "a long, b long")
-    second = verified(materialize(likely.distinct()), sketches, docs, threshold, weighted)
+    likely = dealt.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(compared(*zone(threshold)), "a long, b long")
+    second = verified(materialize(likely.distinct()), sketches, docs, threshold, weighted, first)
     return first.unionByName(second).distinct()
 
 

@@ -37,3 +37,36 @@ def test_members_that_fail_against_a_hub_are_compared_in_their_band(spark):
         sigs[i] = changed(hub, range(5, neardup.K), 10_000 * i)
     texts = {i: words(60, 60, f"d{i}w") for i in sigs} | {1: words(100), 2: words(100, 4)}
     assert linked(spark, sigs, texts) == {(2, 1)}
+
+
+def test_shingle_sets_decide_where_signatures_err(spark):
+    base, far = np.arange(1, neardup.K + 1, dtype=np.uint32), np.arange(1000, 1000 + neardup.K, dtype=np.uint32)
+    # 1 and 2 agree at 0.9 and are 0.75 alike; 3 and 4 agree at 0.69 and are 0.9 alike.
+    sigs = {1: base, 2: changed(base, range(144, 160), 5000), 3: far, 4: changed(far, range(110, 160), 5000)}
+    texts = {1: words(100), 2: words(100, 14), 3: words(100, 0), 4: words(100, 5)}
+    assert linked(spark, sigs, texts) == {(4, 3)}
+
+
+def test_blocks_join_what_their_pairs_join():
+    import pyarrow as pa
+
+    rnd = np.random.RandomState(4)
+    low, high = neardup.zone(0.8)
+    base = rnd.randint(1, 1 << 30, neardup.K).astype(np.uint32)
+    sigs = np.array([changed(base, rnd.choice(neardup.K, rnd.randint(1, 40), replace=False), int(rnd.randint(1, 1 << 20))) for _ in range(60)])
+    comp = rnd.randint(0, 40, 60)
+    bands = neardup.banded(sigs, neardup.ROWS, neardup.BANDS)
+    rows = []
+    for band in np.unique(bands):
+        at = np.flatnonzero((bands == band).any(1))
+        main = np.bincount(comp[at]).argmax()
+        rows += [(int(band), 0, kind, int(i), int(comp[i])) for i in at for kind in ((neardup.OTHER, neardup.QUERY) if comp[i] != main else (neardup.MAIN,))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)] + [pa.array([sigs[r[3]].astype("<u4").tobytes() for r in rows])], ["band", "block", "kind", "doc_id", "comp", "sig"])
+    got = {(a, b) for out in neardup.compared(low, high)([batch]) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+    share = (sigs[:, None] == sigs[None]).mean(2)
+    wanted = {(a, b) for a in range(60) for b in range(a) if comp[a] != comp[b] and share[a, b] >= low and (bands[a] == bands[b]).any()}
+    assert got <= wanted
+    root: dict = {}
+    neardup.spanning(np.array([(comp[a], comp[b]) for a, b in got if share[a, b] >= high]), root)
+    apart = {p for p in wanted if neardup.top(root, int(comp[p[0]])) != neardup.top(root, int(comp[p[1]]))}
+    assert not any(share[p] >= high for p in apart) and apart <= got
