@@ -28,21 +28,29 @@ LOWER[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C55
 GRAM = 0xC2B2AE3D27D4EB4F
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder; a folder of our own only where none is set."""
+    """A new folder in the shared folder that the session names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("martloom.shared.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="martloom-")
-            spark.conf.set("martloom.shared.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="martloom-")  # one process: its own disk is shared
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/martloom-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a table in the shared folder and reads it back: lineage ends, lost executors lose nothing."""
     path = shared_dir(df.sparkSession)
