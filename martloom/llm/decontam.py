@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martloom.llm.common import ALNUM, Words, grams, materialize, signed, slices, table
+from martloom.llm.common import ALNUM, Words, fresh, grams, materialize, signed, slices, table
 
 WINDOW = 13
 SHINGLE = 4
-#: Up to so many different shingles of the benchmark (8 MB) go to each task, to drop other places early; with more, all places join.
-MAX_SENT = 1 << 20
+#: Bits of a key that choose its bit in the sieve: 8 MB for a benchmark of any size.
+SIEVE_BITS = 26
 
 INDEX = "item_id string, len int, words string, shingles array<long>"
 COUNTED = "key long, n long"
@@ -49,31 +49,33 @@ def item_windows(window: int):
     return run
 
 
-class Known:
-    """Membership in a sorted array of keys, asked of many: a bit table on 24 bits of a key first, then binary search."""
+class Sieve:
+    """Lets pass all known keys, and of other keys as many as the share of bits that are set. The join with the index decides."""
 
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.sort(keys)
-        self.bits = np.zeros(1 << 24, bool)
-        self.bits[self._slot(self.keys)] = True
-
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64)
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
 
     def places(self, keys: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.bits[self._slot(keys)]) if len(self.keys) else np.zeros(0, np.int64)
-        found = np.searchsorted(self.keys, keys[at])
-        return at[self.keys[np.minimum(found, len(self.keys) - 1)] == keys[at]] if len(at) else at
+        bit = keys.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+        return np.flatnonzero((self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+
 
+def sieve_of(keys: DataFrame):
+    """Broadcast of the bits of keys, put together by Spark: its size doesn't depend on their number."""
+    bit = F.shiftrightunsigned("key", 64 - SIEVE_BITS)
+    rows = keys.select(F.shiftright(bit, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    words = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(words)
 
-def document_shingles(part: pa.RecordBatch, sizes: list[int], known) -> tuple[Words, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """The words of a slice and, for each shingle size, the places of shingles inside one document and their keys, known ones only."""
+
+def document_shingles(part: pa.RecordBatch, sizes: list[int], known: Sieve) -> tuple[Words, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """The words of a slice and, for each shingle size, the places of shingles inside one document and their keys, those that pass the sieve."""
     w = Words(part.column("text"), ALNUM, lower=True)
     h, ends, out = w.hashes(), w.row_ends(), []
     for k in sizes:
         g = signed(grams(h, k))
-        at = known.places(g) if known else np.arange(len(g))
+        at = known.places(g)
         at = at[at + k <= ends[at]] if len(at) else at
         out.append((k, at, g[at]))
     return w, out
@@ -81,7 +83,7 @@ def document_shingles(part: pa.RecordBatch, sizes: list[int], known) -> tuple[Wo
 
 def shingle_counts(sizes: list[int], sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(sent.value) if sent else None
+        known = Sieve(sent.value)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def total() -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +94,9 @@ def shingle_counts(sizes: list[int], sent):
             _, found = document_shingles(part, sizes, known)
             held += [np.unique(g, return_counts=True) for _, _, g in found if len(g)]
             if sum(len(k) for k, _ in held) > 1 << 21:
-                held = [total()]
-                if not known:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["key", "n"])
-                    held = []
+                keys, n = total()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+                held = []
         if held:
             keys, n = total()
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
@@ -107,7 +108,7 @@ def document_places(sizes: list[int], sent, window: int):
     """A row for each document: its words' number and the places of known shingles, each with the words around that a window there can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(sent.value) if sent else None
+        known = Sieve(sent.value)
         kind = pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("at", pa.int32()), ("words", pa.string())])
         for part in slices(batches):
             w, found = document_shingles(part, sizes, known)
@@ -125,11 +126,6 @@ def document_places(sizes: list[int], sent, window: int):
     return run
 
 
-def send(spark, keys: DataFrame, n: int):
-    """Broadcast of the keys if they are at most MAX_SENT, else None."""
-    return spark.sparkContext.broadcast(np.array([r[0] for r in keys.collect()], np.int64)) if n <= MAX_SENT else None
-
-
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Occurrences of item windows: doc_id, n_words, n_hit, items (sorted array of item_id strings). One row a doc_id.
 
@@ -140,19 +136,16 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     both. Item ids that occur twice are one item. Empty tables give no rows, or no hits.
     Other columns are ignored.
     """
-    spark = docs.sparkSession
     wins = items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(item_windows(window), INDEX)
     wins = materialize(wins.groupBy("len", "words").agg(F.first("shingles").alias("shingles"), F.sort_array(F.collect_set("item_id")).alias("items")))
     sizes = sorted(min(SHINGLE, r[0]) for r in wins.select(F.least("len", F.lit(SHINGLE)).alias("k")).distinct().collect())
-    keys = wins.select(F.explode("shingles").alias("key")).distinct()
-    sent = send(spark, keys, keys.count())
+    sent = sieve_of(wins.select(F.explode("shingles").alias("key")))
     texts = docs.select("doc_id", "text")
     counts = texts.mapInArrow(shingle_counts(sizes, sent), COUNTED).groupBy("key").agg(F.sum("n").alias("n"))
     each = wins.select("len", "words", "items", F.posexplode("shingles").alias("off", "key")).join(counts, "key", "left")
     rarest = F.min_by(F.struct("key", "off"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off"))
     index = materialize(each.groupBy("len", "words").agg(rarest.alias("p"), F.first("items").alias("items")).select(F.col("p.key").alias("_key"), F.col("p.off").alias("_off"), F.col("len").alias("_len"), F.col("words").alias("_words"), F.col("items").alias("_items")))
-    prefixes = index.select("_key").distinct()
-    sent = send(spark, prefixes, prefixes.count())
+    sent = sieve_of(index.select(F.col("_key").alias("key")))
     found = texts.mapInArrow(document_places(sizes, sent, window), PLACES).withColumn("part", F.monotonically_increasing_id())
     found = found.select("doc_id", "part", "n_words", F.posexplode_outer("places").alias("nth", "x"))
     start = F.col("x.pos") - F.col("_off")
@@ -173,9 +166,14 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
-    bad = judge(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The documents that aren't contaminated, with all their columns, whatever their names.
+
+    Rows that share a doc_id, null included, are judged together and go together. Null and
+    empty texts have no words and stay; without items all stay; an empty table stays empty.
+    """
+    key = fresh(docs, "bad")
+    bad = judge(docs, items).filter("contaminated").select(F.col("doc_id").alias(key))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
