@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from martloom.llm.common import materialize
+from martloom.llm.common import fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
@@ -46,20 +46,10 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return s.select("source", "size", "weight", F.least(target, F.col("_cap")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """What a mix takes of each document: doc_id, source, size, source_size, target, copies, taken.
-
-    Sources in code-point order, null last, weigh as weights repeat. A document is taken
-    floor(target / source_size) times, and once more while the sizes before it in its
-    source's seeded order stay below the remaining fraction, so a source misses its
-    target by half a document at most. That order is kept by bins of the seeded draw:
-    sums of bins, then running sums in a bin, so a hot source is spread over 4096 groups.
-
-    A null text counts 0 words, a source of no words has target 0 and is taken 0 times,
-    a null source is a source, rows of one doc_id are documents of their own, an empty
-    table gives no rows; other columns are ignored.
-    """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("draw")).withColumn("bin", F.pmod("draw", F.lit(BINS))))
+def planned(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
+    """mix_plan with key, which tells the rows that share a doc_id apart, and text_key. Columns of its own only, so any of docs' names will do."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("draw"), F.xxhash64("text").alias("text_key"))
+    sized = materialize(sized.withColumn("bin", F.pmod("draw", F.lit(BINS))))
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     sources = bins.groupBy("source").agg(F.sum("bin_size").alias("size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -74,14 +64,41 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs:
     run = sized.withColumn("_in", F.coalesce(F.sum("size").over(in_bin), F.lit(0)))
     out = run.join(placed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")))
     copies = F.col("_whole") + F.when((F.col("_before") + F.col("_in") + F.col("size") / 2 <= F.col("_part")) & (F.col("_whole") < max_epochs), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_key")
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
+    """What a mix takes of each document: doc_id, source, size, source_size, target, copies, taken.
+
+    Sources in code-point order, null last, weigh as weights repeat. A document is taken
+    floor(target / source_size) times, and once more while the sizes before it in its
+    source's seeded order stay below the remaining fraction, so a source misses its
+    target by half a document at most. That order is kept by bins of the seeded draw:
+    sums of bins, then running sums in a bin, so a hot source is spread over 4096 groups.
+
+    A null text counts 0 words, a source of no words has target 0 and is taken 0 times,
+    a null source is a source, rows of one doc_id are documents of their own, an empty
+    table gives no rows; other columns are ignored.
+    """
+    return planned(docs, weights, max_epochs, seed).drop("text_key")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """The mixed documents themselves, each row as often as the plan takes it, with its columns. doc_id is a key here: of rows that share one, each gets the larger number of copies."""
-    plan = mix_plan(docs, weights, max_epochs, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The mixed documents themselves, each row as often as the plan takes it, with its columns, whatever their names.
+
+    Rows that share a doc_id, source and text share their copies: as many are given in
+    all as the plan takes of them. Nulls and an empty table are as mix_plan has them.
+    """
+    k = {c: fresh(docs, f"mix_{c}") for c in ("id", "source", "text", "copies", "rows", "nth", "at")}
+    plan = planned(docs, weights, max_epochs, seed).groupBy(F.col("doc_id").alias(k["id"]), F.col("source").alias(k["source"]), F.col("text_key").alias(k["text"])).agg(F.sum("copies").alias(k["copies"]), F.count("*").alias(k["rows"]))
+    same = F.col("doc_id").eqNullSafe(F.col(k["id"])) & F.col("source").eqNullSafe(F.col(k["source"])) & (F.xxhash64("text") == F.col(k["text"]))
+    taken = docs.join(plan.filter(F.col(k["copies"]) > 0), same)
+    one, many = taken.filter(F.col(k["rows"]) == 1).withColumn(k["nth"], F.lit(1)), taken.filter(F.col(k["rows"]) > 1)
+    twins = Window.partitionBy(k["id"], k["source"], k["text"]).orderBy(F.lit(0))
+    each = one.unionByName(many.withColumn(k["nth"], F.row_number().over(twins)))
+    share = F.floor(F.col(k["copies"]) / F.col(k["rows"])) + F.when(F.col(k["nth"]) <= F.col(k["copies"]) % F.col(k["rows"]), 1).otherwise(0)
+    given = each.withColumn(k["copies"], share.cast("int")).filter(F.col(k["copies"]) > 0)
+    return given.withColumn(k["at"], F.explode(F.sequence(F.lit(1), F.col(k["copies"])))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
