@@ -10,27 +10,27 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martloom.llm.common import ALNUM, Words, grams, materialize, mix, signed, slices, table
+from martloom.llm.common import ALNUM, Words, fresh, grams, materialize, mix, signed, slices, table
 
-K = 160
 ROWS, BANDS = 5, 24
-#: Members of a bucket that are compared with its queries in one piece.
-BLOCK = 512
-#: A bucket's rows: of its largest part, of others, and of others as queries.
-MAIN, OTHER, QUERY = 0, 1, 2
-#: Standard errors of a signature's estimate beyond which it decides alone.
-MARGIN = 5
+K = ROWS * BANDS
 SHINGLE = 5
 GOLD = 0x9E3779B97F4A7C15
 
-SIGNED = "doc_id long, n long, set1 long, set2 long, sig binary, bands array<long>"
+SIGNED = "doc_id long, n long, set1 long, set2 long, bands array<long>"
+SETS = "_id long, n int, set array<long>"
+#: Bits of an id's hash that choose its bit in a sieve.
+SIEVE_BITS = 26
+#: Steps of set sizes, as a factor, by which prefix entries are dealt.
+STEP = 1.02
 
 
 def uniform(seed: np.ndarray) -> np.ndarray:
@@ -115,81 +115,66 @@ def sketch(weighted: bool):
                 np.cumsum(mix(g + np.uint64(GOLD * salt % (1 << 64))) * (count.astype(np.uint64) if weighted else np.uint64(1)), out=sums[1:])
                 ends = np.cumsum(n)
                 sets.append(signed(sums[ends] - sums[ends - n]))
-            sig = signatures(rows, g, weights, total)
-            short = (sig & np.uint64(0xFFFFFFFF)).astype("<u4")
-            bands = banded(short, ROWS, BANDS)
+            bands = banded(signatures(rows, g, weights, total), ROWS, BANDS)
             lists = [bands[i].tolist() if n[i] else [] for i in range(total)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sets[0]), pa.array(sets[1]), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "set1", "set2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sets[0]), pa.array(sets[1]), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "set1", "set2", "bands"])
 
     return run
 
 
-def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Share of coordinates at which a pair's signatures agree."""
-    for batch in batches:
-        both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, K) for c in ("sig_a", "sig_b")]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((both[0] == both[1]).mean(1) if batch.num_rows else [], pa.float64())], ["a", "b", "estimate"])
+class Sieve:
+    """A table of bits of fixed size: lets pass all ids that it was made of, and of others as many as the share of bits that are set."""
 
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
 
-def shingle_sets(weighted: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            rows, g, count = shingles(part.column("text"))
-            ends = np.cumsum(np.bincount(rows, minlength=part.num_rows)).tolist()
-            starts = [0, *ends[:-1]]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([g[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() if weighted else b"" for a, b in zip(starts, ends, strict=True)], pa.binary())], ["_id", "set", "counts"])
+    def passes(self, ids: np.ndarray) -> np.ndarray:
+        bit = mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - SIEVE_BITS)
+        return ((self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
-    return run
 
+def sieve_of(ids: DataFrame):
+    """Broadcast of the bits of a column _w of ids, put together by Spark: 8 MB, however many they are."""
 
-def exact(weighted: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = []
-            for a, b, ca, cb in zip(*[batch.column(c).to_pylist() for c in ("set_a", "set_b", "counts_a", "counts_b")], strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                at = np.searchsorted(y, x)
-                same = y[np.minimum(at, len(y) - 1)] == x
-                if weighted:
-                    wa, wb = np.frombuffer(ca, "<u4").astype(float), np.frombuffer(cb, "<u4").astype(float)
-                    common = np.minimum(wa[same], wb[at[same]]).sum()
-                    got.append(common / (wa.sum() + wb.sum() - common))
-                else:
-                    got.append(same.sum() / (len(x) + len(y) - same.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], ["a", "b", "similarity"])
+            bit = mix(batch.column("_w").to_numpy().view(np.uint64)) >> np.uint64(64 - SIEVE_BITS)
+            word, at = np.unique(bit >> np.uint64(6), return_inverse=True)
+            out = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(out, at, np.uint64(1) << (bit & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(word)), pa.array(signed(out))], ["word", "bits"])
 
-    return run
+    rows = ids.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(words)
 
 
-def zone(threshold: float) -> tuple[float, float]:
-    """Estimates from which shingle sets decide, and from which a signature alone accepts."""
-    margin = MARGIN * (threshold * (1 - threshold) / K) ** 0.5
-    return threshold - margin, min(threshold + margin, 1.0)
+def shingle_sets(weighted: bool, sent=None):
+    """The shingles of each text, of those that pass the sieve if one is sent; with weighted the k-th occurrence of a shingle is an element of its own, so that bags compare as sets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            if sent:
+                part = part.filter(pa.array(Sieve(sent.value).passes(part.column("doc_id").to_numpy())))
+            rows, g, count = shingles(part.column("text"))
+            if weighted:
+                nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                rows, g = np.repeat(rows, count), mix(np.repeat(g, count) + nth.astype(np.uint64) * np.uint64(GOLD))
+            n = np.bincount(rows, minlength=part.num_rows)
+            sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(signed(g)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()), sets], ["_id", "n", "set"])
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool, joined: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of the threshold or more. Signatures decide beyond five of their standard errors from it, the shingle sets of both texts in between.
+    return run
 
-    With joined, links known before, sets of pairs aren't compared where these links and the sure ones already join both documents.
-    """
-    low, high = zone(threshold)
-    side = lambda name: sketches.select(F.col("doc_id").alias(f"_{name}"), F.col("sig").alias(f"sig_{name}"))
-    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", "sig_a", "sig_b")
-    rated = materialize(both.mapInArrow(estimated, "a long, b long, estimate double").filter(F.col("estimate") >= low))
-    sure = rated.filter(F.col("estimate") >= high).select("a", "b")
-    unsure = rated.filter(F.col("estimate") < high).select("a", "b")
-    if joined is not None:
-        part = components(joined.select("a", "b").unionByName(sure))
-        of = lambda name: part.select(F.col("node").alias(f"_{name}"), F.col("label").alias(f"{name}_label"))
-        unsure = unsure.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
-        unsure = materialize(unsure.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
-    wanted = unsure.select(F.explode(F.array("a", "b")).alias("_w")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_w"), "left_semi")
-    sets = materialize(texts.mapInArrow(shingle_sets(weighted), "_id long, set binary, counts binary").dropDuplicates(["_id"]))
-    side = lambda name: sets.select(F.col("_id").alias(f"_{name}"), F.col("set").alias(f"set_{name}"), F.col("counts").alias(f"counts_{name}"))
-    full = unsure.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", "set_a", "set_b", "counts_a", "counts_b")
-    held = full.mapInArrow(exact(weighted), "a long, b long, similarity double").filter(F.col("similarity") >= threshold).select("a", "b")
-    return materialize(sure.unionByName(held))
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are alike at the threshold or more: every pair's sets are compared. b should have fewer different ids, as hubs have."""
+    side = lambda name: sets.select(F.col("_id").alias(f"_{name}"), F.col("n").alias(f"n_{name}"), F.col("set").alias(f"set_{name}"))
+    few = side("b").join(pairs.select(F.col("b").alias("_few")).distinct(), F.col("_b") == F.col("_few"), "left_semi")
+    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(few, F.col("b") == F.col("_b"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter((1 + threshold) * common >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,83 +191,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def spanning(links: np.ndarray, root: dict) -> list[int]:
-    """The links, pairs of parts, that join two parts which weren't joined before, as root then says."""
-    out = []
-    for i, (x, y) in enumerate(links.tolist()):
-        x, y = top(root, x), top(root, y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append(i)
-    return out
-
-
-def top(root: dict, part: int) -> int:
-    while part in root:
-        if root[part] in root:
-            root[part] = root[root[part]]
-        part = root[part]
-    return part
+def size_step(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(STEP)).cast("int")
 
 
-def compared(low: float, high: float):
-    """Pairs of a query and a member of other parts, in one block of a bucket, whose signatures agree at low or more. Blocks come one after the other.
+def across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a > b, of documents of different parts that can be alike, by a prefix filter over their shingle sets. members: doc_id, comp.
 
-    Documents of different parts meet in each band that they share; only the first of these
-    gives the pair. Pairs that agree at high or more are links; as many as join the same
-    parts are enough, and pairs below high that these links join aren't given.
+    Only shingles that more than one part holds can be common to a pair. A set's elements
+    are ordered, those that no other part holds first, then rare ones first; sets that are
+    alike at the threshold have a common element among the first n - t n + 1 of each, and
+    what follows the first common one bounds the sizes of both: the partner of an element at
+    place pos has at most (1 + t) / t (n - pos) - n elements. Entries of the smaller set are
+    dealt by element and size, those of the larger one to each size that its bounds allow,
+    so that copies which all fail against their original, each by edits of its own, don't meet.
     """
-
-    def found(t: pa.Table) -> pa.RecordBatch:
-        ids, comp, kind, band = (t.column(c).to_numpy() for c in ("doc_id", "comp", "kind", "band"))
-        keys = np.stack([band, t.column("block").to_numpy()])
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, K)
-        edges = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))), len(ids)).tolist()
-        out = [np.zeros((0, 2), np.int64)]
-        for a, z in zip(edges, edges[1:], strict=False):
-            near = []
-            nth = int(np.argmax(banded(sig[a : a + 1], ROWS, BANDS)[0] == band[a]))
-            q, m = a + np.flatnonzero(kind[a:z] == QUERY), a + np.flatnonzero(kind[a:z] != QUERY)
-            columns = np.ascontiguousarray(sig[m].T)
-            for some in np.array_split(q, -(-len(q) // 64) or 1):
-                agree = np.zeros((len(some), len(m)), np.uint8)
-                for i in range(K):
-                    agree += sig[some, i][:, None] == columns[i]
-                once = (kind[m] == MAIN)[None] | (ids[some][:, None] > ids[m][None])
-                share = agree / K
-                x, y = np.nonzero((share >= low) & (comp[some][:, None] != comp[m][None]) & once)
-                sure = share[x, y] >= high
-                x, y = some[x], m[y]
-                new = ~(sig[x, : nth * ROWS] == sig[y, : nth * ROWS]).reshape(len(x), nth, ROWS).all(2).any(1)
-                near.append(np.stack([x, y, sure, new], 1)[sure | new])
-            x, y, sure, new = np.concatenate(near).T if near else np.zeros((4, 0), np.int64)
-            ends, root = np.sort(np.stack([comp[x], comp[y]], 1), 1), {}
-            first = np.flatnonzero(sure & new)
-            first = first[np.unique(ends[first], axis=0, return_index=True)[1]]
-            first = first[spanning(ends[first], root)]
-            spanning(np.unique(ends[(sure & ~new) == 1], axis=0), root)
-            rest = np.flatnonzero((sure == 0) & (new == 1))
-            parts, at = np.unique(ends[rest], return_inverse=True)
-            tops = np.array([top(root, p) for p in parts.tolist()], np.int64)[at.reshape(-1, 2)] if len(rest) else np.zeros((0, 2), np.int64)
-            given = np.append(first, rest[tops[:, 0] != tops[:, 1]])
-            out.append(np.sort(np.stack([ids[x[given]], ids[y[given]]], 1), 1))
-        pairs = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, t]) if held is not None else t
-            band, block = held.column("band").to_numpy(), held.column("block").to_numpy()
-            whole = np.flatnonzero((band != band[-1]) | (block != block[-1])) if len(band) else []
-            if len(whole) and held.num_rows > 4 * BLOCK:
-                yield found(held.slice(0, int(whole[-1]) + 1))
-                held = held.slice(int(whole[-1]) + 1)
-        if held is not None and held.num_rows:
-            yield found(held)
-
-    return run
+    t = threshold
+    each = members.join(sets, F.col("doc_id") == F.col("_id")).select("doc_id", "comp", "n", F.explode("set").alias("token"))
+    held = each.groupBy(F.col("token").alias("_t")).agg(F.min("comp").alias("_from"), F.max("comp").alias("_to"), F.count("*").alias("_docs")).filter("_from < _to")
+    shared = each.join(held, F.col("token") == F.col("_t")).groupBy("doc_id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("_docs", "token"))).alias("shared"))
+    own = F.col("n") - F.size("shared")
+    room = (F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1 - own).cast("int")
+    first = shared.filter(room > 0).select("doc_id", "comp", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("nth", "x"))
+    most = F.floor((1 + t) / t * (F.col("n") - F.col("own") - F.col("nth")) - F.col("n") + 1e-9).cast("int")
+    least = F.ceil(t * F.col("n") - 1e-9).cast("int")
+    entries = materialize(first.select("doc_id", "comp", "n", F.col("x.token").alias("token"), most.alias("most"), least.alias("least")).filter("most >= least"))
+    small = entries.filter("most >= n").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "comp", "n", "token", "most")], size_step(F.col("n")).alias("_step"))
+    large = entries.withColumn("step", F.explode(F.sequence(size_step(F.col("least")), size_step(F.least("n", "most")))))
+    fits = (F.col("_n") >= F.col("least")) & (F.col("_n") <= F.least("n", "most")) & (F.col("n") <= F.col("_most")) & (F.col("comp") != F.col("_comp")) & ((F.col("_n") < F.col("n")) | (F.col("_doc_id") < F.col("doc_id")))
+    met = large.join(small, (F.col("token") == F.col("_token")) & (F.col("step") == F.col("_step")) & fits)
+    return met.select(F.greatest("doc_id", "_doc_id").alias("a"), F.least("doc_id", "_doc_id").alias("b")).distinct()
 
 
 def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
@@ -290,13 +228,11 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool
 
     Documents that share a band of five coordinates form a bucket. Its hub is the member
     whose bands meet most others, as the original of edited copies does, and each member is
-    tested against it: n tests for n members. In buckets that stay in more than one part,
-    members outside the largest part are then compared with all others, in blocks of
-    signatures, and only likely pairs of different parts leave a block. So every two
-    documents that share a band are in one part or compared. Links inside a part that is
+    compared with it: n comparisons for n members. The members of buckets that stay in more
+    than one part then meet members of other parts by a prefix filter, which loses no pair
+    of the threshold. Shingle sets decide on every candidate; links inside a part that is
     already joined aren't looked for.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = materialize(sketches.select("doc_id", F.explode("bands").alias("band")).distinct())
     shared = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = members.join(shared, "band")
@@ -304,25 +240,18 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float, weighted: bool
     members = materialize(members.join(centre, F.col("doc_id") == F.col("_id")).select("band", "doc_id", "rank"))
     hubs = members.groupBy(F.col("band").alias("_band")).agg(F.min(F.struct((-F.col("rank")).alias("r"), F.col("doc_id").alias("d"))).alias("h"))
     met = materialize(members.join(hubs, F.col("band") == F.col("_band")).select("band", "doc_id", F.col("h.d").alias("hub")))
-    pairs = materialize(met.filter("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct())
-    first = verified(pairs, sketches, docs, threshold, weighted)
+    sets = materialize(docs.select("doc_id", "text").mapInArrow(shingle_sets(weighted, sieve_of(members.select(F.col("doc_id").alias("_w")))), SETS))
+    pairs = materialize(met.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+    first = materialize(verified(pairs, sets, threshold).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = components(first)
     comp = lambda name: labels.select(F.col("node").alias(f"_{name}"), F.col("label").alias(f"{name}_label"))
     parts = met.join(comp("d"), F.col("doc_id") == F.col("_d"), "left").join(comp("h"), F.col("hub") == F.col("_h"), "left")
     parts = materialize(parts.select("band", "doc_id", F.coalesce("d_label", "doc_id").alias("comp"), (F.coalesce("d_label", "doc_id") != F.coalesce("h_label", "hub")).alias("apart")))
     torn = parts.filter("apart").select(F.col("band").alias("_band")).distinct()
-    again = materialize(parts.join(torn, F.col("band") == F.col("_band"), "left_semi").select("band", "doc_id", "comp"))
-    own = sketches.select(F.col("doc_id").alias("_id"), "sig")
-    sizes = again.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy(F.col("band").alias("_b")).agg(F.sum("k").alias("size"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    mixed = again.join(sizes, F.col("band") == F.col("_b")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    outside = F.col("comp") != F.col("main")
-    home = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.when(outside, OTHER).otherwise(MAIN).alias("kind")))
-    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(QUERY).alias("kind")))
-    dealt = mixed.select("band", "doc_id", "comp", F.explode(F.when(outside, F.concat(home, everywhere)).otherwise(home)).alias("x"))
-    dealt = dealt.join(own, F.col("doc_id") == F.col("_id")).select("band", F.col("x.block").alias("block"), F.col("x.kind").alias("kind"), "doc_id", "comp", "sig")
-    likely = dealt.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(compared(*zone(threshold)), "a long, b long")
-    second = verified(materialize(likely.distinct()), sketches, docs, threshold, weighted, first)
-    return first.unionByName(second).distinct()
+    again = materialize(parts.join(torn, F.col("band") == F.col("_band"), "left_semi").select("doc_id", "comp").distinct())
+    some = materialize(sets.join(again.select(F.col("doc_id").alias("_w")), F.col("_id") == F.col("_w"), "left_semi").dropDuplicates(["_id"]))
+    second = materialize(verified(materialize(across(again, some, threshold)), some, threshold))
+    return first.unionByName(second)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
@@ -333,15 +262,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) ->
     node, so copies cost one comparison; n_links counts the links found for a node, enough to join its class.
 
     Null and empty texts, and texts without a word, are classes of their own. Rows that
-    share a doc_id are one document, with the shingles of one of them. A null doc_id is
+    share a doc_id are one document, which is like what one of them is like. A null doc_id is
     left out. An empty table gives no rows; other columns are ignored.
     """
-    keyed = docs.filter("doc_id is not null").select("doc_id", "text")
+    keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(keyed.mapInArrow(sketch(weighted), SIGNED))
     full = sketches.filter("n > 0")
     nodes = full.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(nodes)
-    own = materialize(sketches.join(nodes.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi").select("doc_id", "sig", "bands").filter(F.size("bands") > 0).dropDuplicates(["doc_id"]))
+    own = materialize(sketches.join(nodes.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi").select("doc_id", "bands").filter(F.size("bands") > 0).dropDuplicates(["doc_id"]))
     found = links(own, keyed, threshold, weighted)
     labels = components(found)
     degrees = found.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("n_links"))
@@ -354,9 +283,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) ->
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each class, the least doc_id, with all its columns."""
-    kept = classes(docs, threshold).filter("class_id = doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    """One document of each class, the least doc_id, with all its columns, whatever their names.
+
+    Rows that share a doc_id are one document, so one of them stays. Rows of a null doc_id
+    belong to no class and stay, as do null and empty texts. An empty table stays empty.
+    """
+    key = fresh(docs, "kept")
+    kept = classes(docs, threshold).filter("class_id = doc_id").select(F.col("doc_id").alias(key))
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
