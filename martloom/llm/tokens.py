@@ -11,7 +11,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,15 @@ from martloom.llm.common import materialize, slices, table
 LIMIT = 16
 STEP = 256
 END_ID = 2
-CACHE = 450_000
-#: White space of Unicode. The byte-level splitter cuts wherever this pattern does, and further.
+#: Pieces that a worker keeps with their ids (about 130 MB).
+CACHE = 600_000
+# Where the byte-level splitter surely cuts. White space is Unicode's. A run of
+# letters ends before any other ASCII character; one of signs too, but for the apostrophe,
+# which may begin a contraction, and control characters, which are signs themselves. Where
+# none of that holds, a piece goes on to the next white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+LETTER, SIGN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+PIECE = rf" ?[{LETTER}]++(?=[\x00-\x7f]|\Z)| ?[{SIGN}]++(?=[A-Za-z0-9\t-\r ]|\Z)| ?[0-9]++(?=[\x00-\x7f]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 IDS = "doc_id long, file int, nth long, n_tokens int, ids binary"
 BLOCK = "file int, block long, doc_ids array<long>, lengths array<int>, points array<long>, bits binary"
@@ -39,61 +44,52 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Numbers(dict):
-    """Numbers pieces as they first come."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        return n
-
-
 class Encoder:
-    """Ids of texts. The library encodes each different piece once; a text's ids are those of its pieces, one after the other.
+    """Ids of texts, each as the bytes of its ids. The library encodes a piece once while it is kept; a text's ids are those of its pieces, one after the other.
 
-    When more than CACHE pieces are kept, those that came only once so far are forgotten.
+    A text that holds an added token's string goes to the library as a whole, and so does
+    every text if the tokenizer isn't a byte-level one whose cuts are known.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut = re.compile(PIECE).findall if str(self.tokenizer.pre_tokenizer).startswith("ByteLevel") else lambda t: [t] if t else []
-        self.cache = cache
-        self.number = Numbers()
-        self.flat, self.starts, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def forget(self) -> None:
-        keep = np.flatnonzero(self.seen > 1) if (self.seen > 1).sum() <= self.cache // 2 else np.zeros(0, np.int64)
-        kept = np.zeros(len(self.seen), bool)
-        kept[keep] = True
-        self.number = Numbers((piece, i) for i, piece in enumerate(x for x, k in zip(self.number, kept.tolist(), strict=True) if k))
-        lens = np.diff(self.starts)[keep]
-        self.flat = self.flat[np.repeat(kept, np.diff(self.starts))]
-        self.starts = np.concatenate([[0], np.cumsum(lens)])
-        self.seen = np.ones(len(keep), np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and the number of each text's."""
-        if len(self.number) > self.cache:
-            self.forget()
-        pieces = [self.cut(t) for t in texts]
-        sizes = list(map(len, pieces))
-        before = len(self.number)
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, sum(sizes))
-        if len(self.number) > before:
-            new = list(islice(self.number, before, None))
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))])
-        self.seen = np.bincount(which, minlength=len(self.number)) + np.pad(self.seen, (0, len(self.number) - len(self.seen)))
-        lens = self.starts[which + 1] - self.starts[which]
-        ends = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[which] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        return ids, np.bincount(owner, lens, len(texts)).astype(np.int64)
+        t = self.tokenizer = Tokenizer.from_file(path)
+        splits = str(t.pre_tokenizer)
+        self.known = t.normalizer is None and splits.startswith("ByteLevel") and "add_prefix_space=False" in splits and "use_regex=True" in splits
+        self.added = [a.content for a in t.get_added_tokens_decoder().values()]
+        self.type = np.dtype("<u2" if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.cut = re.compile(PIECE).findall
+        self.cache, self.kept, self.older = cache, {}, {}
+        line = t.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes pieces, as lines of one text; those of white space alone for themselves."""
+        apart = [p for p in new if self.line is None or p.isspace()]
+        self.kept.update(zip(apart, self.whole(apart), strict=True))
+        lines = [p for p in new if p not in self.kept]
+        if lines:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, self.type)
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids)) * self.type.itemsize
+            raw, starts = ids.tobytes(), np.append(0, ends[:-1] + self.type.itemsize)
+            self.kept.update(zip(lines, [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        alone = [not self.known or any(a in t for a in self.added) for t in texts]
+        pieces = [[] if x else self.cut(t) for t, x in zip(texts, alone, strict=True)]
+        every = set(chain.from_iterable(pieces))
+        if len(self.kept) > self.cache // 2:  # what isn't used before the next time is forgotten
+            self.kept, self.older = {}, self.kept
+        new = [p for p in every if p not in self.kept]
+        self.kept.update((p, self.older[p]) for p in new if p in self.older)
+        self.learn([p for p in new if p not in self.kept])
+        get = self.kept.__getitem__
+        return [self.whole([t])[0] if x else b"".join(map(get, p)) for t, x, p in zip(texts, alone, pieces, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -112,13 +108,9 @@ def to_ids(path: str):
 
         encoder, file, nth = encoder_of(path), TaskContext.get().partitionId(), 0
         for part in slices(batches):
-            ids, n = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-            ends = np.cumsum(n)
-            ids = np.insert(ids, ends, END_ID)
-            n, ends = n + 1, ends + np.arange(1, len(n) + 1)
-            small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
-            raw = [small[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            k = len(raw)
+            end = np.array([END_ID], encoder.type).tobytes()
+            raw = [x + end for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
+            n, k = [len(x) // encoder.type.itemsize for x in raw], len(raw)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([file] * k, pa.int32()), pa.array(np.arange(nth, nth + k)), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "file", "nth", "n_tokens", "ids"])
             nth += k
 

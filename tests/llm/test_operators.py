@@ -62,10 +62,10 @@ def test_decontamination(spark, docs):
     assert decontam.judge(docs, items.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_decontamination_without_sent_keys(spark, docs, monkeypatch):
+def test_decontamination_does_not_rest_on_the_sieve(spark, docs, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = {tuple(r) for r in decontam.judge(docs, items).select("doc_id", "n_hit").collect()}
-    monkeypatch.setattr(decontam, "MAX_SENT", 0)
+    monkeypatch.setattr(decontam, "sieve_of", lambda keys: spark.sparkContext.broadcast(np.full(1 << (decontam.SIEVE_BITS - 6), ~np.uint64(0))))
     assert {tuple(r) for r in decontam.judge(docs, items).select("doc_id", "n_hit").collect()} == want
 
 
@@ -81,7 +81,6 @@ def test_token_files(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokens.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     start, want = 0, {}
     for i, t in DOCS:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, tokens.END_ID]
@@ -102,11 +101,19 @@ def test_code_is_complete_and_short():
     assert (tokens.Decoder(lengths).unpack(bits, points, len(ids)) == ids).all()
 
 
-def test_forgetting_pieces_keeps_ids():
+def test_pieces_give_the_library_s_ids():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
     small, large = tokens.Encoder(tokens.default_tokenizer(), 20), tokens.Encoder(tokens.default_tokenizer())
-    for _, t in DOCS:
-        a, b = small.encode([t or ""]), large.encode([t or ""])
-        assert a[0].tolist() == b[0].tolist()
+    rnd = random.Random(12)
+    alphabet = ["a", "Zé", "ÿ", "×", "ª", "²", "1", "42", "'", "'s", "'st", "!", "?)", "_", "`", "\x01", "\x1c", "\x7f", "\x85", "\u00a0", "\u3000", " ", "  ", "\n", "\n ", "\t", "\r\n", "\u0301", "ж", "中", "😀", "<|", "<|endoftext|>", "|>", "ɏ", "ɐ"]
+    texts = [t or "" for _, t in DOCS] + ["".join(rnd.choices(alphabet, k=rnd.randrange(1, 30))) for _ in range(3000)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for encoder in (small, large):
+        got = [np.frombuffer(x, encoder.type).tolist() for i in range(0, len(texts), 100) for x in encoder.encode(texts[i : i + 100])]
+        assert got == want
+    assert "<|endoftext|>" in "".join(texts)
 
 
 def test_katz(docs):
