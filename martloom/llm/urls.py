@@ -1,4 +1,8 @@
-"""URL filter: rules and blocked hosts as sorted arrays of 64-bit digests, memory-mapped and probed by binary search."""
+"""URL filter: rules, blocked hosts and blocked words as sorted arrays of 64-bit digests, memory-mapped and probed by binary search.
+
+The list is given, not taken from the pages. An entry with a / is a rule, one that starts
+with * a word of a host's labels, any other a host. Every verdict comes from the array.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +20,9 @@ from martloom.llm.common import materialize, table
 
 #: (host, path) and verdict; a path starts and ends with /.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Words that, in a label of a host, put the host on the list of blocked hosts.
-BAD_LABELS = "casino|adult|porn|spam|pills|bets|poker|viagra|ads"
+#: Words that block a host which has one of them between the dots and hyphens of its name.
+BLOCKED_WORDS = ("casino", "adult", "porn", "spam", "pills", "bets", "poker", "viagra", "ads")
+WORD_MARK = "*"
 SHARD_ENTRIES = 1 << 20
 
 
@@ -30,21 +35,25 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(low, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def keys(host: Column, path: Column) -> Column:
-    """All entries that fit a url: each suffix of the host at a dot, with each start of the path that ends in /, and the suffix alone (a blocked host)."""
+def keys(host: Column, path: Column, depth: int) -> Column:
+    """All entries that fit a url: each suffix of the host at a dot, alone (a blocked host) and with each start of the path of at most depth slashes, and the host's words."""
     labels = F.split(host, r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    none = F.array().cast("array<string>")
     pieces = F.split(path, "/", -1)
-    starts = F.when(path.startswith("/"), F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(F.array_join(F.slice(pieces, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(suffixes, lambda s: F.concat(F.array(s), F.transform(starts, lambda p: F.concat(s, p)))))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.size(pieces) - 1, F.lit(depth))), lambda i: F.concat(F.array_join(F.slice(pieces, 1, i), "/"), F.lit("/")))
+    starts = F.when(path.startswith("/") & F.lit(depth > 0), starts).otherwise(none)
+    words = F.transform(F.array_distinct(F.split(host, "[.-]", -1)), lambda w: F.concat(F.lit(WORD_MARK), w))
+    return F.concat(F.flatten(F.transform(suffixes, lambda s: F.concat(F.array(s), F.transform(starts, lambda p: F.concat(s, p))))), words)
 
 
-def entries(rules, blocked_hosts: DataFrame) -> DataFrame:
-    """The list as rows (entry, verdict): rules hold a /, blocked hosts don't. Of entries given twice a rule's first verdict stays."""
-    spark = blocked_hosts.sparkSession
-    own = spark.createDataFrame([(h, v, i) for i, (h, v) in enumerate(rules)], "entry string, verdict string, n long")
-    given = own.unionByName(blocked_hosts.select(F.col("host").alias("entry"), F.lit("block").alias("verdict"), F.lit(0).cast("long").alias("n")))
-    return given.filter("entry is not null and entry <> ''").groupBy("entry").agg(F.min_by("verdict", "n").alias("verdict"))
+def entries(spark, rules, blocked_hosts: DataFrame | None, blocked_words) -> DataFrame:
+    """The list as rows (entry, verdict). Of entries given twice a rule's first verdict stays."""
+    own = [(h, v, i) for i, (h, v) in enumerate(rules)] + [(WORD_MARK + w, "block", 0) for w in blocked_words]
+    given = spark.createDataFrame(own, "entry string, verdict string, n long")
+    if blocked_hosts is not None:
+        given = given.unionByName(blocked_hosts.select(F.col("host").alias("entry"), F.lit("block").alias("verdict"), F.lit(0).cast("long").alias("n")))
+    return given.filter(f"entry is not null and entry not in ('', '{WORD_MARK}')").groupBy("entry").agg(F.min_by("verdict", "n").alias("verdict"))
 
 
 class DigestArray:
@@ -97,11 +106,12 @@ def found_in(shard_rows) -> object:
     return run
 
 
-def judge(pages: DataFrame, rules, blocked_hosts: DataFrame, shards: int | None = None) -> DataFrame:
-    """Verdict of each url: the longest rule that fits, else block if its host or a domain above is a blocked host, else allow.
+def judge(pages: DataFrame, rules, blocked_hosts: DataFrame | None = None, blocked_words=BLOCKED_WORDS, shards: int | None = None) -> DataFrame:
+    """Verdict of each url: the longest rule that fits, else block if its host, a domain above it or a word of its name is listed, else allow.
 
     The list and the different keys of all urls are dealt by digest; a shard's part of
-    the list becomes its digest array. Keys are made distinct before they are dealt, so a hot host costs a shard one probe.
+    the list becomes its digest array. A url's keys go no deeper than the deepest rule, and
+    are made distinct before they are dealt, so a hot host costs a shard one probe.
 
     A null url, or one without ://, has an empty host and path, fits nothing and is
     allowed. Rows that share a page_id stay rows of their own, other columns are
@@ -110,36 +120,31 @@ def judge(pages: DataFrame, rules, blocked_hosts: DataFrame, shards: int | None
     spark = pages.sparkSession
     p = pages.select("page_id", F.col("url").alias("_url"))
     host, path = parts(F.col("_url"))
+    depth = max((rule.count("/") for rule, _ in rules), default=0)
     p = p.select("page_id", host.alias("host"), path.alias("path"))
-    listed = materialize(entries(rules, blocked_hosts))
+    listed = materialize(entries(spark, rules, blocked_hosts, blocked_words))
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listed.count() // SHARD_ENTRIES))
-    whole = F.regexp_replace("path", "[^/]*$", "")
+    whole = F.regexp_extract("path", f"^((?:[^/]*/){{0,{max(depth, 1)}}})", 1)  # as far as rules tell paths apart
     places = p.select("host", whole.alias("dir")).distinct()
-    wanted = places.select(F.explode(keys(F.col("host"), F.col("dir"))).alias("key")).distinct()
+    wanted = places.select(F.explode(keys(F.col("host"), F.col("dir"), depth)).alias("key")).distinct()
     both = listed.select(F.col("entry").alias("key"), "verdict").unionByName(wanted.withColumn("verdict", F.lit(None).cast("string")))
     dealt = both.repartition(shards, F.xxhash64("key")).sortWithinPartitions(F.col("verdict").isNull())
     hits = materialize(dealt.mapInArrow(found_in(None), "key string, verdict string"))
+    is_rule = F.col("key").contains("/")
     judged = (
-        places.select("host", "dir", F.explode(keys(F.col("host"), F.col("dir"))).alias("key"))
+        places.select("host", "dir", F.explode(keys(F.col("host"), F.col("dir"), depth)).alias("key"))
         .join(hits, "key")
         .groupBy(F.col("host").alias("_host"), F.col("dir").alias("_dir"))
-        .agg(F.max_by(F.struct("key", "verdict"), F.when(F.col("key").contains("/"), F.length("key"))).alias("rule"), F.max(~F.col("key").contains("/")).alias("listed"))
+        .agg(F.max_by(F.struct("key", "verdict"), F.when(is_rule, F.length("key"))).alias("rule"), F.max(~is_rule).alias("listed"))
     )
     out = p.withColumn("dir", whole).join(judged, (F.col("host") == F.col("_host")) & (F.col("dir") == F.col("_dir")), "left")
     verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("listed"), F.lit("block")), F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("rule.key").alias("rule"), verdict.alias("verdict"))
 
 
-def hosts_with(pages: DataFrame, labels: str = BAD_LABELS) -> DataFrame:
-    """Hosts of a table of pages that have one of the words between the limits of a label's parts."""
-    host, _ = parts(F.col("_url"))
-    hosts = pages.select(F.col("url").alias("_url")).select(host.alias("host")).distinct()
-    return hosts.filter(F.col("host").rlike(rf"(^|[.-])({labels})([.-]|$)"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, RULES, hosts_with(pages))
+    return judge(pages, RULES)
 
 
 SQL = r"""
