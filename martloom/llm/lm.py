@@ -8,8 +8,9 @@ millions of tokens of neighbouring documents, as numbers into the chunk's own vo
      the part of their history; a part adds them up, stores its table of counts and answers
      each chunk with the counts of its bigrams and what a history's backoff weight needs.
   3. A chunk adds the documents' log probabilities.
-The bigrams of the most frequent histories are dealt by the pair, and those histories'
-sums, a table of bounded size, are added over all parts.
+There are as many parts as keep each at PART_TOKENS tokens or so. The bigrams of histories
+that would fill a good share of a part are dealt by the pair, and those histories' sums, a
+row for each of a few times as many histories as there are parts, are added over all parts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from martloom.llm.common import SPACED, Words, materialize, mix, slices, table
 CHUNK_TOKENS = 2_500_000
 END = np.uint64(0xE4D0)
 BOS_ID, UNK_ID, FIRST_ID = 0, 1, 2
-HOT = 4096
+#: Tokens for each part of the histories, on average, and the share of a part from which a history is dealt by the pair.
+PART_TOKENS, HOT_SHARE = 4_000_000, 1 / 16
 CUT = 5
 
 CHUNKS = "chunk long, doc_ids array<long>, held binary, counts binary, tokens binary, ranks binary, vocab binary, trained binary"
@@ -159,9 +161,13 @@ class Unigrams:
         self.counts = np.array([c for c, _, _ in known], np.int64)
         self.offsets = FIRST_ID + np.concatenate([[0], np.cumsum([w * parts for _, _, w in known])]).astype(np.int64)
         self.width = max(1, int(self.offsets[-1]).bit_length())
+        if 2 * self.width > 64:
+            raise ValueError(f"ids of {self.width} bits: two don't fit in a key of 64")
         kinds = np.array([n for _, n, _ in known], np.float64)
         self.tokens = int((self.counts * kinds).sum())
         self.words = int(kinds.sum())
+        # Ids are in order of count, so the frequent histories are those below one id, whatever the number of parts; so are BOS and the unknown word.
+        self.hot = int(self.offsets[np.searchsorted(-self.counts, -HOT_SHARE * self.tokens / parts)])
         by = dict(zip(self.counts.tolist(), kinds.tolist(), strict=True))
         d = discounts([by.get(r, 0.0) for r in range(1, CUT + 2)])
         share = np.where(self.counts <= CUT, d[np.minimum(self.counts, CUT)], 1.0) * self.counts / max(self.tokens, 1)
@@ -220,7 +226,7 @@ class Chunk:
         before[np.cumsum(self.n) - self.n] = BOS_ID
         keys, which = np.unique((before << np.uint64(u.width)) | self.words, return_inverse=True)
         history = keys >> np.uint64(u.width)
-        part = (np.where(history < HOT, mix(keys.copy()), mix(history)) % np.uint64(parts)).astype(np.int64)
+        part = (np.where(history < u.hot, mix(keys.copy()), mix(history)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -264,9 +270,9 @@ def answers(unigrams):
         ends, rows = np.cumsum([len(a) for a in asked]).tolist(), []
         for chunk, a, z in zip(t.column("chunk").to_pylist(), [0, *ends], ends, strict=False):
             at = np.searchsorted(names, np.unique(history[which[a:z]]))
-            at = at[names[at] >= HOT]
+            at = at[names[at] >= u.hot]
             rows.append((chunk, part, packed(counts[which[a:z]]), [*[packed(s[at]) for s in sums[:-1]], packed(sums[-1][at].view(np.uint64))], None, None))
-        hot = names < HOT
+        hot = names < u.hot
         total = np.bincount(np.searchsorted(names, history), counts.astype(float), len(names))[hot]
         tops = [packed(names[hot]), *[packed(s[hot]) for s in sums[:-1]], packed(sums[-1][hot].view(np.uint64)), packed(total.astype(np.uint64))]
         rows.append((-1, part, packed(np.bincount(counts[(counts > 0) & (counts <= CUT + 1)], minlength=CUT + 2)), tops, steps(keys[seen]), packed(counts[seen])))
@@ -296,7 +302,7 @@ class Katz:
 
     def __init__(self, unigrams: Unigrams, kinds: list[float], hot: list[tuple]) -> None:
         self.unigrams, self.d = unigrams, discounts(kinds)
-        self.hot = {int(r[0]): r[1:] for r in hot}
+        self.frequent = {int(r[0]): r[1:] for r in hot}
 
     def weights(self, kinds: list[np.ndarray], share: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backoff weight and denominator of histories."""
@@ -325,15 +331,15 @@ def scores_of(model, parts: int):
             for p, _, sums in got:
                 a, z = np.searchsorted(chunk.part, [p, p + 1])
                 history = chunk.history[a:z]
-                names = np.unique(history[history >= HOT])
+                names = np.unique(history[history >= u.hot])
                 a_w, b_w = katz.weights([unpacked(s) for s in sums[:CUT]], unpacked(sums[CUT]).view(np.float64), u.count(names))
                 at = np.searchsorted(names, history)
-                calm = history >= HOT
+                calm = history >= u.hot
                 alpha[a:z][calm], below[a:z][calm] = a_w[at[calm]], b_w[at[calm]]
-            hot = np.flatnonzero(chunk.history < HOT)
+            hot = np.flatnonzero(chunk.history < u.hot)
             if len(hot):
                 names, which = np.unique(chunk.history[hot], return_inverse=True)
-                rows = np.array([katz.hot.get(int(h), (0.0,) * (CUT + 2)) for h in names])
+                rows = np.array([katz.frequent.get(int(h), (0.0,) * (CUT + 2)) for h in names])
                 a_w, b_w = katz.weights(list(rows[:, :CUT].T), rows[:, CUT], rows[:, CUT + 1])
                 alpha[hot], below[hot] = a_w[which], b_w[which]
             logs = katz.log10(found, chunk.pairs & np.uint64((1 << u.width) - 1), alpha, below)
@@ -349,7 +355,12 @@ def scores_of(model, parts: int):
     return run
 
 
-def score(docs: DataFrame, held_out=None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def chunk_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(unpacked(raw).sum()) for raw in b.column("counts").to_pylist()], LONG)], ["n"])
+
+
+def score(docs: DataFrame, held_out=None, chunk_tokens: int = CHUNK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Scores of all documents under the model of those that aren't held out (a Column; by default crc32(doc_id) mod 5 is 1).
 
     Tokens are words, A-Z in lower case, and one end. A word that training hasn't is the one
@@ -358,11 +369,12 @@ def score(docs: DataFrame, held_out=None, chunk_tokens: int = CHUNK_TOKENS) -> D
     columns are ignored.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if held_out is None:
         held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
     chunks = materialize(given.mapInArrow(cut(chunk_tokens), CHUNKS))
+    tokens = chunks.select("counts").mapInArrow(chunk_sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // part_tokens))
     vocab = materialize(chunks.select("chunk", "vocab", "trained").mapInArrow(split(parts), SPLIT).groupBy("part").applyInArrow(vocabulary, VOCAB))
     classes = vocab.select("counts").mapInArrow(counts_of_counts, "c long, n long").groupBy("c").agg(F.sum("n").alias("words"), F.max("n").alias("widest")).collect()
     unigrams = Unigrams([(r[0], r[1], r[2]) for r in classes], parts)
