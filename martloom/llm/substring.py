@@ -1,14 +1,18 @@
-"""Substring dedup by a relative Lempel-Ziv parse of documents against blocks of all earlier ones.
+"""Substring dedup after relative Lempel-Ziv: factors of documents in blocks of all earlier ones.
 
 The reference is the corpus itself, cut into blocks where its words say so: of each window
 of 50 words the least 8-word hash is the anchor, and windows in a row with one anchor make
 a block. Equal windows have equal anchors, so a window need only be looked up in the blocks
 that its anchor indexes, and every window lies in exactly one block: no factor is lost at a
-block's limit. Equal blocks are indexed once, under the least doc_id that holds them. A
-document is parsed greedily from left to right: a factor starts at the first window that an
-earlier document's block holds and goes on as long as the next window is held too, and at
-its end the windows across the boundary are looked up as well. Factors of 50 words or more,
-which is all of them, are the duplicate spans.
+block's limit. Equal blocks are indexed once, under the least doc_id that holds them.
+
+A factor is a stretch whose windows earlier documents hold. Greedy parsing looks for the
+longest match from a place and goes on at its end; since a factor counts from 50 words, and
+the windows across its ends are checked too, what it finds is the union of all 50-word
+windows that the reference holds. That union is built here without the walk: the windows of
+an anchor's blocks are matched by 64-bit hash, all at once, and those that follow each other
+are one factor. Which earlier document a factor points to isn't kept. The windows of an
+anchor with many blocks are dealt by hash into shares.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +31,11 @@ from martloom.llm.common import SPACED, Words, grams, materialize, prefix, signe
 WINDOW = 50
 ANCHOR = 8
 BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-#: Blocks of one anchor that a task may hold together; those of an anchor with more are dealt by window.
-HOT = 100_000
+#: Blocks of one anchor for each share into which the anchor's windows are dealt, by hash.
+SHARE = 20_000
 
 BLOCKS = "doc_id long, start int, n int, anchor long, b1 long, b2 long"
-HASHED = "b1 long, b2 long, n int, anchor long, d0 long, hashes binary"
+HASHED = "b1 long, b2 long, n int, anchor long, share int, d0 long, places binary, hashes binary"
 FOUND = "b1 long, b2 long, n int, runs array<struct<from:int,to:int>>"
 
 
@@ -62,7 +67,7 @@ def cut(window: int):
 
 
 def window_hashes(window: int):
-    """Hashes of all windows of the blocks that a document stands for."""
+    """Hashes of all windows of the blocks that a document stands for, and their places in the block: a row for each share of the block's anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -71,9 +76,15 @@ def window_hashes(window: int):
             ids, out = part.column("doc_id").to_pylist(), []
             for row, blocks in enumerate(part.column("blocks").to_pylist()):
                 first = int(w.rows[row])
-                out += [(b["b1"], b["b2"], b["n"], b["anchor"], ids[row], g[first + b["start"] : first + b["start"] + b["n"]].tobytes()) for b in blocks]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b1", "b2", "n", "anchor", "d0", "hashes"])
+                for b in blocks:
+                    h = g[first + b["start"] : first + b["start"] + b["n"]]
+                    which = h % np.uint64(b["shares"])
+                    for share in np.unique(which).tolist():
+                        at = np.flatnonzero(which == share)
+                        out.append((b["b1"], b["b2"], b["n"], b["anchor"], share, ids[row], at.astype(np.int32).tobytes(), h[at].tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["b1", "b2", "n", "anchor", "share", "d0", "places", "hashes"])
 
     return run
 
@@ -87,12 +98,14 @@ def runs_of(offsets: np.ndarray) -> list[dict]:
 
 
 def held_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, the runs of its windows that a block of a lesser doc_id holds. Blocks come by anchor; those of an anchor are looked at together."""
+    """For each block, the runs of its windows that a block of a lesser doc_id holds. Blocks come by anchor and share; those of one are looked at together."""
     kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def judged(t: pa.Table) -> pa.RecordBatch:
-        n, d0 = t.column("n").to_numpy(), t.column("d0").to_numpy()
+        d0 = t.column("d0").to_numpy()
         h = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint64)
+        place = np.frombuffer(b"".join(t.column("places").to_pylist()), np.int32)
+        n = pc.binary_length(t.column("places")).to_numpy() // 4
         owner = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((d0[owner], h))
         first = np.ones(len(h), bool)
@@ -102,19 +115,19 @@ def held_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier = least < d0[owner]
         ends = np.cumsum(n)
         rows = np.unique(owner[earlier])
-        runs = [runs_of(np.flatnonzero(earlier[ends[i] - n[i] : ends[i]])) for i in rows]
+        runs = [runs_of(place[ends[i] - n[i] : ends[i]][earlier[ends[i] - n[i] : ends[i]]]) for i in rows]
         t = t.take(pa.array(rows))
         return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("b1", "b2", "n")] + [pa.array(runs, kind)], ["b1", "b2", "n", "runs"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < 20_000:
+        if sum(b.num_rows for b in held) < SHARE:
             continue
         t = pa.Table.from_batches(held)
-        anchors = t.column("anchor").to_numpy()
-        change = np.flatnonzero(anchors != anchors[-1])
-        if len(change):  # all but the last anchor are complete
+        anchors, shares = t.column("anchor").to_numpy(), t.column("share").to_numpy()
+        change = np.flatnonzero((anchors != anchors[-1]) | (shares != shares[-1]))
+        if len(change):  # all but the last anchor and share are complete
             to = int(change[-1]) + 1
             yield judged(t.slice(0, to))
             held = t.slice(to).to_batches()
@@ -122,36 +135,19 @@ def held_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judged(pa.Table.from_batches(held))
 
 
-def hot_windows(hashed: DataFrame) -> DataFrame:
-    """held_earlier for anchors of many blocks: dealt by window hash, least doc_id for each, joined back."""
-
-    def longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [np.frombuffer(x, np.int64).tolist() for x in b.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("b1", "b2", "n", "d0")], pa.array(lists, pa.list_(pa.int64()))], ["b1", "b2", "n", "d0", "h"])
-
-    each = hashed.mapInArrow(longs, "b1 long, b2 long, n int, d0 long, h array<long>").select("b1", "b2", "n", "d0", F.posexplode("h").alias("at", "w"))
-    least = each.groupBy(F.col("w").alias("_w")).agg(F.min("d0").alias("_least"))
-    earlier = each.join(least, F.col("w") == F.col("_w")).filter("_least < d0")
-    return earlier.groupBy("b1", "b2", "n").agg(F.transform(F.sort_array(F.collect_list("at")), lambda i: F.struct(i.alias("from"), (i + 1).alias("to"))).alias("runs"))
-
-
-def factors(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def factors(docs: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """doc_id and runs of first words (from, to) of windows that an earlier document, by doc_id, holds too."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialize(docs.select("doc_id", "text").mapInArrow(cut(window), BLOCKS))
     index = blocks.groupBy("anchor", "b1", "b2", "n").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
     index = materialize(index.select("anchor", "b1", "b2", "n", F.col("first.doc_id").alias("d0"), F.col("first.start").alias("start"), (F.col("last") > F.col("first.doc_id")).alias("again")))
     sharing = index.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("_blocks")).filter("_blocks > 1")
-    looked = index.join(sharing, F.col("anchor") == F.col("_anchor"))
-    wanted = looked.groupBy(F.col("d0").alias("_d")).agg(F.collect_list(F.struct("b1", "b2", "n", "anchor", "start")).alias("blocks"))
+    looked = index.join(sharing, F.col("anchor") == F.col("_anchor")).withColumn("shares", F.ceil(F.col("_blocks") / share))
+    wanted = looked.groupBy(F.col("d0").alias("_d")).agg(F.collect_list(F.struct("b1", "b2", "n", "anchor", "start", "shares")).alias("blocks"))
     hashed = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_d")).select("doc_id", "text", "blocks").mapInArrow(window_hashes(window), HASHED)
     hashed = materialize(hashed)
-    crowded = materialize(sharing.filter(F.col("_blocks") > hot).select("_anchor"))
-    calm = hashed.join(crowded, F.col("anchor") == F.col("_anchor"), "left_anti")
-    found = calm.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(held_earlier, FOUND)
-    if crowded.limit(1).count():
-        found = found.unionByName(hot_windows(hashed.join(crowded, F.col("anchor") == F.col("_anchor"), "left_semi")))
+    found = hashed.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(held_earlier, FOUND)
+    found = found.groupBy("b1", "b2", "n").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     found = found.select(F.col("b1").alias("_f1"), F.col("b2").alias("_f2"), F.col("n").alias("_fn"), "runs")
     used = index.join(found, (F.col("b1") == F.col("_f1")) & (F.col("b2") == F.col("_f2")) & (F.col("n") == F.col("_fn")), "left").filter("again or runs is not null")
     used = used.select(F.col("b1").alias("_b1"), F.col("b2").alias("_b2"), F.col("n").alias("_n"), "d0", "runs")
@@ -182,7 +178,7 @@ def removed(window: int):
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and spans (start, end in words) of what was removed.
 
     A null or empty text has no words; one of fewer than window words loses none. Rows that
@@ -191,7 +187,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
     nothing. An empty table gives no rows; other columns are ignored.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = factors(keyed.filter("doc_id is not null"), window, hot).select(F.col("doc_id").alias("_id"), "runs")
+    found = factors(keyed.filter("doc_id is not null"), window, share).select(F.col("doc_id").alias("_id"), "runs")
     joined = keyed.join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>")
 
