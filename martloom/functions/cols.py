@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MONEY = "decimal(18,2)"
 QUANTITY = "decimal(18,4)"
@@ -93,7 +97,13 @@ def person_name(payload: Column, path: str) -> Column:
     return F.coalesce(text_of(payload, path), text_of(payload, f"{path}.name"), joined(f"{path}.name"), joined(path))
 
 
+@F.pandas_udf(StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition, then case folding."""
+    plain = pc.utf8_normalize(pa.array(s, pa.string(), from_pandas=True), "NFKD")
+    return plain.to_pandas().str.casefold()
+
+
 def normalized_text(c: Column) -> Column:
     """Text without accents, case and repeated white space, for matching."""
-    plain = F.translate(F.lower(c), "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[\\u0300-\\u036f]", ""), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(_folded(c), r"\p{M}+", ""), r"(?U)\s+", " "))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martloom.functions.cols import normalized_text
+from martloom.sources.sinks import stored
 
 LINE = ["document_type", "document_id", "line_number"]
 UNITS = "decimal(28,4)"
@@ -72,6 +73,31 @@ def opening_decision(runs: DataFrame, tenant_id: str, cutoff: date, content_hash
     return "reject" if rows.filter(F.col("status").startswith("succeeded")).limit(1).count() else "import"
 
 
+def opening_warehouse(warehouses: DataFrame, tenant_id: str, external_id: str | None = None) -> int:
+    """Key of the one active warehouse of a tenant, or of the one with this external id; none or several are an error."""
+    rows = warehouses.filter((F.col("tenant_id") == tenant_id) & ~F.col("is_deleted"))
+    if external_id is not None:
+        rows = rows.filter(F.col("external_id") == external_id)
+    found = rows.select("warehouse_key").orderBy("warehouse_key").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"an opening report needs one active warehouse, not {'several' if found else 'none'}")
+    return found[0][0]
+
+
+def layer_warehouse(warehouses: DataFrame, tenant_id: str) -> int:
+    """Key of the lowest active warehouse of a tenant, where cost layers lie; none is an error."""
+    found = warehouses.filter((F.col("tenant_id") == tenant_id) & ~F.col("is_deleted")).agg(F.min("warehouse_key")).first()[0]
+    if found is None:
+        raise ValueError("no active warehouse")
+    return found
+
+
+def allocation_status(layers: DataFrame, cutoff: date) -> str:
+    """'skipped_no_opening_basis' if no opening layer opens at the cutoff, else 'ready'."""
+    basis = layers.filter((F.col("source") == "opening") & (F.col("opened_on") == F.lit(cutoff)))
+    return "ready" if basis.limit(1).count() else "skipped_no_opening_basis"
+
+
 def cost_layers(classified: DataFrame, purchases: DataFrame, cutoff: date) -> DataFrame:
     """Opening layers, and a layer of each purchase line with a product, a quantity above 0 and a cost, from the cutoff."""
     opening = classified.filter("classification = 'opening_layer'").select("product_key", F.concat(F.lit("O"), F.col("row_number").cast("string")).alias("layer_id"), F.lit(cutoff).alias("opened_on"), F.lit("opening").alias("source"), F.lit(None).cast("string").alias("source_document_id"), F.col("row_number").cast("int").alias("source_line_number"), F.col("quantity").cast(UNITS).alias("quantity"), F.col("average_cost").cast(COST).alias("unit_cost"))
@@ -178,10 +204,11 @@ def fifo_allocate(sales: DataFrame, layers: DataFrame, cutoff: date | None = Non
     The last consumed segment of a line takes up the rounding, so that a line's segments
     add up to its cost rounded to cents. A line without a product is unavailable as a whole.
     """
-    sequence = sales_sequence(sales, cutoff)
-    placed = intervals(sequence.filter("product_key is not null"), layers)
-    cut = segments(placed, layers)
-    costs = return_costs(placed, cut)
+    layers = stored(layers)
+    sequence = stored(sales_sequence(sales, cutoff))
+    placed = stored(intervals(sequence.filter("product_key is not null"), layers))
+    cut = stored(segments(placed, layers))
+    costs = stored(return_costs(placed, cut))
     of_layer = costs.select(F.col("product_key").alias("_p"), F.col("seq").alias("_s"), F.col("unit_cost").alias("_cost"))
     priced = cut.join(of_layer, (F.col("product_key") == F.col("_p")) & (F.col("return_seq") == F.col("_s")), "left").withColumn("unit_cost", F.coalesce("unit_cost", "_cost"))
     line = Window.partitionBy(*LINE)

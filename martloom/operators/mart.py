@@ -8,14 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martloom.functions.cols import DEFAULT_CURRENCY, NO_FAMILY, blank_to_null
+from martloom.sources.sinks import counted, stored, write_dim, write_facts
 
 
 def upsert_dim(old: DataFrame, source: DataFrame, key: str, natural: list[str] | None = None) -> DataFrame:
-    """A dimension with its source's rows: known ones keep their key, new ones follow the highest; rows gone from the source stay. Only new rows are numbered together."""
+    """A dimension with its source's rows: known ones keep their key, new ones follow the highest; rows gone from the source stay.
+
+    New rows are numbered in ranges of the natural key: a range starts after the rows of
+    those before it, so that no task sorts a whole first load.
+    """
     natural = natural or ["tenant_id", "external_id"]
     known = source.join(old.select(*natural, key), natural, "left")
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    new = known.filter(F.col(key).isNull()).drop(key).withColumn("_nth", F.row_number().over(Window.orderBy(*natural))).join(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_nth")).cast("long")).drop("_nth", "_top")
+    new = stored(known.filter(F.col(key).isNull()).drop(key).repartitionByRange(*natural).withColumn("_range", F.spark_partition_id()))
+    ranges = new.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranges.select("_r", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first")).crossJoin(top)
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*natural))
+    new = new.withColumn("_nth", nth).join(starts, F.col("_range") == F.col("_r"))
+    new = new.withColumn(key, (F.col("_top") + F.col("_first") + F.col("_nth")).cast("long"))
     kept = known.filter(F.col(key).isNotNull())
     gone = old.join(source.select(*natural), natural, "left_anti")
     columns = old.columns
@@ -27,6 +38,11 @@ def hashed_key(*natural: str):
     return F.xxhash64(*natural)
 
 
+def dim_tenant(tenants: DataFrame) -> DataFrame:
+    """Tenants with slug and name."""
+    return tenants.select("tenant_id", "slug", "name")
+
+
 def dim_product(items: DataFrame) -> DataFrame:
     """Items as product rows: a blank family is SIN FAMILIA, a blank supplier none."""
     return items.withColumn("family_name", F.coalesce(blank_to_null(F.col("family_name")), F.lit(NO_FAMILY))).withColumn("preferred_supplier_name", blank_to_null(F.col("preferred_supplier_name")))
@@ -77,3 +93,19 @@ def fact_snapshots(rows: DataFrame, products: DataFrame, warehouses: DataFrame)
     rows = _keyed(rows, products, "item_id", "product_key", "product_key")
     rows = _keyed(rows, warehouses, "warehouse_id", "warehouse_key", "warehouse_key").drop("item_id", "warehouse_id")
     return rows.withColumn("value", F.round(F.col("quantity") * F.col("unit_cost"), 2).cast("decimal(18,2)"))
+
+
+def refresh(tables: dict, path: str) -> dict[str, int]:
+    """Writes a mart in order: dimensions, facts, what is derived from them, costs. Gives the rows written of each table, as observed.
+
+    tables: name -> function of what is written so far (name -> DataFrame) that gives the
+    table, in that order; names that start with fact_ are replaced tenant by tenant.
+    """
+    done: dict[str, DataFrame] = {}
+    rows: dict[str, int] = {}
+    rank = {"dim": 0, "fact": 1, "derived": 2, "cost": 3}
+    for name, make in sorted(tables.items(), key=lambda x: rank[x[0].split("_")[0]]):
+        df, at = make(done), f"{path}/{name}"
+        rows[name] = counted(df, lambda d, n=name, to=at: write_facts(d, to) if n.startswith("fact_") else write_dim(d, to))
+        done[name] = df.sparkSession.read.parquet(at)
+    return rows

@@ -8,6 +8,7 @@ from martloom.operators import costing as c
 from martloom.operators import sales as s
 from martloom.plans.fixtures import with_fixtures
 from martloom.plans.reports import YEAR, on
+from martloom.sources.sinks import stored
 
 CUTOFF = date(1998, 1, 1)
 
@@ -26,7 +27,7 @@ def _lines(m, invoices: bool):
 
 
 def _allocated(m, invoices: bool = False):
-    return c.fifo_allocate(_lines(m, invoices), _layers(m), CUTOFF)
+    return stored(c.fifo_allocate(stored(_lines(m, invoices)), _layers(m), CUTOFF))
 
 
 def _costs(m, invoices: bool = False):

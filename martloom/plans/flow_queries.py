@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +12,7 @@ from martloom.operators import replenish as r
 from martloom.plans.fixtures import with_fixtures
 from martloom.plans.reports import AS_OF, MODES, YEAR, on, period
 from martloom.sources import documents as docs
+from martloom.sources.sinks import shared_folder
 from martloom.streaming import changes
 
 
@@ -106,24 +103,12 @@ def _events(m) -> DataFrame:
     return rows.unionByName(rows.filter("event_id % 20 = 0")).drop("event_id")
 
 
-def _shared(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="martloom-")
-    return f"{root.rstrip('/')}/changes-{uuid.uuid4().hex}"
-
-
 def stream_changes(m) -> DataFrame:
     """Events written as JSON files, read as a stream, and logged once each, batch by batch: rows of the event log."""
-    spark, path = m.spark, _shared(m.spark)
+    spark, path = m.spark, shared_folder(m.spark, "changes")
     _events(m).repartition(4).write.json(f"{path}/in")
     log = f"{path}/log"
-
-    def apply(batch: DataFrame, epoch: int) -> None:
-        fresh = changes.first_seen(changes.parse_events(batch))
-        past = spark.read.parquet(f"{log}/epoch=*") if epoch else None
-        kept = changes.first_seen(fresh, past.filter(F.lit(True)) if past is not None else None)
-        kept.write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
-
-    changes.run_changes(changes.read_events(spark, f"{path}/in", 2), apply, f"{path}/checkpoint")
+    changes.run_changes(changes.read_events(spark, f"{path}/in", 2), changes.logged_once(log), f"{path}/checkpoint")
     return spark.read.option("basePath", log).parquet(f"{log}/epoch=*").select("tenant_id", "subject", "entity_type", "action", "external_id")
 
 

@@ -6,11 +6,8 @@ A payload is JSON text; only the wanted fields leave it. Raw tables hold tenant_
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Iterator
 
-import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +35,16 @@ def read_payload_pages(spark: SparkSession, path: str, resource: str) -> DataFra
 
 
 def canonical_hash(payload: Column) -> Column:
-    """SHA-256 of key-sorted compact ASCII JSON."""
+    """SHA-256 of the payload with keys sorted and no spaces; of the text as it is where that isn't JSON. Null stays null."""
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(payload)), payload), 256)
 
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda p: None if p is None else hashlib.sha256(json.dumps(json.loads(p), sort_keys=True, separators=(",", ":")).encode()).hexdigest())
 
-    return F.pandas_udf(digest, "string")(payload)
+def rebuild_lines(current: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines with those of all documents of the current state derived again from their payloads. Doing it twice changes nothing."""
+    again = document_lines(current)
+    keys = ["tenant_id", "document_id"]
+    ids = current.select("tenant_id", external_id().alias("document_id")).filter("document_id is not null").distinct()
+    return lines.join(ids, keys, "left_anti").unionByName(again)
 
 
 def external_id() -> Column:

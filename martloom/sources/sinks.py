@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a Spark of one process may go without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="martloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once and read back, for frames that several others use: each would plan the whole chain again."""
+    path = shared_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, write) -> int:
+    """Writes df and gives the number of rows that were written, observed on the way."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return int(seen.get["rows"])
 
 
 def write_facts(fact: DataFrame, path: str) -> None:

@@ -58,6 +58,17 @@ def run_changes(events: DataFrame, apply, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def logged_once(log: str):
+    """What to apply to each batch: its events that no earlier batch has logged, written as the batch's own part of the log. A batch that comes again finds the same and overwrites its part."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        past = spark.read.option("basePath", log).parquet(f"{log}/epoch=*").filter(F.col("epoch") < epoch) if epoch else None
+        first_seen(parse_events(batch), past).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+
+    return apply
+
+
 def payload_of(entity: str):
     """JSON of an event's entity."""
     return json_at(F.col("message"), entity)
