@@ -19,35 +19,35 @@ def raw(spark, *payloads):
 
 
 def test_periods():
-    f = ReportFilter(date(2026, 7, 1), date(2026, 7, 31))
-    assert (f.previous().from_date, f.previous().to_date) == (date(2026, 5, 31), date(2026, 6, 30))
-    assert default_period(date(2026, 7, 30)).from_date == date(2026, 7, 1)
+    f = ReportFilter(date(2024, 3, 1), date(2024, 3, 10))
+    assert (f.previous().from_date, f.previous().to_date) == (date(2024, 2, 20), date(2024, 2, 29))
+    assert default_period(date(2025, 2, 17)).from_date == date(2025, 1, 19)
     with pytest.raises(ValueError):
-        ReportFilter(date(2026, 8, 1), date(2026, 7, 1))
+        ReportFilter(date(2025, 5, 2), date(2025, 5, 1))
 
 
 def test_invoice(spark):
-    p = {"id": 7, "date": "2026-07-01T10:00:00", "client": {"id": "3", "name": {"firstName": "Ana", "lastName": "Ruiz"}}, "seller": {"id": 9, "name": "Eva"}, "total": "100.00", "totalPaid": 40, "balance": "60", "currency": {"code": "USD"}, "items": [{"id": 1, "name": "A", "price": 10, "quantity": 2}, "x", {"id": 1, "price": 20, "quantity": 4}]}
+    p = {"id": 7, "date": "2031-03-09T23:15:00", "client": {"id": "3", "name": {"firstName": "Ana", "lastName": "Ruiz"}}, "seller": {"id": 9, "name": "Eva"}, "total": "88.50", "totalPaid": 33, "balance": "55.5", "currency": {"code": "USD"}, "items": [{"id": 1, "name": "A", "price": 3.5, "quantity": 7}, "x", {"id": 1, "price": 11, "quantity": 0.5}]}
     h = docs.invoice_headers(raw(spark, p, {"date": "no id"})).collect()
     assert len(h) == 1
-    assert (h[0].document_id, h[0].date, h[0].status, h[0].client_name, h[0].seller_name, h[0].total_paid, h[0].currency_code) == ("7", date(2026, 7, 1), "unknown", "Ana Ruiz", "Eva", Decimal(40), "USD")
+    assert (h[0].document_id, h[0].date, h[0].status, h[0].client_name, h[0].seller_name, h[0].total_paid, h[0].currency_code) == ("7", date(2031, 3, 9), "unknown", "Ana Ruiz", "Eva", Decimal(33), "USD")
     lines = [(r.line_number, r.name, r.total) for r in docs.invoice_lines(raw(spark, p)).orderBy("line_number").collect()]
-    assert lines == [(1, "A", Decimal(20)), (3, "Sin nombre", Decimal(80))]
+    assert lines == [(1, "A", Decimal("24.5")), (3, "Sin nombre", Decimal("5.5"))]
 
 
 def test_lines_of_bills(spark):
-    a = {"id": 1, "purchases": {"items": [1, {"id": 5, "quantity": 3, "price": 12500}]}}
+    a = {"id": 1, "purchases": {"items": [1, {"id": 5, "quantity": 3, "price": 7.25}]}}
     b = {"id": 2, "items": [{"item": {"id": 6}, "quantity": 2, "price": 0, "unitPrice": 4, "total": 0, "amount": 9}]}
     got = {(r.document_id, r.line_number, r.item_id, r.total) for r in docs.document_lines(raw(spark, a, b)).collect()}
-    assert got == {("1", 1, "5", Decimal(37500)), ("2", 1, "6", Decimal(9))}
+    assert got == {("1", 1, "5", Decimal("21.75")), ("2", 1, "6", Decimal(9))}
 
 
 def test_items_and_snapshots(spark):
-    item = {"id": 4, "name": "N", "reference": {"value": "R"}, "inventory": {"availableQuantity": 12.5, "unitCost": 85000}, "customFields": [{"label": "familia ", "value": "GAMING"}, {"key": "PROVEEDOR", "value": "JALTECH"}]}
+    item = {"id": 4, "name": "N", "reference": {"value": "R"}, "inventory": {"availableQuantity": 3.125, "unitCost": 41.6}, "customFields": [{"label": "familia ", "value": "Jardinería"}, {"key": "PROVEEDOR", "value": "Norte y Cía"}]}
     r = docs.items(raw(spark, item)).first()
-    assert (r.reference, r.inventory_enabled, r.family_name, r.preferred_supplier_name) == ("R", True, "GAMING", "JALTECH")
+    assert (r.reference, r.inventory_enabled, r.family_name, r.preferred_supplier_name) == ("R", True, "Jardinería", "Norte y Cía")
     rows = spark.createDataFrame([("1", "w", 0, json.dumps(item)), ("1", "w", 1, json.dumps(item)), ("1", "w", 2, '{"id": 9}')], "run_id string, warehouse_id string, seq int, payload string")
-    assert [(x.item_id, x.quantity) for x in docs.snapshot_rows(rows).collect()] == [("4", Decimal("12.5"))]
+    assert [(x.item_id, x.quantity) for x in docs.snapshot_rows(rows).collect()] == [("4", Decimal("3.125"))]
 
 
 def test_pages(spark):
@@ -57,9 +57,9 @@ def test_pages(spark):
 
 
 def test_opening_report(spark):
-    t = spark.createDataFrame([("c", "Item A", "r", "", "1,000", "", "u", "e", "1500000", "z"), ("c", None, "", "", "x", "", "", "", "", "z")], ["Categoría", "Ítem", "Referencia", "Descripción", "Cantidad", "Cantidad en remisiones", "Unidad", "Estado", "Costo promedio", "Total"])
+    t = spark.createDataFrame([("c", "Item A", "r", "", "1,000", "", "u", "e", "918.4", "z"), ("c", None, "", "", "x", "", "", "", "", "z")], ["Categoría", "Ítem", "Referencia", "Descripción", "Cantidad", "Cantidad en remisiones", "Unidad", "Estado", "Costo promedio", "Total"])
     r = opening_report(t.limit(1)).collect()
-    assert [(x.item, x.quantity, x.reserved, x.average_cost) for x in r] == [("Item A", Decimal(1000), Decimal(0), Decimal(1500000))]
+    assert [(x.item, x.quantity, x.reserved, x.average_cost) for x in r] == [("Item A", Decimal(1000), Decimal(0), Decimal("918.4"))]
     with pytest.raises(ValueError):
         opening_report(t.drop("Ítem"))
 
