@@ -31,8 +31,10 @@ CACHE = 600_000
 # none of that holds, a piece goes on to the next white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTER, SIGN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+ONE = rf" ?[{LETTER}]+| ?[{SIGN}]+| ?[0-9]+"
 PIECE = rf" ?[{LETTER}]++(?=[\x00-\x7f]|\Z)| ?[{SIGN}]++(?=[A-Za-z0-9\t-\r ]|\Z)| ?[0-9]++(?=[\x00-\x7f]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: A task's rows, and last one of file -1 with how often it has given each id.
 IDS = "doc_id long, file int, nth long, n_tokens int, ids binary"
 BLOCK = "file int, block long, doc_ids array<long>, lengths array<int>, points array<long>, bits binary"
 READ = "doc_id long, file int, block long, nth int, before long, n_tokens long, ids_crc32 long"
@@ -44,6 +46,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it shows, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of texts, each as the bytes of its ids. The library encodes a piece once while it is kept; a text's ids are those of its pieces, one after the other.
 
@@ -53,7 +62,7 @@ class Encoder:
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         t = self.tokenizer = Tokenizer.from_file(path)
         splits = str(t.pre_tokenizer)
@@ -64,30 +73,48 @@ class Encoder:
         self.cache, self.kept, self.older = cache, {}, {}
         line = t.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        # For pieces that the library wouldn't cut further: its model without its splitter. Lengths of tokens tell where a piece ends.
+        self.model = Tokenizer(t.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters, self.one = byte_letters(), re.compile(ONE).fullmatch
+        self.size = np.zeros(t.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        for token, i in t.get_vocab(with_added_tokens=False).items():
+            self.size[i] = len(token)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def keep(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw, k = ids.tobytes(), self.type.itemsize
+        self.kept.update(zip(pieces, [raw[a:z] for a, z in zip((k * starts).tolist(), (k * ends).tolist(), strict=True)], strict=True))
+
     def learn(self, new: list[str]) -> None:
         """Encodes pieces, as lines of one text; those of white space alone for themselves."""
         apart = [p for p in new if self.line is None or p.isspace()]
         self.kept.update(zip(apart, self.whole(apart), strict=True))
+        single = [p for p in new if self.one(p)] if self.known else []
+        if single:
+            text = "\n".join(single).encode().decode("latin-1").translate(self.letters).replace(self.letters[10], "\n")
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in single])) + 1
+            self.keep(single, ids, np.append(0, ends[:-1]), ends)
         lines = [p for p in new if p not in self.kept]
         if lines:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, self.type)
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids)) * self.type.itemsize
-            raw, starts = ids.tobytes(), np.append(0, ends[:-1] + self.type.itemsize)
-            self.kept.update(zip(lines, [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            self.keep(lines, ids, np.append(0, ends[:-1] + 1), ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         alone = [not self.known or any(a in t for a in self.added) for t in texts]
         pieces = [[] if x else self.cut(t) for t, x in zip(texts, alone, strict=True)]
-        every = set(chain.from_iterable(pieces))
         if len(self.kept) > self.cache // 2:  # what isn't used before the next time is forgotten
             self.kept, self.older = {}, self.kept
-        new = [p for p in every if p not in self.kept]
-        self.kept.update((p, self.older[p]) for p in new if p in self.older)
-        self.learn([p for p in new if p not in self.kept])
+        new = set(chain.from_iterable(pieces)).difference(self.kept)
+        if new and self.older:
+            again = new.intersection(self.older)
+            self.kept.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new -= again
+        self.learn(list(new))
         get = self.kept.__getitem__
         return [self.whole([t])[0] if x else b"".join(map(get, p)) for t, x, p in zip(texts, alone, pieces, strict=True)]
 
@@ -107,12 +134,17 @@ def to_ids(path: str):
         from pyspark import TaskContext
 
         encoder, file, nth = encoder_of(path), TaskContext.get().partitionId(), 0
+        total = np.zeros(len(encoder.size), np.int64)
         for part in slices(batches):
             end = np.array([END_ID], encoder.type).tobytes()
             raw = [x + end for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
             n, k = [len(x) // encoder.type.itemsize for x in raw], len(raw)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([file] * k, pa.int32()), pa.array(np.arange(nth, nth + k)), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "file", "nth", "n_tokens", "ids"])
             nth += k
+            total += np.bincount(np.frombuffer(b"".join(raw), encoder.type), minlength=len(total))
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([0]), pa.array([len(used)], pa.int32()), pa.array([np.stack([used, total[used]]).tobytes()], pa.binary())], ["doc_id", "file", "nth", "n_tokens", "ids"])
 
     return run
 
@@ -122,16 +154,11 @@ def ids_of(raw: bytes, n: int) -> np.ndarray:
 
 
 def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each id occurs in a task's rows."""
-    total = np.zeros(1 << 16, np.int64)
+    """How often each id occurs, from a task's last row."""
     for batch in batches:
-        rows = zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)
-        got = np.bincount(np.concatenate([ids_of(raw, n) for raw, n in rows])) if batch.num_rows else total[:0]
-        if len(got) > len(total):
-            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-        total[: len(got)] += got
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
+        for raw in batch.column("ids").to_pylist():
+            used, n = np.frombuffer(raw, np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], ["id", "n"])
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -278,8 +305,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, block_tokens: int = 1 << 2
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_at"))
     ordered = texts.repartitionByRange(n, "doc_id", "_at").sortWithinPartitions("doc_id", "_at").select("doc_id", "text")
-    ids = materialize(ordered.mapInArrow(to_ids(tokenizer), IDS))
-    counts = ids.select("n_tokens", "ids").mapInArrow(id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded = materialize(ordered.mapInArrow(to_ids(tokenizer), IDS))
+    ids = encoded.filter("file >= 0")
+    counts = encoded.filter("file < 0").select("ids").mapInArrow(id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     top = counts.collect()  # a row for each id of the vocabulary at most
     total = np.zeros(max((r[0] for r in top), default=0) + 1, np.int64)
     for i, k in top:
