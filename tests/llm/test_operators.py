@@ -77,6 +77,38 @@ def test_substring(docs, share):
         assert substring.without_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [substring.SHARE, 3, 1])
+def test_factors_are_what_their_sources_hold(docs, share):
+    words = {i: (t or "").encode().split() for i, t in DOCS}
+    found = {r.doc_id: r.runs for r in substring.factors(docs, share=share).collect()}
+    assert found
+    for i, runs in found.items():
+        for r in runs:
+            n = r.to - r["from"] + substring.WINDOW - 1
+            assert r.doc < i and r.to > r["from"] and n >= substring.WINDOW
+            assert words[i][r["from"] : r["from"] + n] == words[r.doc][r.at : r.at + n]
+
+
+def test_longest_earlier_and_greedy():
+    rnd = random.Random(8)
+    for _ in range(200):
+        parts = [[rnd.randrange(3) for _ in range(rnd.randrange(1, 14))] for _ in range(rnd.randrange(1, 9))]
+        doc = [rnd.randrange(5) for _ in parts]
+        at = [(p, k) for p, x in enumerate(parts) for k in range(len(x))]
+        length, source = substring.longest_earlier(np.array(sum(parts, []), np.uint64), np.cumsum([len(x) for x in parts]), np.array(doc))
+        for (p, k), n, s in zip(at, length.tolist(), source.tolist(), strict=True):
+            shared = [next((j for j in range(14) if parts[p][k + j : k + j + 1] != parts[q][m + j : m + j + 1] or k + j >= len(parts[p])), 14) for q, m in at if doc[q] < doc[p]]
+            assert n == max(shared, default=0)
+            if n:
+                q, m = at[s]
+                assert doc[q] < doc[p] and parts[p][k : k + n] == parts[q][m : m + n]
+        i, want = 0, []
+        while i < len(at):
+            want += [i] if length[i] else []
+            i += max(int(length[i]), 1)
+        assert substring.greedy(length) == want
+
+
 def test_token_files(docs):
     from tokenizers import Tokenizer
 
