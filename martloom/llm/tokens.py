@@ -11,28 +11,37 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martloom.llm.common import materialize, slices, table
+from martloom.llm.common import materialize, mix, slices, table, text_bytes
 
 LIMIT = 16
 STEP = 256
 END_ID = 2
-#: Pieces that a worker keeps with their ids (about 130 MB).
+#: Pieces that a worker keeps with their ids (about 120 MB), and bytes of text whose pieces are found at once.
 CACHE = 600_000
-# Where the byte-level splitter surely cuts. White space is Unicode's. A run of
-# letters ends before any other ASCII character; one of signs too, but for the apostrophe,
-# which may begin a contraction, and control characters, which are signs themselves. Where
-# none of that holds, a piece goes on to the next white space.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SLICE = 1 << 21
+# Where the byte-level splitter surely cuts, told by bytes of UTF-8. White space
+# is Unicode's; BLANK holds its ASCII bytes, and a byte that isn't SOLID may begin a longer one.
+# A run of letters, digits or signs ends where another of them begins, or a blank. Signs are
+# without the apostrophe, which may begin a contraction, and control characters; at other
+# letters nothing is sure.
+BLANK, KIND = np.zeros(256, bool), np.zeros(256, np.uint8)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+SOLID = ~BLANK
+SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+KIND[33:127] = 3
+KIND[48:58] = 2
+KIND[65:91] = KIND[97:123] = 1
+KIND[39] = 0
 LETTER, SIGN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
 ONE = rf" ?[{LETTER}]+| ?[{SIGN}]+| ?[0-9]+"
-PIECE = rf" ?[{LETTER}]++(?=[\x00-\x7f]|\Z)| ?[{SIGN}]++(?=[A-Za-z0-9\t-\r ]|\Z)| ?[0-9]++(?=[\x00-\x7f]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Bytes of a piece that are compared as three numbers; longer pieces are compared one by one.
+SHORT = 24
 
 #: A task's rows, and last one of file -1 with how often it has given each id.
 IDS = "doc_id long, file int, nth long, n_tokens int, ids binary"
@@ -53,9 +62,54 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where pieces start in texts that start and end at at: at each text, and where the splitter surely cuts.
+
+    It cuts before the last blank of white space that something follows, behind it too if it
+    isn't a space (a space goes with what follows), and where one kind of characters ends.
+    """
+    new = np.zeros(len(raw) + 1, bool)
+    new[at] = True
+    if len(raw) > 1:
+        blank, solid, kind = BLANK[raw], SOLID[raw], KIND[raw]
+        last = blank[:-1] & solid[1:]
+        limits = at[(at > 0) & (at < len(raw))]
+        last[limits - 1] = False  # at the end of a text nothing follows
+        new[:-2] |= last
+        new[1:-1] |= last & (raw[:-1] != 32)
+        new[1:-1] |= (kind[:-1] > 0) & (kind[1:] != kind[:-1]) & ((kind[1:] > 0) | blank[1:])
+    return np.flatnonzero(new[:-1])
+
+
+def alike(raw: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces: one of each different string, and for each piece which of those it is. Strings are found by hash and compared by their bytes."""
+    size = ends - starts
+    padded = np.zeros(len(raw) + SHORT, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + SHORT - 7,), "<u8", padded, strides=(1,))
+    words = []
+    for j in range(0, SHORT, 8):
+        held = np.clip(size - j, 0, 8)
+        mask = np.where(held == 8, np.uint64(2**64 - 1), (np.uint64(1) << (8 * held % 64).astype(np.uint64)) - np.uint64(1))
+        words.append(eight[np.minimum(starts + j, len(raw))] & mask)
+    names: dict[bytes, int] = {}
+    for i in np.flatnonzero(size > SHORT).tolist():
+        words[0][i] = names.setdefault(data[starts[i] : ends[i]], len(names))
+    key = size.astype(np.uint64)
+    for w in words:
+        key = mix(key ^ w)
+    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+    same = one[which]
+    if not ((size == size[same]).all() and all((w == w[same]).all() for w in words)):
+        return np.arange(len(starts)), np.arange(len(starts))
+    return one, which
+
+
 class Encoder:
     """Ids of texts, each as the bytes of its ids. The library encodes a piece once while it is kept; a text's ids are those of its pieces, one after the other.
 
+    Pieces are found and told apart for all texts of a slice at once, by their bytes.
+
     A text that holds an added token's string goes to the library as a whole, and so does
     every text if the tokenizer isn't a byte-level one whose cuts are known.
     """
@@ -67,16 +121,15 @@ class Encoder:
         t = self.tokenizer = Tokenizer.from_file(path)
         splits = str(t.pre_tokenizer)
         self.known = t.normalizer is None and splits.startswith("ByteLevel") and "add_prefix_space=False" in splits and "use_regex=True" in splits
-        self.added = [a.content for a in t.get_added_tokens_decoder().values()]
+        self.added = [a.content.encode() for a in t.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cut = re.compile(PIECE).findall
         self.cache, self.kept, self.older = cache, {}, {}
         line = t.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
         # For pieces that the library wouldn't cut further: its model without its splitter. Lengths of tokens tell where a piece ends.
         self.model = Tokenizer(t.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters, self.one = byte_letters(), re.compile(ONE).fullmatch
+        self.letters, self.one, self.inside = byte_letters(), re.compile(ONE).fullmatch, re.compile(r"\s").search
         self.size = np.zeros(t.get_vocab_size(with_added_tokens=True) + 1, np.int64)
         for token, i in t.get_vocab(with_added_tokens=False).items():
             self.size[i] = len(token)
@@ -86,37 +139,62 @@ class Encoder:
 
     def keep(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw, k = ids.tobytes(), self.type.itemsize
-        self.kept.update(zip(pieces, [raw[a:z] for a, z in zip((k * starts).tolist(), (k * ends).tolist(), strict=True)], strict=True))
+        self.kept.update(zip(map(str.encode, pieces), [raw[a:z] for a, z in zip((k * starts).tolist(), (k * ends).tolist(), strict=True)], strict=True))
 
     def learn(self, new: list[str]) -> None:
-        """Encodes pieces, as lines of one text; those of white space alone for themselves."""
-        apart = [p for p in new if self.line is None or p.isspace()]
-        self.kept.update(zip(apart, self.whole(apart), strict=True))
-        single = [p for p in new if self.one(p)] if self.known else []
+        """Encodes pieces: runs of one kind of characters by the model alone, others as lines of one text, and those with white space inside for themselves."""
+        single, lines, apart = [], [], []
+        for p in new:
+            (single if self.one(p) else apart if self.line is None or self.inside(p, p[0] == " ") or p == " " else lines).append(p)
+        if apart:
+            self.kept.update(zip(map(str.encode, apart), self.whole(apart), strict=True))
         if single:
             text = "\n".join(single).encode().decode("latin-1").translate(self.letters).replace(self.letters[10], "\n")
             ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
             ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in single])) + 1
             self.keep(single, ids, np.append(0, ends[:-1]), ends)
-        lines = [p for p in new if p not in self.kept]
         if lines:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, self.type)
             ends = np.append(np.flatnonzero(ids == self.line), len(ids))
             self.keep(lines, ids, np.append(0, ends[:-1] + 1), ends)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        alone = [not self.known or any(a in t for a in self.added) for t in texts]
-        pieces = [[] if x else self.cut(t) for t, x in zip(texts, alone, strict=True)]
+    def known_ids(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.kept) > self.cache // 2:  # what isn't used before the next time is forgotten
             self.kept, self.older = {}, self.kept
-        new = set(chain.from_iterable(pieces)).difference(self.kept)
-        if new and self.older:
-            again = new.intersection(self.older)
-            self.kept.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            new -= again
-        self.learn(list(new))
-        get = self.kept.__getitem__
-        return [self.whole([t])[0] if x else b"".join(map(get, p)) for t, x, p in zip(texts, alone, pieces, strict=True)]
+        found = list(map(self.kept.get, pieces))
+        new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+        if new:
+            self.kept.update([(p, self.older[p]) for p in new if p in self.older])
+            self.learn([p.decode() for p in new if p not in self.older])
+            found = list(map(self.kept.__getitem__, pieces))
+        return found
+
+    def by_pieces(self, raw: np.ndarray, data: bytes, at: np.ndarray) -> list[bytes]:
+        if not data:
+            return [b""] * (len(at) - 1)
+        starts = cuts(raw, at)
+        ends = np.append(starts[1:], len(raw))
+        one, which = alike(raw, data, starts, ends)
+        found = self.known_ids([data[a:z] for a, z in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+        ids = np.frombuffer(b"".join(found), self.type)
+        n = np.array([len(x) for x in found]) // self.type.itemsize
+        count = n[which]
+        to = np.cumsum(count)
+        flat = ids[np.repeat((np.cumsum(n) - n)[which] - (to - count), count) + np.arange(to[-1])].tobytes()
+        limits = (self.type.itemsize * np.append(0, to)[np.searchsorted(starts, at)]).tolist()
+        return [flat[a:z] for a, z in zip(limits, limits[1:], strict=False)]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        raw, at = text_bytes(column)
+        data, limits = raw.tobytes(), at.tolist()
+        if not self.known:
+            return self.whole([data[a:z].decode() for a, z in zip(limits, limits[1:], strict=False)])
+        out = self.by_pieces(raw, data, at)
+        if any(a in data for a in self.added):
+            for i, (a, z) in enumerate(zip(limits, limits[1:], strict=False)):
+                if any(x in data[a:z] for x in self.added):
+                    out[i] = self.whole([data[a:z].decode()])[0]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -135,9 +213,9 @@ def to_ids(path: str):
 
         encoder, file, nth = encoder_of(path), TaskContext.get().partitionId(), 0
         total = np.zeros(len(encoder.size), np.int64)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             end = np.array([END_ID], encoder.type).tobytes()
-            raw = [x + end for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
+            raw = [x + end for x in encoder.encode(part.column("text"))]
             n, k = [len(x) // encoder.type.itemsize for x in raw], len(raw)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([file] * k, pa.int32()), pa.array(np.arange(nth, nth + k)), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "file", "nth", "n_tokens", "ids"])
             nth += k

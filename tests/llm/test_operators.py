@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm.brute import ALNUM, SPACED, UPPER, contaminated, without_repeats
@@ -143,7 +144,7 @@ def test_pieces_give_the_library_s_ids():
     texts = [t or "" for _, t in DOCS] + ["".join(rnd.choices(alphabet, k=rnd.randrange(1, 30))) for _ in range(3000)]
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     for encoder in (small, large):
-        got = [np.frombuffer(x, encoder.type).tolist() for i in range(0, len(texts), 100) for x in encoder.encode(texts[i : i + 100])]
+        got = [np.frombuffer(x, encoder.type).tolist() for i in range(0, len(texts), 100) for x in encoder.encode(pa.array(texts[i : i + 100]))]
         assert got == want
     assert "<|endoftext|>" in "".join(texts)
 
