@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martloom.llm import decontam, lm, mixing, neardup, pii, quality, substring, tokens, toxicity, urls
+from martloom.llm import decontam, lexical, lm, mixing, neardup, pii, quality, substring, tokens, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_scoring": lm.query,
     "op9_quality": quality.query,
     "op10_near_duplicates": neardup.query,
+    "op11_lexical_search": lexical.query,
 }
 SQL = {
     "op1_decontamination": decontam.SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op3_url_filter": urls.SQL,
     "op4_substring_dedup": substring.SQL,
     "op9_quality": quality.SQL,
+    "op11_lexical_search": lexical.SQL,
 }
