@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martloom.llm import decontam, lexical, lm, mixing, neardup, pii, quality, substring, tokens, toxicity, urls
+from martloom.llm import decontam, langid, lexical, lm, mixing, neardup, pii, quality, substring, tokens, toxicity, trie, urls
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_near_duplicates": neardup.query,
     "op11_lexical_search": lexical.query,
+    "op12_conversation_trie": trie.query,
+    "op13_language_id": langid.query,
 }
 SQL = {
     "op1_decontamination": decontam.SQL,
@@ -24,4 +26,5 @@ SQL = {
     "op4_substring_dedup": substring.SQL,
     "op9_quality": quality.SQL,
     "op11_lexical_search": lexical.SQL,
+    "op12_conversation_trie": trie.SQL,
 }
