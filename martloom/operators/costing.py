@@ -8,15 +8,22 @@ A product's layers, in order, lie one after the other on an axis of units, retur
 others as they come. A sale takes the units from where the last one ended. What is asked
 beyond the supply is lost and doesn't wait for later layers. So running sums give each
 line's interval, and one ordered pass over all interval starts pairs lines with layers.
+Running sums go by day and over the days' totals, and the axis of a product with many
+intervals is cut into cells, so that no product's rows meet in one task.
+
+A return costs what its product's units have cost so far. The value of the axis up to there
+is known if the last unit taken is of an initial layer; else it follows from the return that
+this unit is of. So returns are priced in rounds, each of all those whose source has a
+price, over windows and joins.
+
+fifo_allocate writes what several steps use below spark.checkpoint.dir and counts what is
+left to price: its jobs run when it is called, not when its result is asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import date
-from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +33,8 @@ from martloom.sources.sinks import stored
 LINE = ["document_type", "document_id", "line_number"]
 UNITS = "decimal(28,4)"
 COST = "decimal(28,10)"
+#: Intervals of a product in a cell of its axis, on average.
+CELL = 50_000
 
 
 # Opening balances.
@@ -113,111 +122,165 @@ def layer_order() -> list[Column]:
 # Allocation.
 
 
+def running(rows: DataFrame, day: str, order: list, values: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+    """Sums or maxima of each product's rows up to every row, or before it if the last of (kind, value, itself) is false: within the day, and over the totals of the days before. A sum of nothing is 0, a maximum null."""
+    fold = {"sum": F.sum, "max": F.max}
+    first = Window.unboundedPreceding
+    within = Window.partitionBy("product_key", day).orderBy(*order)
+    local = rows.select("*", *[fold[kind](value).over(within.rowsBetween(first, 0 if itself else -1)).alias(f"_in_{n}") for n, (kind, value, itself) in values.items()])
+    totals = rows.groupBy(F.col("product_key").alias("_p"), F.col(day).alias("_d")).agg(*[fold[kind](value).alias(f"_of_{n}") for n, (kind, value, _) in values.items()])
+    past = Window.partitionBy("_p").orderBy("_d").rowsBetween(first, -1)
+    before = totals.select("_p", "_d", *[fold[kind](f"_of_{n}").over(past).alias(f"_before_{n}") for n, (kind, _, _) in values.items()])
+    both = local.join(before, F.col("product_key").eqNullSafe(F.col("_p")) & F.col(day).eqNullSafe(F.col("_d")))
+    zero = F.lit(0)
+    join = {"sum": lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), "max": lambda a, b: F.greatest(a, b)}
+    return both.select(*rows.columns, *[join[kind](F.col(f"_in_{n}"), F.col(f"_before_{n}")).alias(n) for n, (kind, _, _) in values.items()])
+
+
+SALES_ORDER = ["_credit", "document_id", "line_number"]
+
+
+def _lines(sales: DataFrame, cutoff: date | None) -> DataFrame:
+    rows = sales.filter(F.col("quantity") != 0)
+    return rows if cutoff is None else rows.filter(F.col("date") >= F.lit(cutoff))
+
+
 def sales_sequence(sales: DataFrame, cutoff: date | None = None) -> DataFrame:
     """Lines with a quantity, from the cutoff, numbered for each product: by date, invoices before credit notes, document and line."""
-    rows = sales.filter(F.col("quantity") != 0)
-    if cutoff is not None:
-        rows = rows.filter(F.col("date") >= F.lit(cutoff))
-    order = Window.partitionBy("product_key").orderBy("date", F.col("document_type") == "credit_note", "document_id", "line_number")
-    return rows.withColumn("seq", F.row_number().over(order))
+    rows = _lines(sales, cutoff).withColumn("_credit", F.col("document_type") == "credit_note")
+    return running(rows, "date", SALES_ORDER, {"seq": ("sum", F.lit(1), True)}).withColumn("seq", F.col("seq").cast("int")).drop("_credit")
 
 
-def intervals(sequence: DataFrame, layers: DataFrame) -> DataFrame:
-    """Each line's place on its product's axis: takes [lo, hi), or for a return the layer [lo, hi) that it adds; supply is the initial one.
+def intervals(sales: DataFrame, layers: DataFrame, cutoff: date | None = None) -> DataFrame:
+    """sales_sequence with each line's place on its product's axis: takes [lo, hi), or for a return the layer [lo, hi) that it adds; used is what has been taken so far, supply the initial units.
 
     Products without any initial layer have no supply at all: their returns add nothing.
     """
-    supply = layers.filter("quantity > 0").groupBy(F.col("product_key").alias("_p")).agg(F.sum("quantity").alias("supply"), F.sum(F.col("quantity") * F.col("unit_cost")).alias("supply_value"))
-    rows = sequence.join(supply, F.col("product_key") == F.col("_p"), "left").drop("_p")
-    upto = Window.partitionBy("product_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    q = F.col("quantity").cast(UNITS)
-    zero = F.lit(0).cast(UNITS)
-    rows = rows.withColumn("_x", F.col("supply") - F.sum(q).over(upto))
-    rows = rows.withColumn("_lost", F.greatest(-F.min("_x").over(upto), zero)).withColumn("_asked", F.sum(F.greatest(q, zero)).over(upto)).withColumn("_back", F.sum(F.greatest(-q, zero)).over(upto))
-    end = (F.col("_asked") - F.col("_lost")).cast(UNITS)
-    before = Window.partitionBy("product_key").orderBy("seq")
-    rows = rows.withColumn("_end", end).withColumn("_start", F.coalesce(F.lag("_end").over(before), zero))
+    supply = layers.filter("quantity > 0").groupBy(F.col("product_key").alias("_s")).agg(F.sum("quantity").alias("supply"), F.sum(F.col("quantity") * F.col("unit_cost")).alias("supply_value"))
+    zero, q = F.lit(0).cast(UNITS), F.col("quantity").cast(UNITS)
+    taken, given = F.greatest(q, zero), F.greatest(-q, zero)
+    first = Window.unboundedPreceding
+    day = Window.partitionBy("product_key", "date").orderBy(*SALES_ORDER)
+    upto = day.rowsBetween(first, 0)
+    local = _lines(sales, cutoff).withColumn("_credit", F.col("document_type") == "credit_note")
+    local = local.select("*", F.sum(q).over(upto).alias("_net"), F.sum(taken).over(upto).alias("_asked"), F.sum(given).over(upto).alias("_back"), F.row_number().over(day).alias("_nth"))
+    local = local.select("*", F.max("_net").over(upto).alias("_top"), F.max("_net").over(day.rowsBetween(first, -1)).alias("_top_before"))
+    past = Window.partitionBy("_p").orderBy("_d").rowsBetween(first, -1)
+    days = local.groupBy(F.col("product_key").alias("_p"), F.col("date").alias("_d")).agg(F.sum(q).alias("_n"), F.sum(taken).alias("_a"), F.sum(given).alias("_b"), F.max("_net").alias("_t"), F.count("*").alias("_rows"))
+    days = days.select("_p", "_d", "_t", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in ("_n", "_a", "_b", "_rows")])
+    days = days.withColumn("_high", F.max(F.col("_n") + F.col("_t")).over(past)).drop("_t")
+    rows = local.join(days, F.col("product_key").eqNullSafe(F.col("_p")) & F.col("date").eqNullSafe(F.col("_d"))).join(supply, F.col("product_key") == F.col("_s"), "left")
+    lost = lambda high: F.greatest(high - F.col("supply"), zero)
+    asked, back = F.col("_a") + F.col("_asked"), F.col("_b") + F.col("_back")
+    used = asked - lost(F.greatest(F.col("_high"), F.col("_n") + F.col("_top")))
+    start = asked - q - lost(F.greatest(F.col("_high"), F.col("_n") + F.col("_top_before")))
     is_return = F.col("quantity") < 0
-    lo = F.when(is_return, F.col("supply") + F.col("_back") + q).otherwise(F.col("_start"))
-    hi = F.when(is_return, F.col("supply") + F.col("_back")).otherwise(F.col("_end"))
-    return rows.withColumn("lo", lo.cast(UNITS)).withColumn("hi", hi.cast(UNITS)).drop("_x", "_lost", "_asked", "_back", "_end", "_start")
+    lo = F.when(is_return, F.col("supply") + back + q).otherwise(start)
+    hi = F.when(is_return, F.col("supply") + back).otherwise(used)
+    seq = (F.col("_rows") + F.col("_nth")).cast("int").alias("seq")
+    return rows.select(*sales.columns, seq, "supply", "supply_value", lo.cast(UNITS).alias("lo"), hi.cast(UNITS).alias("hi"), used.cast(UNITS).alias("used"))
 
 
-def segments(placed: DataFrame, layers: DataFrame) -> DataFrame:
-    """Lines and the layers that they take from: product_key, the line, seq, position, taken, and of the layer layer_id, unit_cost (null for returns), return_seq and source."""
-    w = Window.partitionBy("product_key").orderBy(*layer_order()).rowsBetween(Window.unboundedPreceding, 0)
+def met(placed: DataFrame, layers: DataFrame, cell: int = CELL) -> DataFrame:
+    """Which layer lies where: a row for each stretch that a line takes from a layer (sale), and for each return with units taken before, at the layer of the last of them (ask)."""
     nothing = lambda kind: F.lit(None).cast(kind)
-    first = layers.filter("quantity > 0").withColumn("hi", F.sum("quantity").over(w).cast(UNITS))
-    supply = first.select("product_key", (F.col("hi") - F.col("quantity")).cast(UNITS).alias("pos"), F.struct("hi", "layer_id", "unit_cost", nothing("int").alias("return_seq"), "source", "source_document_id", "source_line_number").alias("layer"))
-    back = placed.filter("quantity < 0 and supply is not null").select("product_key", F.col("lo").alias("pos"), F.struct("hi", F.concat(F.lit("R"), F.col("document_id"), F.lit("/"), F.col("line_number").cast("string")).alias("layer_id"), nothing(COST).alias("unit_cost"), F.col("seq").alias("return_seq"), F.lit("return").alias("source"), nothing("string").alias("source_document_id"), nothing("int").alias("source_line_number")).alias("layer"))
-    takes = placed.filter("quantity > 0 and hi > lo").select("product_key", F.col("lo").alias("pos"), F.struct("hi", "seq", *LINE).alias("sale"))
-    points = supply.unionByName(back).withColumn("sale", F.lit(None).cast(takes.schema["sale"].dataType)).unionByName(takes.withColumn("layer", F.lit(None).cast(supply.schema["layer"].dataType)))
-    order = Window.partitionBy("product_key").orderBy("pos", F.coalesce("sale.seq", F.lit(0)))
+    first = running(layers.filter("quantity > 0"), "opened_on", layer_order(), {"_hi": ("sum", F.col("quantity"), True), "_worth": ("sum", F.col("quantity") * F.col("unit_cost"), False)})
+    worth = F.col("_worth").cast("double").alias("worth")
+    of_layer = F.struct((F.col("_hi") - F.col("quantity")).cast(UNITS).alias("lo"), F.col("_hi").cast(UNITS).alias("hi"), "layer_id", "unit_cost", nothing("int").alias("return_seq"), worth, "source", "source_document_id", "source_line_number")
+    supply = first.select("product_key", (F.col("_hi") - F.col("quantity")).cast(UNITS).alias("lo"), F.col("_hi").cast(UNITS).alias("hi"), of_layer.alias("layer"))
+    name = F.concat(F.lit("R"), F.col("document_id"), F.lit("/"), F.col("line_number").cast("string")).alias("layer_id")
+    of_return = F.struct("lo", "hi", name, nothing(COST).alias("unit_cost"), F.col("seq").alias("return_seq"), nothing("double").alias("worth"), F.lit("return").alias("source"), nothing("string").alias("source_document_id"), nothing("int").alias("source_line_number"))
+    back = placed.filter("quantity < 0 and supply is not null")
+    takes = placed.filter("quantity > 0 and hi > lo and supply is not null").select("product_key", "lo", "hi", F.struct("hi", "seq", *LINE).alias("sale"))
+    asks = back.filter("used > 0").select("product_key", F.col("used").alias("lo"), F.col("used").alias("hi"), F.col("seq").alias("ask"))
+    spans = supply.unionByName(back.select("product_key", "lo", "hi", of_return.alias("layer"))).unionByName(takes, True).unionByName(asks, True)
+    parts = F.ceil(F.count("*") / cell)
+    sizes = spans.groupBy(F.col("product_key").alias("_p")).agg(parts.alias("_parts"), (F.ceil(F.max("hi") / parts * 10000) / 10000).cast(UNITS).alias("_width")).filter("_parts > 1").drop("_parts")
+    spans = spans.join(sizes, F.col("product_key") == F.col("_p"), "left").drop("_p")
+    least = F.lit("0.0001").cast(UNITS)
+    of_cell = lambda x: F.floor(x / F.col("_width")).cast("long")
+    cells = F.sequence(of_cell(F.when(F.col("ask").isNull(), F.col("lo")).otherwise(F.col("lo") - least)), of_cell(F.col("hi") - least))
+    spans = spans.withColumn("_cell", F.explode(F.when(F.col("_width").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)))
+    pos = F.when(F.col("ask").isNotNull(), F.col("lo")).otherwise(F.greatest(F.col("lo"), (F.col("_cell") * F.col("_width")).cast(UNITS)))
+    spans = spans.withColumn("pos", pos).withColumn("_end", ((F.col("_cell") + 1) * F.col("_width")).cast(UNITS))
+    order = Window.partitionBy("product_key", "_cell").orderBy("pos", F.when(F.col("ask").isNotNull(), -1).otherwise(F.coalesce("sale.seq", F.lit(0))))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    here = points.select("product_key", "pos", F.lead("pos").over(order).alias("next"), F.last("layer", True).over(upto).alias("layer"), F.last("sale", True).over(upto).alias("sale"))
-    end = F.least(F.coalesce("next", F.col("sale.hi")), F.col("sale.hi"), F.col("layer.hi"))
-    cut = here.filter("sale is not null and layer is not null").withColumn("taken", (end - F.col("pos")).cast(UNITS)).filter("taken > 0")
-    return cut.select("product_key", *[F.col(f"sale.{c}").alias(c) for c in LINE], F.col("sale.seq").alias("seq"), "pos", "taken", *[F.col(f"layer.{c}").alias(c) for c in ("layer_id", "unit_cost", "return_seq", "source", "source_document_id", "source_line_number")])
-
-
-def _walk_returns(keys: tuple, events: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Unit costs of one product's returns, where a return's units are taken again before a later return."""
-    cost: dict[int, Decimal] = {}
-    quantity = value = Decimal(0)
-    average = events["average"].iloc[0]
-    out = []
-    for e in events.sort_values(["seq", "pos"], na_position="first").itertuples():
-        if e.is_return:
-            cost[e.seq] = value / quantity if quantity else Decimal(average)
-            out.append((keys[0], e.seq, cost[e.seq].quantize(Decimal(10) ** -10)))
-        else:
-            unit = cost[int(e.return_seq)] if pd.isna(e.unit_cost) else Decimal(e.unit_cost)
-            quantity += Decimal(e.taken)
-            value += Decimal(e.taken) * unit
-    yield pd.DataFrame(out, columns=["product_key", "seq", "unit_cost"])
-
-
-def return_costs(placed: DataFrame, cut: DataFrame) -> DataFrame:
-    """(product_key, seq, unit_cost) of returns with supply: cost per unit of all lines before, else the average of the initial layers.
-
-    Where no return layer is ever taken from, that is a running sum. Only products that take
-    returned units again need their events walked one after the other.
+    here = spans.select("product_key", "pos", "ask", "_end", F.lead("pos").over(order).alias("_next"), F.last("layer", True).over(upto).alias("layer"), F.last("sale", True).over(upto).alias("sale"))
+    taken = (F.least("_next", "_end", "sale.hi", "layer.hi") - F.col("pos")).cast(UNITS)
+    here = here.withColumn("taken", F.when(F.col("ask").isNull(), taken)).filter("layer is not null and (ask is not null or sale is not null and taken > 0)")
+    return here.select("product_key", "pos", "taken", F.when(F.col("ask").isNull(), F.col("sale")).alias("sale"), "layer", "ask", F.col("_end").isNotNull().alias("cut"))
+
+
+def segments(found: DataFrame) -> DataFrame:
+    """Lines and the layers that they take from: product_key, the line, seq, pos, taken, and of the layer layer_id, unit_cost (null for returns), return_seq and source. What the limit of a cell cut is one again."""
+    rows = found.filter("ask is null")
+    of_layer = ["layer_id", "unit_cost", "return_seq", "source", "source_document_id", "source_line_number"]
+    key = ["product_key", *LINE, "seq", *of_layer]
+    flat = rows.select("product_key", *[F.col(f"sale.{c}").alias(c) for c in LINE], F.col("sale.seq").alias("seq"), "pos", "taken", *[F.col(f"layer.{c}").alias(c) for c in of_layer], "cut")
+    again = flat.filter("cut").groupBy(*key).agg(F.min("pos").alias("pos"), F.sum("taken").cast(UNITS).alias("taken"))
+    return flat.filter("not cut").drop("cut").unionByName(again)
+
+
+def priced(state: DataFrame) -> DataFrame:
+    """One round: of the groups of returns without a price those get one whose source has it. The groups with a price are the first of each product."""
+    worth = running(state, "date", ["lo"], {"_worth": ("sum", F.col("q") * F.col("x"), False)})
+    known = worth.filter("x is not null").select(F.col("product_key").alias("_p"), F.col("lo").alias("_lo"), (F.col("supply_value") + F.col("_worth")).alias("_v"), F.col("x").alias("_x"))
+    found = state.join(known, (F.col("product_key") == F.col("_p")) & (F.col("source_lo") == F.col("_lo")), "left")
+    x = (F.col("_v") + (F.col("used") - F.col("_lo")) * F.col("_x")) / F.col("used")
+    return found.withColumn("x", F.coalesce("x", x)).select(*state.columns)
+
+
+def return_costs(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """(product_key, seq, unit_cost) of returns with supply: cost per unit of all units taken before, else the average of the initial layers.
+
+    Returns that follow one another without a sale between them, or each with nothing left
+    in stock, have one price and are one group. There are as many rounds as groups that
+    follow from one another in some product, two for each table that is written.
     """
-    returns = placed.filter("quantity < 0 and supply is not null").select("product_key", "seq", (F.col("supply_value") / F.col("supply")).cast(COST).alias("average"))
-    again = cut.filter("return_seq is not null").select(F.col("product_key").alias("_p")).distinct()
-    lines = cut.groupBy("product_key", "seq").agg(F.sum("taken").alias("units"), F.sum(F.col("taken") * F.col("unit_cost")).alias("value"))
-    simple = returns.join(again, F.col("product_key") == F.col("_p"), "left_anti")
-    events = simple.select("product_key", "seq", "average").unionByName(lines.join(simple.select(F.col("product_key").alias("_s")).distinct(), F.col("product_key") == F.col("_s"), "left_semi"), allowMissingColumns=True)
-    before = Window.partitionBy("product_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    summed = events.withColumn("_u", F.sum("units").over(before)).withColumn("_v", F.sum("value").over(before)).filter("average is not null")
-    easy = summed.select("product_key", "seq", F.when(F.col("_u") > 0, F.try_divide(F.col("_v"), F.col("_u"))).otherwise(F.col("average")).cast(COST).alias("unit_cost"))
-    hard_returns = returns.join(again, F.col("product_key") == F.col("_p"), "left_semi").select("product_key", "seq", F.lit(True).alias("is_return"), F.lit(None).cast(UNITS).alias("pos"), F.lit(None).cast(UNITS).alias("taken"), F.lit(None).cast(COST).alias("unit_cost"), F.lit(None).cast("int").alias("return_seq"), "average")
-    having = hard_returns.select(F.col("product_key").alias("_h")).distinct()
-    hard_takes = cut.join(having, F.col("product_key") == F.col("_h"), "left_semi").select("product_key", "seq", F.lit(False).alias("is_return"), "pos", "taken", "unit_cost", "return_seq", F.lit(None).cast(COST).alias("average"))
-    walked = hard_returns.unionByName(hard_takes).withColumn("average", F.max("average").over(Window.partitionBy("product_key"))).groupBy("product_key").applyInPandas(lambda keys, pdf: next(_walk_returns(keys, pdf)), f"product_key long, seq int, unit_cost {COST}")
-    return easy.unionByName(walked)
-
-
-def fifo_allocate(sales: DataFrame, layers: DataFrame, cutoff: date | None = None) -> DataFrame:
+    number = lambda c: F.col(c).cast("double")
+    asked = found.filter("ask is not null").select(F.col("product_key").alias("_p"), F.col("ask").alias("_ask"), F.col("layer.lo").cast("double").alias("_lo"), number("layer.unit_cost").alias("_cost"), F.col("layer.worth").alias("_worth"), F.col("layer.return_seq").alias("_return"))
+    rows = placed.filter("quantity < 0 and supply is not null").join(asked, (F.col("product_key") == F.col("_p")) & (F.col("seq") == F.col("_ask")), "left")
+    plain = F.when(F.col("_ask").isNull(), number("supply_value") / number("supply")).when(F.col("_return").isNull(), (F.col("_worth") + (number("used") - F.col("_lo")) * F.col("_cost")) / number("used"))
+    rows = rows.select("product_key", "seq", "date", number("lo").alias("lo"), (-number("quantity")).alias("q"), number("used").alias("used"), number("supply_value").alias("supply_value"), F.when(F.col("_return").isNotNull(), F.col("_lo")).alias("source_lo"), plain.alias("x"))
+    chained = rows.filter("source_lo is not null").select(F.col("product_key").alias("_c")).distinct()
+    easy = rows.join(chained, F.col("product_key") == F.col("_c"), "left_anti")
+    hard = rows.join(chained, F.col("product_key") == F.col("_c"), "left_semi")
+    before = running(hard, "date", ["lo"], {"_used": ("max", F.col("used"), False), "_lo": ("max", F.col("lo"), False)})
+    same = (F.col("used") == F.col("_used")) | ((F.col("used") == F.col("lo")) & (F.col("_used") == F.col("_lo")))
+    before = before.withColumn("_first", F.when(~F.coalesce(same, F.lit(False)), F.col("lo"))).drop("_used", "_lo")
+    grouped = stored(running(before, "date", ["lo"], {"group": ("max", F.col("_first"), True)}).drop("_first"))
+    first = F.min_by(F.struct("date", "used", "supply_value", "source_lo", "x"), "lo").alias("f")
+    state = grouped.groupBy("product_key", F.col("group").alias("lo")).agg(F.sum("q").alias("q"), first).select("product_key", "lo", "q", "f.*")
+    of = grouped.select(F.col("product_key").alias("_p"), F.col("lo").alias("_lo"), F.col("group").alias("_group"))
+    state = state.join(of, (F.col("product_key") == F.col("_p")) & (F.col("source_lo") == F.col("_lo")), "left").withColumn("source_lo", F.col("_group")).drop("_p", "_lo", "_group")
+    state = stored(state)
+    while state.filter("x is null").limit(1).count():
+        state = stored(priced(priced(state)))
+    prices = state.select(F.col("product_key").alias("_p"), F.col("lo").alias("_lo"), F.col("x").alias("_x"))
+    done = grouped.drop("x").join(prices, (F.col("product_key") == F.col("_p")) & (F.col("group") == F.col("_lo"))).select("product_key", "seq", F.col("_x").alias("x"))
+    return easy.select("product_key", "seq", "x").unionByName(done).select("product_key", "seq", F.col("x").cast(COST).alias("unit_cost"))
+
+
+def fifo_allocate(sales: DataFrame, layers: DataFrame, cutoff: date | None = None, cell: int = CELL) -> DataFrame:
     """All allocations: consumed segments (fifo), returns (credit_note_return) and what could not be costed (unavailable).
 
     The last consumed segment of a line takes up the rounding, so that a line's segments
     add up to its cost rounded to cents. A line without a product is unavailable as a whole.
     """
     layers = stored(layers)
-    sequence = stored(sales_sequence(sales, cutoff))
-    placed = stored(intervals(sequence.filter("product_key is not null"), layers))
-    cut = stored(segments(placed, layers))
-    costs = stored(return_costs(placed, cut))
+    placed = stored(intervals(sales, layers, cutoff))
+    found = stored(met(placed, layers, cell))
+    cut = segments(found)
+    costs = return_costs(placed, found)
     of_layer = costs.select(F.col("product_key").alias("_p"), F.col("seq").alias("_s"), F.col("unit_cost").alias("_cost"))
-    priced = cut.join(of_layer, (F.col("product_key") == F.col("_p")) & (F.col("return_seq") == F.col("_s")), "left").withColumn("unit_cost", F.coalesce("unit_cost", "_cost"))
+    used = cut.join(of_layer, (F.col("product_key") == F.col("_p")) & (F.col("return_seq") == F.col("_s")), "left").withColumn("unit_cost", F.coalesce("unit_cost", "_cost"))
     line = Window.partitionBy(*LINE)
     order = line.orderBy("pos")
     exact = (F.col("taken") * F.col("unit_cost")).cast(COST)
-    priced = priced.withColumn("_exact", exact).withColumn("sequence", (F.row_number().over(order) - 1).cast("int")).withColumn("_n", F.count("*").over(line)).withColumn("_all", F.sum("_exact").over(line)).withColumn("_sum", F.sum("_exact").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    used = used.withColumn("_exact", exact).withColumn("sequence", (F.row_number().over(order) - 1).cast("int")).withColumn("_n", F.count("*").over(line)).withColumn("_all", F.sum("_exact").over(line)).withColumn("_sum", F.sum("_exact").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     amount = F.when(F.col("sequence") == F.col("_n") - 1, F.round("_all", 2) - (F.col("_sum") - F.col("_exact"))).otherwise(F.col("_exact"))
     shared = ["product_key", *LINE]
-    used = priced.select(*shared, "sequence", F.col("taken").alias("quantity_allocated"), "unit_cost", amount.cast(COST).alias("cost_amount"), F.lit("fifo").alias("allocation_type"), F.when(F.col("source") == "opening", "certified").otherwise("source").alias("confidence"), "layer_id", "source_document_id", "source_line_number", F.col("_exact").alias("exact_cost"))
+    used = used.select(*shared, "sequence", F.col("taken").alias("quantity_allocated"), "unit_cost", amount.cast(COST).alias("cost_amount"), F.lit("fifo").alias("allocation_type"), F.when(F.col("source") == "opening", "certified").otherwise("source").alias("confidence"), "layer_id", "source_document_id", "source_line_number", F.col("_exact").alias("exact_cost"))
     nothing = [F.lit(None).cast("string").alias("source_document_id"), F.lit(None).cast("int").alias("source_line_number")]
     back = placed.filter("quantity < 0").join(costs.select(F.col("product_key").alias("_p"), F.col("seq").alias("_s"), "unit_cost"), (F.col("product_key") == F.col("_p")) & (F.col("seq") == F.col("_s")))
     back_cost = (F.col("quantity") * F.col("unit_cost")).cast(COST)
@@ -226,7 +289,6 @@ def fifo_allocate(sales: DataFrame, layers: DataFrame, cutoff: date | None = Non
     short = placed.withColumn("_missing", F.when(F.col("quantity") > 0, F.col("quantity") - F.coalesce(F.when(F.col("supply").isNotNull(), F.col("hi") - F.col("lo")), F.lit(0))).when(F.col("supply").isNull(), F.col("quantity"))).filter("_missing <> 0")
     short = short.join(n_used, (F.col("document_type") == F.col("_document_type")) & (F.col("document_id") == F.col("_document_id")) & (F.col("line_number") == F.col("_line_number")), "left")
     missing = short.select(*shared, F.coalesce("_segments", F.lit(0)).alias("sequence"), F.col("_missing").cast(UNITS).alias("quantity_allocated"))
-    missing = missing.unionByName(sequence.filter("product_key is null").select(*shared, F.lit(0).alias("sequence"), F.col("quantity").cast(UNITS).alias("quantity_allocated")))
     missing = missing.select("*", F.lit(None).cast(COST).alias("unit_cost"), F.lit(0).cast(COST).alias("cost_amount"), F.lit("unavailable").alias("allocation_type"), F.lit("unavailable").alias("confidence"), F.lit(None).cast("string").alias("layer_id"), *nothing, F.lit(0).cast(COST).alias("exact_cost"))
     return used.unionByName(back).unionByName(missing)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from martloom.operators import costing as c
 from martloom.operators import sales as s
 from martloom.plans.fixtures import with_fixtures
@@ -39,11 +41,16 @@ def _doubles(df, *names):
 
 
 def _fifo(invoices: bool, suffix: str) -> dict:
-    """The costing job over invoices, or over all lines, credit notes included."""
+    """The costing job over all lines, credit notes included, or over invoices."""
     numbers = ("quantity_allocated", "unit_cost", "cost_amount")
     kind = () if invoices else ("document_type",)
+
+    def allocated(m):
+        rows = _doubles(_allocated(m, invoices).select(*kind, "document_id", "line_number", "product_key", "sequence", *numbers, "allocation_type", "confidence", "layer_id"), *numbers)
+        return rows if invoices else rows.withColumns({n: F.round(n, 6) for n in ("unit_cost", "cost_amount")})
+
     named = {
-        "fifo_allocate": on(lambda m: _doubles(_allocated(m, invoices).select(*kind, "document_id", "line_number", "product_key", "sequence", *numbers, "allocation_type", "confidence", "layer_id"), *numbers)),
+        "fifo_allocate": on(allocated),
         "line_cost_status": on(lambda m: _doubles(_costs(m, invoices).select(*SHOWN), "costed_quantity", "uncosted_quantity", "cogs")),
         "layer_balances": on(lambda m: _doubles(c.layer_balances(_layers(m), _allocated(m, invoices)), "quantity", "taken", "remaining")),
         "cost_run_summary": on(lambda m: c.run_summary(_costs(m, invoices))),
@@ -61,10 +68,10 @@ QUERIES = {
     "opening_value_check": on(lambda m: c.opening_value(_layers(m))),
     "cost_layers": on(lambda m: _doubles(_layers(m), "quantity", "unit_cost")),
     "sales_sequence": on(lambda m: c.sales_sequence(_lines(m, False), CUTOFF).select("document_type", "document_id", "line_number", "product_key", "seq")),
-    **_fifo(True, ""),
+    **_fifo(False, ""),
     "fifo_returns": on(lambda m: _doubles(_costs(m).select(*SHOWN), "costed_quantity", "uncosted_quantity", "cogs")),
-    # SQL can't walk returns: these have none, and tests hold them against the walk.
     **_fifo(False, "_all_lines"),
+    **_fifo(True, "_invoices"),
 }
 
 NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
@@ -106,17 +113,72 @@ RAW_SQL = {
     "opening_value_check": f"WITH {CLASSIFIED} SELECT count(*) AS layers, CAST(coalesce(sum(quantity), 0) AS DOUBLE) AS units, CAST(coalesce(sum(quantity * unit_cost), 0) AS DOUBLE) AS value FROM layers WHERE source = 'opening'",
     "cost_layers": f"WITH {CLASSIFIED} SELECT product_key, layer_id, opened_on, source, source_document_id, source_line_number, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_cost AS DOUBLE) AS unit_cost FROM layers",
     "sales_sequence": f"WITH {CLASSIFIED} SELECT document_type, document_id, line_number, product_key, seq FROM seqd",
-    "fifo_allocate": f"WITH {ALLOCATED} SELECT document_id, line_number, product_key, sequence, quantity_allocated, unit_cost, cost_amount, allocation_type, confidence, layer_id FROM alloc",
-    "line_cost_status": f"WITH {ALLOCATED} SELECT {', '.join(SHOWN)} FROM costs",
-    "layer_balances": f"WITH {ALLOCATED} SELECT l.product_key, l.layer_id, source, CAST(quantity AS DOUBLE) AS quantity, coalesce(t, 0) AS taken, CAST(quantity AS DOUBLE) - coalesce(t, 0) AS remaining, CASE WHEN CAST(quantity AS DOUBLE) - coalesce(t, 0) > 0 THEN 'open' ELSE 'depleted' END AS status FROM layers l LEFT JOIN (SELECT layer_id, sum(quantity_allocated) AS t FROM alloc WHERE allocation_type = 'fifo' GROUP BY 1) a ON l.layer_id = a.layer_id",
-    "cost_run_summary": f"WITH {ALLOCATED} SELECT count(*) AS lines_read, count(*) FILTER (WHERE cost_status = 'costed') AS lines_costed, count(*) FILTER (WHERE cost_status = 'partial') AS lines_partial, count(*) FILTER (WHERE cost_status = 'unavailable') AS lines_unavailable, CAST(sum(quantity) AS DOUBLE) AS sales_units, sum(costed_quantity) AS costed_units, CAST(sum(CAST(cogs AS DECIMAL(18,2))) AS DOUBLE) AS cogs, CASE WHEN count(*) FILTER (WHERE cost_status IN ('partial', 'unavailable')) > 0 THEN 'succeeded_with_exceptions' ELSE 'succeeded' END AS status FROM costs",
-    "apply_costs_to_facts": f"""WITH {ALLOCATED} SELECT cost_status, count(*) AS lines, CAST(sum(net_sales) AS DOUBLE) AS net_sales, CAST(coalesce(sum(cogs), 0) AS DOUBLE) AS cogs, CAST(coalesce(sum(margin), 0) AS DOUBLE) AS margin FROM (
+    "fifo_allocate_invoices": f"WITH {ALLOCATED} SELECT document_id, line_number, product_key, sequence, quantity_allocated, unit_cost, cost_amount, allocation_type, confidence, layer_id FROM alloc",
+    "line_cost_status_invoices": f"WITH {ALLOCATED} SELECT {', '.join(SHOWN)} FROM costs",
+    "layer_balances_invoices": f"WITH {ALLOCATED} SELECT l.product_key, l.layer_id, source, CAST(quantity AS DOUBLE) AS quantity, coalesce(t, 0) AS taken, CAST(quantity AS DOUBLE) - coalesce(t, 0) AS remaining, CASE WHEN CAST(quantity AS DOUBLE) - coalesce(t, 0) > 0 THEN 'open' ELSE 'depleted' END AS status FROM layers l LEFT JOIN (SELECT layer_id, sum(quantity_allocated) AS t FROM alloc WHERE allocation_type = 'fifo' GROUP BY 1) a ON l.layer_id = a.layer_id",
+    "cost_run_summary_invoices": f"WITH {ALLOCATED} SELECT count(*) AS lines_read, count(*) FILTER (WHERE cost_status = 'costed') AS lines_costed, count(*) FILTER (WHERE cost_status = 'partial') AS lines_partial, count(*) FILTER (WHERE cost_status = 'unavailable') AS lines_unavailable, CAST(sum(quantity) AS DOUBLE) AS sales_units, sum(costed_quantity) AS costed_units, CAST(sum(CAST(cogs AS DECIMAL(18,2))) AS DOUBLE) AS cogs, CASE WHEN count(*) FILTER (WHERE cost_status IN ('partial', 'unavailable')) > 0 THEN 'succeeded_with_exceptions' ELSE 'succeeded' END AS status FROM costs",
+    "apply_costs_to_facts_invoices": f"""WITH {ALLOCATED} SELECT cost_status, count(*) AS lines, CAST(sum(net_sales) AS DOUBLE) AS net_sales, CAST(coalesce(sum(cogs), 0) AS DOUBLE) AS cogs, CAST(coalesce(sum(margin), 0) AS DOUBLE) AS margin FROM (
         SELECT f.net_sales, CASE WHEN f.date < DATE '1998-01-01' THEN 'outside_scope' ELSE c.cost_status END AS cost_status, CAST(c.cogs AS DECIMAL(18,2)) AS cogs, CASE WHEN c.cost_status = 'costed' THEN f.net_sales - CAST(c.cogs AS DECIMAL(18,2)) END AS margin
         FROM sales_lines f LEFT JOIN costs c ON f.document_type = c.document_type AND f.document_id = c.document_id AND f.line_number = c.line_number WHERE f.document_type = 'invoice' AND NOT f.is_deleted) GROUP BY 1""",
-    "sales_cost_supplier": f"""WITH {ALLOCATED}, par AS (SELECT a.*, sum(quantity_allocated) OVER (PARTITION BY document_id, line_number) AS whole FROM alloc a WHERE allocation_type <> 'unavailable'),
+    "sales_cost_supplier_invoices": f"""WITH {ALLOCATED}, par AS (SELECT a.*, sum(quantity_allocated) OVER (PARTITION BY document_id, line_number) AS whole FROM alloc a WHERE allocation_type <> 'unavailable'),
       agg AS (SELECT coalesce(c.name, 'Sin proveedor/costo de apertura') AS supplier, f.currency_code, round(sum(CAST(f.net_sales AS DOUBLE) * quantity_allocated / whole), 4) AS attributed_net_sales, round(sum(cost_amount), 4) AS cogs, sum(quantity_allocated) AS allocated_units,
         count(DISTINCT a.document_id) AS documents, count(DISTINCT a.product_key) AS products, count(*) AS allocation_rows FROM par a JOIN fact_sales f ON f.document_type = 'invoice' AND f.document_id = a.document_id AND f.line_number = a.line_number
         LEFT JOIN fact_purchases b ON b.document_id = a.source_document_id AND b.line_number = a.source_line_number AND NOT b.is_deleted LEFT JOIN dim_contact c ON b.provider_key = c.contact_key WHERE NOT f.is_deleted AND f.date BETWEEN DATE '{YEAR.from_date}' AND DATE '{YEAR.to_date}' GROUP BY 1, 2)
       SELECT *, round(attributed_net_sales - cogs, 4) AS gross_margin, round(coalesce(round(attributed_net_sales - cogs, 4) / nullif(attributed_net_sales, 0) * 100, 0), 4) AS gross_margin_pct, round(coalesce(attributed_net_sales / nullif(sum(attributed_net_sales) OVER (PARTITION BY currency_code), 0) * 100, 0), 6) AS share_pct FROM agg ORDER BY attributed_net_sales DESC, supplier, currency_code LIMIT 100""",
 }
+#: The job over all lines. Returns are priced one after the other, of all products at once.
+WHOLE = (
+    CLASSIFIED
+    + """,
+  lay AS (SELECT *, hi - quantity AS lo FROM (SELECT *, sum(quantity) OVER w AS hi, CAST(sum(quantity * unit_cost) OVER w - quantity * unit_cost AS DOUBLE) AS worth FROM layers
+    WINDOW w AS (PARTITION BY product_key ORDER BY opened_on, source = 'purchase', coalesce(source_document_id, ''), source_line_number, layer_id))),
+  sup AS (SELECT product_key AS p, sum(quantity) AS supply, CAST(sum(quantity * unit_cost) AS DOUBLE) AS supply_value FROM layers GROUP BY 1),
+  run AS (SELECT *, sum(quantity) OVER w AS net, sum(greatest(quantity, 0)) OVER w AS asked, sum(greatest(-quantity, 0)) OVER w AS back FROM seqd LEFT JOIN sup ON product_key = p WINDOW w AS (PARTITION BY product_key ORDER BY seq)),
+  ask AS (SELECT *, asked - greatest(max(net) OVER (PARTITION BY product_key ORDER BY seq) - supply, 0) AS used FROM run),
+  pos AS (SELECT *, CASE WHEN quantity < 0 THEN supply + back + quantity ELSE lag(used, 1, 0) OVER (PARTITION BY product_key ORDER BY seq) END AS lo, CASE WHEN quantity < 0 THEN supply + back ELSE used END AS hi FROM ask),
+  every AS (SELECT product_key, layer_id, lo, hi, unit_cost, NULL AS return_seq, worth, source, source_document_id, source_line_number FROM lay
+    UNION ALL SELECT product_key, 'R' || document_id || '/' || line_number, lo, hi, NULL, seq, NULL, 'return', NULL, NULL FROM pos WHERE quantity < 0 AND supply IS NOT NULL),
+  ret AS (SELECT r.*, l.lo AS at, l.unit_cost AS at_cost, l.worth AS at_worth, l.return_seq, row_number() OVER (PARTITION BY r.product_key ORDER BY r.seq) AS k
+    FROM pos r LEFT JOIN every l ON l.product_key = r.product_key AND l.lo < r.used AND r.used <= l.hi WHERE quantity < 0 AND supply IS NOT NULL),
+  src AS (SELECT r.*, o.k AS j FROM ret r LEFT JOIN ret o ON o.product_key = r.product_key AND o.seq = r.return_seq),
+  walk AS (WITH RECURSIVE go AS (
+      SELECT p AS product_key, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS vs, CAST([] AS DOUBLE[]) AS xs, supply_value AS v, CAST(0 AS DOUBLE) AS x FROM sup
+      UNION ALL SELECT product_key, k, list_append(vs, v), list_append(xs, nx), v + CAST(-quantity AS DOUBLE) * nx, nx FROM (
+        SELECT go.vs, go.xs, go.v, s.product_key, s.k, s.quantity, CASE WHEN s.used = 0 THEN s.supply_value / CAST(s.supply AS DOUBLE)
+            WHEN s.j IS NULL THEN (s.at_worth + CAST(s.used - s.at AS DOUBLE) * CAST(s.at_cost AS DOUBLE)) / CAST(s.used AS DOUBLE)
+            ELSE (go.vs[s.j] + CAST(s.used - s.at AS DOUBLE) * go.xs[s.j]) / CAST(s.used AS DOUBLE) END AS nx
+        FROM go JOIN src s ON s.product_key = go.product_key AND s.k = go.k + 1))
+    SELECT product_key, k, x FROM go WHERE k > 0),
+  price AS (SELECT src.product_key, src.seq, CAST(x AS DECIMAL(28,10)) AS price FROM src JOIN walk ON src.product_key = walk.product_key AND src.k = walk.k),
+  seg AS (SELECT s.product_key, document_type, document_id, line_number, greatest(s.lo, l.lo) AS pt, least(s.hi, l.hi) - greatest(s.lo, l.lo) AS taken, l.layer_id, coalesce(l.unit_cost, price) AS unit_cost, l.source, l.source_document_id, l.source_line_number
+    FROM pos s JOIN every l ON s.product_key = l.product_key AND s.lo < l.hi AND l.lo < s.hi LEFT JOIN price ON price.product_key = l.product_key AND price.seq = l.return_seq WHERE s.quantity > 0 AND s.hi > s.lo),
+  num AS (SELECT *, row_number() OVER w - 1 AS sequence, count(*) OVER (PARTITION BY document_type, document_id, line_number) AS n, sum(exact) OVER (PARTITION BY document_type, document_id, line_number) AS total, sum(exact) OVER w AS upto
+    FROM (SELECT *, round(taken * unit_cost, 6) AS exact FROM seg) WINDOW w AS (PARTITION BY document_type, document_id, line_number ORDER BY pt)),
+  mis AS (SELECT *, CASE WHEN quantity > 0 THEN quantity - CASE WHEN supply IS NULL THEN 0 ELSE hi - lo END WHEN supply IS NULL THEN quantity ELSE 0 END AS missing FROM pos),
+  cnt AS (SELECT document_type, document_id, line_number, max(n) AS n FROM num GROUP BY 1, 2, 3),
+  alloc AS (SELECT document_type, document_id, line_number, product_key, CAST(sequence AS INT) AS sequence, CAST(taken AS DOUBLE) AS quantity_allocated, CAST(unit_cost AS DOUBLE) AS unit_cost, CAST(CASE WHEN sequence = n - 1 THEN round(total, 2) - (upto - exact) ELSE exact END AS DOUBLE) AS cost_amount, 'fifo' AS allocation_type,
+      CASE WHEN source = 'opening' THEN 'certified' ELSE 'source' END AS confidence, layer_id, source_document_id, source_line_number, exact FROM num
+    UNION ALL SELECT document_type, document_id, line_number, pos.product_key, 0, CAST(quantity AS DOUBLE), CAST(price AS DOUBLE), CAST(round(round(quantity * price, 6), 2) AS DOUBLE), 'credit_note_return', 'estimated', 'R' || document_id || '/' || line_number, NULL, NULL, round(quantity * price, 6) FROM pos JOIN price ON pos.product_key = price.product_key AND pos.seq = price.seq
+    UNION ALL SELECT m.document_type, m.document_id, m.line_number, product_key, CAST(coalesce(n, 0) AS INT), CAST(missing AS DOUBLE), NULL, 0, 'unavailable', 'unavailable', NULL, NULL, NULL, 0 FROM mis m LEFT JOIN cnt ON m.document_type = cnt.document_type AND m.document_id = cnt.document_id AND m.line_number = cnt.line_number WHERE missing <> 0),
+  costs AS (SELECT s.document_type, s.document_id, s.line_number, s.product_key, s.quantity, s.net_sales, coalesce(tk, 0) AS costed_quantity, CAST(s.missing AS DOUBLE) AS uncosted_quantity, coalesce(cg, 0) AS cogs,
+      CASE WHEN s.missing <> 0 AND coalesce(tk, 0) <> 0 THEN 'partial' WHEN s.missing <> 0 THEN 'unavailable' WHEN s.document_type = 'credit_note' THEN 'estimated' ELSE 'costed' END AS cost_status
+    FROM mis s LEFT JOIN (SELECT document_type, document_id, line_number, sum(quantity_allocated) AS tk, CAST(round(sum(exact), 2) AS DOUBLE) AS cg FROM alloc WHERE allocation_type <> 'unavailable' GROUP BY 1, 2, 3) g ON s.document_type = g.document_type AND s.document_id = g.document_id AND s.line_number = g.line_number)"""
+)
+WHOLE_SQL = {
+    "fifo_allocate": f"WITH {WHOLE} SELECT document_type, document_id, line_number, product_key, sequence, quantity_allocated, round(unit_cost, 6) AS unit_cost, round(cost_amount, 6) AS cost_amount, allocation_type, confidence, layer_id FROM alloc",
+    "line_cost_status": f"WITH {WHOLE} SELECT {', '.join(SHOWN)} FROM costs",
+    "layer_balances": f"""WITH {WHOLE} SELECT l.product_key, l.layer_id, source, CAST(hi - lo AS DOUBLE) AS quantity, coalesce(t, 0) AS taken, CAST(hi - lo AS DOUBLE) - coalesce(t, 0) AS remaining, CASE WHEN CAST(hi - lo AS DOUBLE) - coalesce(t, 0) > 0 THEN 'open' ELSE 'depleted' END AS status
+        FROM every l LEFT JOIN (SELECT layer_id, sum(quantity_allocated) AS t FROM alloc WHERE allocation_type = 'fifo' GROUP BY 1) a ON l.layer_id = a.layer_id""",
+    "cost_run_summary": f"""WITH {WHOLE} SELECT count(*) AS lines_read, count(*) FILTER (WHERE cost_status IN ('costed', 'estimated')) AS lines_costed, count(*) FILTER (WHERE cost_status = 'partial') AS lines_partial, count(*) FILTER (WHERE cost_status = 'unavailable') AS lines_unavailable, CAST(sum(quantity) AS DOUBLE) AS sales_units, sum(costed_quantity) AS costed_units,
+        CAST(sum(CAST(cogs AS DECIMAL(18,2))) AS DOUBLE) AS cogs, CASE WHEN count(*) FILTER (WHERE cost_status IN ('partial', 'unavailable')) > 0 THEN 'succeeded_with_exceptions' ELSE 'succeeded' END AS status FROM costs""",
+    "apply_costs_to_facts": f"""WITH {WHOLE} SELECT cost_status, count(*) AS lines, CAST(sum(net_sales) AS DOUBLE) AS net_sales, CAST(coalesce(sum(cogs), 0) AS DOUBLE) AS cogs, CAST(coalesce(sum(margin), 0) AS DOUBLE) AS margin FROM (
+        SELECT f.net_sales, CASE WHEN f.date < DATE '1998-01-01' THEN 'outside_scope' ELSE c.cost_status END AS cost_status, CAST(c.cogs AS DECIMAL(18,2)) AS cogs, CASE WHEN c.cost_status IN ('costed', 'estimated') THEN f.net_sales - CAST(c.cogs AS DECIMAL(18,2)) END AS margin
+        FROM sales_lines f LEFT JOIN costs c ON f.document_type = c.document_type AND f.document_id = c.document_id AND f.line_number = c.line_number WHERE NOT f.is_deleted) GROUP BY 1""",
+    "sales_cost_supplier": f"""WITH {WHOLE}, par AS (SELECT a.*, sum(quantity_allocated) OVER (PARTITION BY document_type, document_id, line_number) AS whole FROM alloc a WHERE allocation_type <> 'unavailable'),
+      agg AS (SELECT coalesce(c.name, 'Sin proveedor/costo de apertura') AS supplier, f.currency_code, round(sum(CAST(f.net_sales AS DOUBLE) * quantity_allocated / whole), 4) AS attributed_net_sales, round(sum(cost_amount), 4) AS cogs, sum(quantity_allocated) AS allocated_units,
+        count(DISTINCT a.document_type || a.document_id) AS documents, count(DISTINCT a.product_key) AS products, count(*) AS allocation_rows FROM par a JOIN fact_sales f ON f.document_type = a.document_type AND f.document_id = a.document_id AND f.line_number = a.line_number
+        LEFT JOIN fact_purchases b ON b.document_id = a.source_document_id AND b.line_number = a.source_line_number AND NOT b.is_deleted LEFT JOIN dim_contact c ON b.provider_key = c.contact_key WHERE NOT f.is_deleted AND f.date BETWEEN DATE '{YEAR.from_date}' AND DATE '{YEAR.to_date}' GROUP BY 1, 2)
+      SELECT *, round(attributed_net_sales - cogs, 4) AS gross_margin, round(coalesce(round(attributed_net_sales - cogs, 4) / nullif(attributed_net_sales, 0) * 100, 0), 4) AS gross_margin_pct, round(coalesce(attributed_net_sales / nullif(sum(attributed_net_sales) OVER (PARTITION BY currency_code), 0) * 100, 0), 6) AS share_pct FROM agg ORDER BY attributed_net_sales DESC, supplier, currency_code LIMIT 100""",
+}
+RAW_SQL |= WHOLE_SQL | {f"{k}_all_lines": v for k, v in WHOLE_SQL.items()} | {"fifo_returns": WHOLE_SQL["line_cost_status"]}
 SQL = {k: with_fixtures(v) for k, v in RAW_SQL.items()}
