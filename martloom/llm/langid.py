@@ -186,8 +186,11 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, trained: int = TRAINED, rid
     spark = docs.sparkSession
     known = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
     known = known.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = known.groupBy("lang", "h").agg(F.min("doc_id").alias("id")).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= trained)
+    # A share of the hashes that holds twice as many different texts as are wanted of a language, whatever its size.
+    share = F.least(F.lit(1.0), 2.0 * trained / F.approx_count_distinct("h")).alias("share")
+    low = known.join(materialize(known.groupBy("lang").agg(share)), "lang").filter(F.shiftrightunsigned("h", 11) < F.col("share") * F.lit(float(1 << 53)))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h")
+    chosen = low.groupBy("lang", "h").agg(F.min("doc_id").alias("id")).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= trained)
     chosen = materialize(chosen)  # of copies one row, so that no text is shuffled as often as it occurs
     sample = known.join(chosen, ["lang", "h"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
     sample = materialize(sample.groupBy("lang", "h", "nth").agg(F.min("text").alias("text")))
