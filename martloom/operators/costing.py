@@ -101,6 +101,18 @@ def layer_warehouse(warehouses: DataFrame, tenant_id: str) -> int:
     return found
 
 
+def allocation_statuses(layers: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """allocation_status of each of many cutoffs (a column cutoff; repeats are one)."""
+    opened = layers.filter("source = 'opening'").select(F.col("opened_on").alias("_d")).distinct()
+    rows = cutoffs.select("cutoff").distinct().join(opened, F.col("cutoff") == F.col("_d"), "left")
+    return rows.select("cutoff", F.when(F.col("_d").isNull(), "skipped_no_opening_basis").otherwise("ready").alias("status"))
+
+
+def layer_warehouses(warehouses: DataFrame) -> DataFrame:
+    """layer_warehouse of each tenant that has one."""
+    return warehouses.filter("not is_deleted").groupBy("tenant_id").agg(F.min("warehouse_key").alias("warehouse_key"))
+
+
 def allocation_status(layers: DataFrame, cutoff: date) -> str:
     """'skipped_no_opening_basis' if no opening layer opens at the cutoff, else 'ready'."""
     basis = layers.filter((F.col("source") == "opening") & (F.col("opened_on") == F.lit(cutoff)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martloom.functions.cols import DEFAULT_CURRENCY, NO_FAMILY, blank_to_null
-from martloom.sources.sinks import counted, stored, write_dim, write_facts
+from martloom.sources.sinks import stored
 
 
 def upsert_dim(old: DataFrame, source: DataFrame, key: str, natural: list[str] | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def dim_date(*dates: DataFrame) -> DataFrame:
         F.weekofyear("date").alias("iso_week"), weekday.alias("iso_weekday"), (weekday >= 6).alias("is_weekend"))
 
 
-def _keyed(rows: DataFrame, dim: DataFrame, source: str, key: str, out: str) -> DataFrame:
+def keyed(rows: DataFrame, dim: DataFrame, source: str, key: str, out: str) -> DataFrame:
     found = dim.select(F.col("tenant_id").alias("_t"), F.col("external_id").alias("_e"), F.col(key).alias(out))
     return rows.join(found, (F.col("tenant_id") == F.col("_t")) & (F.col(source) == F.col("_e")), "left").drop("_t", "_e")
 
@@ -68,10 +68,10 @@ def fact_sales(invoices: DataFrame, invoice_lines: DataFrame, notes: DataFrame,
     one = invoice_lines.join(invoices.withColumnRenamed("is_deleted", "_d"), key).select(*key, F.lit("invoice").alias("document_type"), "line_number", "date", F.col("status").alias("document_status"), "item_id", "client_id", "seller_id", F.lit(None).cast("string").alias("warehouse_id"), "currency_code", "quantity", F.col("total").alias("net_sales"), F.col("_d").alias("is_deleted"))
     two = note_lines.join(notes.withColumnRenamed("is_deleted", "_d"), key).select(*key, F.lit("credit_note").alias("document_type"), "line_number", "date", F.col("status").alias("document_status"), "item_id", "client_id", F.lit(None).cast("string").alias("seller_id"), "warehouse_id", "currency_code", (-F.col("quantity")).cast("decimal(18,4)").alias("quantity"), (-F.col("total")).cast("decimal(18,2)").alias("net_sales"), F.col("_d").alias("is_deleted"))
     rows = one.unionByName(two).withColumn("currency_code", F.coalesce("currency_code", F.lit(DEFAULT_CURRENCY)))
-    rows = _keyed(rows, products, "item_id", "product_key", "product_key")
-    rows = _keyed(rows, contacts, "client_id", "contact_key", "contact_key")
-    rows = _keyed(rows, sellers, "seller_id", "seller_key", "seller_key")
-    rows = _keyed(rows, warehouses, "warehouse_id", "warehouse_key", "warehouse_key")
+    rows = keyed(rows, products, "item_id", "product_key", "product_key")
+    rows = keyed(rows, contacts, "client_id", "contact_key", "contact_key")
+    rows = keyed(rows, sellers, "seller_id", "seller_key", "seller_key")
+    rows = keyed(rows, warehouses, "warehouse_id", "warehouse_key", "warehouse_key")
     return rows.drop("item_id", "client_id", "seller_id", "warehouse_id")
 
 
@@ -79,33 +79,17 @@ def fact_purchases(bills: DataFrame, lines: DataFrame, products: DataFrame, cont
     """Bill lines with their provider; purchases have no warehouse."""
     key = ["tenant_id", "document_id"]
     rows = lines.join(bills.withColumnRenamed("is_deleted", "_d"), key).select(*key, "line_number", "date", F.col("status").alias("document_status"), "item_id", "provider_id", F.coalesce("currency_code", F.lit(DEFAULT_CURRENCY)).alias("currency_code"), F.coalesce("quantity", F.lit(0)).cast("decimal(18,4)").alias("quantity"), F.col("price").alias("unit_cost"), F.coalesce("total", F.lit(0)).cast("decimal(18,2)").alias("amount"), F.col("_d").alias("is_deleted"))
-    rows = _keyed(rows, products, "item_id", "product_key", "product_key")
-    return _keyed(rows, contacts, "provider_id", "contact_key", "provider_key").drop("item_id", "provider_id").withColumn("warehouse_key", F.lit(None).cast("long"))
+    rows = keyed(rows, products, "item_id", "product_key", "product_key")
+    return keyed(rows, contacts, "provider_id", "contact_key", "provider_key").drop("item_id", "provider_id").withColumn("warehouse_key", F.lit(None).cast("long"))
 
 
 def fact_payments(payments: DataFrame, contacts: DataFrame) -> DataFrame:
     rows = payments.withColumn("amount", F.coalesce("amount", F.lit(0)).cast("decimal(18,2)")).withColumn("currency_code", F.coalesce("currency_code", F.lit(DEFAULT_CURRENCY)))
-    return _keyed(rows, contacts, "contact_id", "contact_key", "contact_key").drop("contact_id")
+    return keyed(rows, contacts, "contact_id", "contact_key", "contact_key").drop("contact_id")
 
 
 def fact_snapshots(rows: DataFrame, products: DataFrame, warehouses: DataFrame) -> DataFrame:
     """Snapshot rows with their value, null without a cost."""
-    rows = _keyed(rows, products, "item_id", "product_key", "product_key")
-    rows = _keyed(rows, warehouses, "warehouse_id", "warehouse_key", "warehouse_key").drop("item_id", "warehouse_id")
+    rows = keyed(rows, products, "item_id", "product_key", "product_key")
+    rows = keyed(rows, warehouses, "warehouse_id", "warehouse_key", "warehouse_key").drop("item_id", "warehouse_id")
     return rows.withColumn("value", F.round(F.col("quantity") * F.col("unit_cost"), 2).cast("decimal(18,2)"))
-
-
-def refresh(tables: dict, path: str) -> dict[str, int]:
-    """Writes a mart in order: dimensions, facts, what is derived from them, costs. Gives the rows written of each table, as observed.
-
-    tables: name -> function of what is written so far (name -> DataFrame) that gives the
-    table, in that order; names that start with fact_ are replaced tenant by tenant.
-    """
-    done: dict[str, DataFrame] = {}
-    rows: dict[str, int] = {}
-    rank = {"dim": 0, "fact": 1, "derived": 2, "cost": 3}
-    for name, make in sorted(tables.items(), key=lambda x: rank[x[0].split("_")[0]]):
-        df, at = make(done), f"{path}/{name}"
-        rows[name] = counted(df, lambda d, n=name, to=at: write_facts(d, to) if n.startswith("fact_") else write_dim(d, to))
-        done[name] = df.sparkSession.read.parquet(at)
-    return rows

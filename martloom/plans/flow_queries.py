@@ -70,7 +70,7 @@ def _doubles(df: DataFrame, *names: str) -> DataFrame:
 
 def _batch(m) -> DataFrame:
     """Events as versions of user documents, in order of event_id."""
-    return m.events.filter("event_type in ('click', 'view')").select(F.lit("t1").alias("tenant_id"), F.lit("user").alias("resource"), F.col("user_id").cast("string").alias("external_id"), F.col("props").alias("payload"), F.sha2("props", 256).alias("payload_hash"), F.col("event_id").alias("seq"), F.col("ts").alias("received_at"))
+    return m.events.select(F.lit("t1").alias("tenant_id"), F.lit("user").alias("resource"), F.col("user_id").cast("string").alias("external_id"), F.col("props").alias("payload"), F.sha2("props", 256).alias("payload_hash"), F.col("event_id").alias("seq"), F.col("ts").alias("received_at"))
 
 
 def _current(m) -> DataFrame:
@@ -108,7 +108,7 @@ def stream_changes(m) -> DataFrame:
     spark, path = m.spark, shared_folder(m.spark, "changes")
     _events(m).repartition(4).write.json(f"{path}/in")
     log = f"{path}/log"
-    changes.run_changes(changes.read_events(spark, f"{path}/in", 2), changes.logged_once(log), f"{path}/checkpoint")
+    changes.run_dedup(changes.read_events(spark, f"{path}/in", 2), log, f"{path}/checkpoint")
     return spark.read.option("basePath", log).parquet(f"{log}/epoch=*").select("tenant_id", "subject", "entity_type", "action", "external_id")
 
 
@@ -178,7 +178,7 @@ PLANS = f"""{ITEMS},
     arg_min(coalesce(preferred_supplier, 'Sin proveedor'), (queue_rank, -coalesce(queue_value, 0), product_key)) AS supplier, min(minimum_order_amount) AS minimum_order_amount, min(shipping_cost) AS shipping_cost, min(free_shipping_threshold) AS free_shipping_threshold, arg_min(effective_max_wait_days, (queue_rank, -coalesce(queue_value, 0), product_key)) AS wait FROM items WHERE recommended_quantity > 0 GROUP BY 1),
   plans AS (SELECT *, CASE WHEN supplier_key IS NULL THEN 'review' WHEN critical_lines > 0 THEN 'buy_now' WHEN coalesce(minimum_order_amount, 0) > 0 AND estimated_value >= minimum_order_amount THEN 'buy_now' WHEN free_shipping_threshold > 0 AND estimated_value >= free_shipping_threshold THEN 'complete_order' WHEN NOT policy_configured THEN 'review' ELSE 'accumulate' END AS decision,
     greatest(coalesce(minimum_order_amount, 0) - estimated_value, 0) AS amount_to_minimum, DATE '{AS_OF}' + wait AS next_review_date, estimated_value + shipping_cost AS estimated_total_with_shipping FROM grp)"""
-BATCH = "SELECT CAST(user_id AS VARCHAR) AS external_id, props AS payload, event_id AS seq, ts FROM events WHERE event_type IN ('click', 'view')"
+BATCH = "SELECT CAST(user_id AS VARCHAR) AS external_id, props AS payload, event_id AS seq, ts FROM events"
 EVENTS = "SELECT DISTINCT 't1' AS tenant_id, subject, CASE WHEN event_type = 'signup' THEN 'client' WHEN event_type = 'view' THEN 'invoice' ELSE 'item' END AS entity_type, split_part(subject, '-', 1) AS action, CAST(user_id AS VARCHAR) AS external_id FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'new-client' WHEN 'click' THEN 'edit-item' WHEN 'view' THEN 'edit-invoice' WHEN 'error' THEN 'delete-item' END AS subject FROM events WHERE event_type IN ('signup', 'click', 'view', 'error'))"
 RAW_SQL = {
     "demand_windows": WINDOWS,

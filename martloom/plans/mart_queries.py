@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martloom.functions.cols import normalized_text
-from martloom.operators import costing, landing, mart
+from martloom.operators import costing, landing, mart, refresh
 from martloom.operators import purchases as buy
-from martloom.plans.cost_queries import CUTOFF, _layers
+from martloom.plans import flow_queries
+from martloom.plans.cost_queries import CLASSIFIED, CUTOFF, WHOLE, _layers
 from martloom.plans.fixtures import with_fixtures
-from martloom.plans.flow_queries import _bills_json, _doubles, _events
+from martloom.plans.flow_queries import _bills_json, _doubles, _events, _typed
 from martloom.plans.reports import on
 from martloom.sources import documents as docs
+from martloom.sources.buckets import merge_buckets, read_buckets, write_buckets
 from martloom.sources.sinks import shared_folder
 from martloom.streaming import changes
 
@@ -70,12 +73,16 @@ def _old_lines(m) -> DataFrame:
     return docs.document_lines(_bills_json(m)).withColumn("total", F.lit(0).cast("decimal(18,2)"))
 
 
-def _replaced(m) -> DataFrame:
+def _line_batches(m) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = m.fact_purchases.select("tenant_id", "document_id", "line_number", _text("product_key").alias("item_id"), F.col("quantity").cast("double").alias("quantity"))
     batch = lines.filter("line_number = 1").withColumn("quantity", F.col("quantity") + 1000)
     ids = lines.select("tenant_id", "document_id").distinct().withColumn("has_items", F.length("document_id") % 2 == 0)
     of_batch = batch.join(ids.filter("has_items").select("tenant_id", "document_id"), ["tenant_id", "document_id"])
-    return landing.replace_lines(lines, of_batch, ids)
+    return lines, of_batch, ids
+
+
+def _replaced(m) -> DataFrame:
+    return landing.replace_lines(*_line_batches(m))
 
 
 def _projection(m) -> DataFrame:
@@ -115,22 +122,32 @@ def _keyed(dim: DataFrame, key: str) -> DataFrame:
     return dim.select("tenant_id", _text(key).alias("external_id"), key)
 
 
-def _fact_purchases(m) -> DataFrame:
+def _bill_tables(m) -> tuple[DataFrame, DataFrame]:
     p = m.fact_purchases
     heads = p.groupBy("tenant_id", "document_id").agg(F.min("date").alias("date"), F.min("document_status").alias("status"), F.min(_text("provider_key")).alias("provider_id"),
                                                       F.min(F.when(F.col("currency_code") != "COP", F.col("currency_code"))).alias("currency_code"), F.max("is_deleted").alias("is_deleted"))
     lines = p.select("tenant_id", "document_id", "line_number", (F.col("product_key") - 1).cast("string").alias("item_id"), "quantity", F.col("unit_cost").alias("price"), F.col("amount").alias("total"))
-    return mart.fact_purchases(heads, lines, m.dim_product, _keyed(m.dim_contact, "contact_key"))
+    return heads, lines
+
+
+def _fact_purchases(m) -> DataFrame:
+    return mart.fact_purchases(*_bill_tables(m), m.dim_product, _keyed(m.dim_contact, "contact_key"))
+
+
+def _payment_rows(m) -> DataFrame:
+    return m.fact_payments.withColumn("contact_id", _text("contact_key")).drop("contact_key").withColumn("currency_code", F.nullif("currency_code", F.lit("COP")))
 
 
 def _fact_payments(m) -> DataFrame:
-    rows = m.fact_payments.withColumn("contact_id", _text("contact_key")).drop("contact_key").withColumn("currency_code", F.nullif("currency_code", F.lit("COP")))
-    return mart.fact_payments(rows, _keyed(m.dim_contact, "contact_key"))
+    return mart.fact_payments(_payment_rows(m), _keyed(m.dim_contact, "contact_key"))
+
+
+def _snapshot_rows(m) -> DataFrame:
+    return m.fact_snapshots.select("tenant_id", "run_id", (F.col("product_key") - 1).cast("string").alias("item_id"), _text("warehouse_key").alias("warehouse_id"), "quantity", "unit_cost")
 
 
 def _fact_snapshots(m) -> DataFrame:
-    rows = m.fact_snapshots.select("tenant_id", "run_id", (F.col("product_key") - 1).cast("string").alias("item_id"), _text("warehouse_key").alias("warehouse_id"), "quantity", "unit_cost")
-    return mart.fact_snapshots(rows, m.dim_product, _keyed(m.dim_warehouse, "warehouse_key"))
+    return mart.fact_snapshots(_snapshot_rows(m), m.dim_product, _keyed(m.dim_warehouse, "warehouse_key"))
 
 
 def _contact_upsert(m) -> DataFrame:
@@ -148,21 +165,61 @@ def _accents(m) -> DataFrame:
     return m.customer.select("c_custkey", normalized_text(F.concat(F.lit("  Straße   "), odd)).alias("plain"))
 
 
-def _refresh(m) -> DataFrame:
-    """A refresh of the mart: rows written of each table, in order."""
-    tables = {
-        "dim_product": lambda d: mart.dim_product(m.dim_product), "dim_contact": lambda d: m.dim_contact, "dim_date": lambda d: mart.dim_date(m.sales_lines, m.fact_purchases),
-        "fact_purchases": lambda d: _fact_purchases(m), "fact_payments": lambda d: _fact_payments(m), "fact_sales": lambda d: m.sales_lines,
-        "derived_modes": lambda d: buy.product_supplier_mode(m.fact_purchases), "derived_stats": lambda d: buy.supplier_product_stats(m.fact_purchases),
-        "cost_layers": lambda d: _layers(m),
-    }
-    rows = mart.refresh(tables, shared_folder(m.spark, "mart"))
-    return m.spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(rows.items())], "nth long, name string, rows long")
+def sources(m) -> dict[str, DataFrame]:
+    """The typed tables that a refresh reads."""
+    names = ("invoices", "invoice_lines", "credit_notes", "credit_note_lines", "items", "contacts", "sellers", "warehouses")
+    item = (F.col("product_key") - 1).cast("string").alias("item_id")
+    line = ["tenant_id", "document_id", "line_number", "date", "quantity", "is_deleted"]
+    bills, bill_lines = _bill_tables(m)
+    return dict(zip(names, _typed(m), strict=True)) | {
+        "tenants": m.dim_warehouse.select("tenant_id", F.lit("t").alias("slug"), F.lit("T").alias("name")).distinct(),
+        "bills": bills, "bill_lines": bill_lines, "payments": _payment_rows(m), "snapshot_rows": _snapshot_rows(m),
+        "adjustment_lines": m.adjustment_lines.select(*line, item, _text("warehouse_key").alias("warehouse_id")),
+        "transfer_lines": m.transfer_lines.select(*line, item, _text("source_key").alias("source_id"), _text("destination_key").alias("destination_id")),
+        "opening_report": m.opening_report.withColumn("tenant_id", F.lit("t1")),
+    }
+
 
+def _refreshed(m) -> str:
+    """The folder of a mart after a first load and a refresh."""
+    path = shared_folder(m.spark, "mart")
+    for hour, run in enumerate(("first", "second")):
+        refresh.refresh(m.spark, path, "t1", run, sources(m), CUTOFF, lambda h=hour: datetime(2024, 1, 1, h))
+    return path
 
-def _basis(m) -> DataFrame:
-    found = [(costing.allocation_status(_layers(m), CUTOFF), costing.allocation_status(_layers(m), date(1999, 1, 1)), costing.layer_warehouse(m.dim_warehouse, "t1"))]
-    return m.spark.createDataFrame(found, "status string, without string, warehouse_key long")
+
+MART_TABLES = ("dim_product", "dim_contact", "dim_seller", "dim_warehouse", "dim_date", "fact_purchases", "fact_payments", "fact_snapshots", "fact_movements", "fact_sales", "cost_layers")
+
+
+def _mart_rows(m) -> DataFrame:
+    """Rows of each published table."""
+    path = _refreshed(m)
+    return reduce(DataFrame.unionByName, [refresh.published(m.spark, path, n).groupBy(F.lit(n).alias("name")).agg(F.count("*").alias("rows")) for n in MART_TABLES])
+
+
+def _mart_sales(m) -> DataFrame:
+    """The published sales facts with their costs."""
+    rows = refresh.published(m.spark, _refreshed(m), "fact_sales")
+    numbers = ("quantity", "net_sales", "cogs", "margin")
+    return _doubles(rows.select("document_type", "document_id", "line_number", "date", "currency_code", "is_deleted", "cost_status", "cost_method", *numbers), *numbers)
+
+
+def _upserted(m) -> DataFrame:
+    """Users' documents in buckets: half of the events, then the other half merged into the buckets that it touches."""
+    path, batch = shared_folder(m.spark, "current"), flow_queries._batch(m)
+    write_buckets(_state(batch.filter("seq % 2 = 0")), path, landing.KEY, 16)
+    rest = batch.filter("seq % 2 = 1")
+    merge_buckets(m.spark, path, landing.KEY, 16, rest, lambda old: landing.upsert_current(old, rest))
+    return read_buckets(m.spark, path).select("external_id", "payload", "first_seen_at", "last_seen_at", "is_deleted")
+
+
+def _lines_in_buckets(m) -> DataFrame:
+    """replace_document_lines over lines in buckets of their document."""
+    path, key = shared_folder(m.spark, "lines"), ["tenant_id", "document_id"]
+    lines, of_batch, ids = _line_batches(m)
+    write_buckets(lines, path, key, 16)
+    merge_buckets(m.spark, path, key, 16, ids, lambda old: landing.replace_lines(old, of_batch, ids))
+    return read_buckets(m.spark, path).select("document_id", "line_number", "item_id", "quantity")
 
 
 QUERIES = {
@@ -184,14 +241,26 @@ QUERIES = {
     "dim_contact_upsert": on(_contact_upsert),
     "dim_tenant": on(_tenants),
     "normalize_text": on(_accents),
-    "refresh_mart": on(_refresh),
-    "opening_basis": on(_basis),
+    "refresh_mart": on(_mart_rows),
+    "refresh_fact_sales": on(_mart_sales),
+    "upsert_current_buckets": on(_upserted),
+    "replace_lines_buckets": on(_lines_in_buckets),
+    "opening_basis": on(lambda m: costing.allocation_statuses(_layers(m), m.sales_lines.select(F.col("date").alias("cutoff")))),
+    "layer_warehouses": on(lambda m: costing.layer_warehouses(m.dim_warehouse)),
 }
 
 HEAD = "min(date) AS date, min(document_status) AS status"
 VIEWS = "SELECT CAST(user_id AS VARCHAR) AS external_id, props, ts, event_id FROM events WHERE event_type = '{}'"
 LAST = "SELECT external_id, arg_max(props, event_id) AS payload, arg_max(ts, event_id) AS ts FROM ({}) GROUP BY 1"
 CLICKS = VIEWS.format("click") + f" AND CAST(ts AS DATE) BETWEEN DATE '{AS_OF}' - {DAYS} AND DATE '{AS_OF}'"
+#: Bill lines have the date of their bill.
+HEADED = "headed AS (SELECT p.* EXCLUDE (date), h.date FROM fact_purchases p JOIN (SELECT document_id, min(date) AS date FROM fact_purchases GROUP BY 1) h USING (document_id)), "
+
+
+def _after_bills(sql: str) -> str:
+    return HEADED + sql.replace("FROM fact_purchases WHERE NOT is_deleted AND product_key", "FROM headed WHERE NOT is_deleted AND product_key")
+
+
 RAW_SQL = {
     "project_item": "SELECT external_id AS item_id, name, reference, item_type, inventory_enabled, CAST(current_cost AS DOUBLE) AS cost, family_name, preferred_supplier_name FROM dim_product",
     "project_contact": "SELECT CAST(contact_key AS VARCHAR) AS contact_id, name, contact_type FROM dim_contact",
@@ -219,6 +288,17 @@ RAW_SQL = {
     "dim_contact_upsert": "SELECT 't1' AS tenant_id, CAST(contact_key AS VARCHAR) AS external_id, name, row_number() OVER (ORDER BY CAST(contact_key AS VARCHAR)) AS key FROM dim_contact",
     "dim_tenant": "SELECT CAST(r_regionkey AS VARCHAR) AS tenant_id, lower(r_name) AS slug, r_name AS name FROM region",
     "normalize_text": "SELECT c_custkey, 'strasse ' || lower(c_name) AS plain FROM customer",
-    "opening_basis": "SELECT 'ready' AS status, 'skipped_no_opening_basis' AS without, min(warehouse_key) AS warehouse_key FROM dim_warehouse WHERE NOT is_deleted",
+    "opening_basis": f"WITH {CLASSIFIED} SELECT DISTINCT date AS cutoff, CASE WHEN date IN (SELECT opened_on FROM layers WHERE source = 'opening') THEN 'ready' ELSE 'skipped_no_opening_basis' END AS status FROM sales_lines",
+    "layer_warehouses": "SELECT tenant_id, min(warehouse_key) AS warehouse_key FROM dim_warehouse WHERE NOT is_deleted GROUP BY 1",
+    "refresh_mart": f"WITH {_after_bills(CLASSIFIED)} " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows FROM {t}" for n, t in {
+        "dim_product": "dim_product", "dim_contact": "dim_contact", "dim_seller": "dim_seller", "dim_warehouse": "dim_warehouse", "fact_purchases": "fact_purchases", "fact_payments": "fact_payments",
+        "fact_snapshots": "fact_snapshots", "fact_movements": "(SELECT 1 FROM adjustment_lines UNION ALL SELECT 1 FROM transfer_lines UNION ALL SELECT 1 FROM transfer_lines)", "fact_sales": "sales_lines", "cost_layers": "layers",
+        "dim_date": "(SELECT date FROM sales_lines UNION SELECT date FROM headed UNION SELECT date FROM fact_payments UNION SELECT date FROM adjustment_lines UNION SELECT date FROM transfer_lines)"}.items()),
+    "refresh_fact_sales": f"""WITH {_after_bills(WHOLE)} SELECT f.document_type, f.document_id, f.line_number, f.date, f.currency_code, f.is_deleted, CASE WHEN f.date < DATE '1998-01-01' THEN 'outside_scope' ELSE coalesce(c.cost_status, 'unavailable') END AS cost_status,
+        CASE WHEN c.document_id IS NOT NULL THEN 'fifo' END AS cost_method, CAST(f.quantity AS DOUBLE) AS quantity, CAST(f.net_sales AS DOUBLE) AS net_sales, c.cogs,
+        CAST(CASE WHEN c.cost_status IN ('costed', 'estimated') THEN f.net_sales - CAST(c.cogs AS DECIMAL(18,2)) END AS DOUBLE) AS margin
+        FROM sales_lines f LEFT JOIN costs c ON f.document_type = c.document_type AND f.document_id = c.document_id AND f.line_number = c.line_number""",
 }
+RAW_SQL["replace_lines_buckets"] = RAW_SQL["replace_document_lines"]
+RAW_SQL["upsert_current_buckets"] = flow_queries.RAW_SQL["upsert_current"]
 SQL = {k: with_fixtures(v) for k, v in RAW_SQL.items()}

@@ -35,21 +35,25 @@ def counted(df: DataFrame, write) -> int:
     return int(seen.get["rows"])
 
 
-def write_facts(fact: DataFrame, path: str) -> None:
-    """Replaces the facts of the tenants in fact, and no others."""
-    fact.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(path)
-
-
-def write_dim(dim: DataFrame, path: str) -> None:
-    dim.write.mode("overwrite").parquet(path)
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def record_run(spark, path: str, run_id: str, tenant_id: str, kind: str, status: str, started: datetime, finished: datetime, counts: dict[str, int], error: str | None = None) -> DataFrame:
-    """Appends one run to the run table and gives it back."""
-    row = spark.createDataFrame([(run_id, tenant_id, kind, status, started, finished, counts, error)], "run_id string, tenant_id string, kind string, status string, started_at timestamp, finished_at timestamp, counts map<string,long>, error string")
+RUN = "run_id string, tenant_id string, kind string, status string, started_at timestamp, finished_at timestamp, counts map<string,long>, error string"
+
+
+def record_run(
+    spark: SparkSession, path: str, run_id: str, tenant_id: str, kind: str, status: str, started: datetime, finished: datetime,
+    counts: dict[str, int], error: str | None = None,
+) -> DataFrame:
+    """Appends one run to the run table and gives it back. Errors are cut at 4000 characters."""
+    row = spark.createDataFrame([(run_id, tenant_id, kind, status, started, finished, counts, error and error[:4000])], RUN)
     row.coalesce(1).write.mode("append").parquet(path)
     return row
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run table, empty before the first run."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(RUN).parquet(path) if there else spark.createDataFrame([], RUN)

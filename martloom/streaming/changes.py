@@ -1,8 +1,16 @@
-"""Change events: parsed, told from repeats, and applied in order."""
+"""Change events: parsed, told from repeats, and applied in order.
+
+What has been seen is a state of the stream by tenant, subject and content, kept by RocksDB
+and the checkpoint: a batch looks up its own keys, however many there have been. A batch
+that comes again starts from the state before it and finds the same events.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +45,23 @@ def first_seen(events: DataFrame, log: DataFrame | None = None) -> DataFrame:
     return one if log is None else one.join(log.select(*key), key, "left_anti")
 
 
+def _first_of_key(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The first row of a key that the state doesn't know, by available_at and created_at."""
+    first = None
+    for frame in frames:
+        rows = frame if first is None else pd.concat([first, frame])
+        first = rows.sort_values(["available_at", "created_at"], kind="stable", na_position="last").head(1)
+    if first is not None and not state.exists:
+        state.update((True,))
+        yield first
+
+
+def first_seen_stream(events: DataFrame) -> DataFrame:
+    """first_seen of a stream of parsed events, over all its batches. The state has a row for each key there ever was; dedup_stream bounds it by time."""
+    keyed = events.groupBy("tenant_id", "subject", "payload_hash")
+    return keyed.applyInPandasWithState(_first_of_key, events.schema, "seen boolean", "append", "NoTimeout")
+
+
 def dedup_stream(events: DataFrame, within: str | None = None) -> DataFrame:
     """The stream without repeats, for ever, or, with bounded state, within a time."""
     key = ["tenant_id", "subject", "payload_hash"]
@@ -52,23 +77,33 @@ def apply_events(current: DataFrame, events: DataFrame, documents: DataFrame) ->
     return soft_delete(upsert_current(current, saved), last.filter("action = 'delete'"))
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State of streams that start from now on: on executors' disks in RocksDB, with its changes in the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def run_changes(events: DataFrame, apply, checkpoint: str) -> None:
     """Applies what a stream holds now, batch after batch, and stops. apply(batch, epoch) must give the same result when a batch comes again."""
+    keep_state_in_rocksdb(events.sparkSession)
     query = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def logged_once(log: str):
-    """What to apply to each batch: its events that no earlier batch has logged, written as the batch's own part of the log. A batch that comes again finds the same and overwrites its part."""
+def logged(log: str):
+    """What to apply to each batch: its rows written as the batch's own part of the log, over what an earlier try has left."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        past = spark.read.option("basePath", log).parquet(f"{log}/epoch=*").filter(F.col("epoch") < epoch) if epoch else None
-        first_seen(parse_events(batch), past).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
 
     return apply
 
 
+def run_dedup(events: DataFrame, log: str, checkpoint: str) -> None:
+    """Logs the events of a stream that no earlier batch has, each once."""
+    run_changes(first_seen_stream(parse_events(events)), logged(log), checkpoint)
+
+
 def payload_of(entity: str):
     """JSON of an event's entity."""
     return json_at(F.col("message"), entity)

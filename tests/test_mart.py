@@ -2,26 +2,65 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from martloom.functions.cols import normalized_text
-from martloom.operators import costing, mart
+from martloom.operators import costing, landing, lookups, mart, refresh
 from martloom.sources import documents as docs
+from martloom.sources.buckets import merge_buckets, read_buckets, write_buckets
+from martloom.sources.sinks import read_runs
 from martloom.streaming import changes
 
 
+def _event(i: str, minute: int) -> str:
+    return json.dumps({"tenant_id": "t1", "subject": "edit-item", "message": json.dumps({"item": {"id": i}}), "available_at": "2030-01-01T00:00:00Z", "created_at": f"2030-01-01T00:{minute:02}:00Z"})
+
+
 def test_batch_that_comes_again_is_logged_once(spark, tmp_path):
-    t = datetime(2030, 1, 1)
-    event = lambda i, n: ("t1", "edit-item", f'{{"item": {{"id": "{i}"}}}}', t, t.replace(minute=n))
-    batch = lambda *ids: spark.createDataFrame([event(i, n) for n, i in enumerate(ids)], changes.EVENT)
-    apply = changes.logged_once(str(tmp_path))
-    for epoch, ids in ((0, "ab"), (1, "bcd"), (1, "bcd"), (0, "ab"), (2, "ad")):
-        apply(batch(*ids), epoch)
-    rows = spark.read.parquet(str(tmp_path)).collect()
-    assert sorted((r.external_id, r.epoch) for r in rows) == [("a", 0), ("b", 0), ("c", 1), ("d", 1)]
+    come, log, checkpoint = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "checkpoint")
+    come.mkdir()
+
+    def batch(name: str, ids: str) -> None:
+        (come / name).write_text("\n".join(_event(i, n) for n, i in enumerate(ids)))
+        changes.run_dedup(changes.read_events(spark, str(come)), log, checkpoint)
+
+    def logged():
+        return sorted((r.external_id, r.epoch, r.created_at.minute) for r in spark.read.parquet(log).collect())
+
+    batch("a.json", "aba")
+    batch("b.json", "bcda")
+    want = [("a", 0, 0), ("b", 0, 1), ("c", 1, 1), ("d", 1, 2)]
+    assert logged() == want
+    for f in (tmp_path / "checkpoint" / "commits").glob("*1*"):  # as if the second batch had failed after it was written
+        f.unlink()
+    changes.run_dedup(changes.read_events(spark, str(come)), log, checkpoint)
+    assert logged() == want
+    batch("c.json", "eda")
+    assert logged() == [*want, ("e", 2, 0)]
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path, key = str(tmp_path / "t"), ["k"]
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "k long, v string")
+    write_buckets(rows(range(40), "old"), path, key, 8)
+    files = lambda: {f.relative_to(tmp_path): f.stat().st_mtime_ns for f in tmp_path.rglob("bucket=*/*.parquet")}
+    before, fresh = files(), rows([3, 5, 99], "new")
+    touched = merge_buckets(spark, path, key, 8, fresh, lambda old: landing.upsert_projection(old, fresh, key))
+    after = files()
+    of = lambda f: int(f.parts[1].split("=")[1])
+    assert 0 < len(touched) <= 3
+    assert {f: t for f, t in before.items() if of(f) not in touched} == {f: t for f, t in after.items() if of(f) not in touched}
+    assert {f for f in before if of(f) in touched}.isdisjoint(after)
+    assert {tuple(r) for r in read_buckets(spark, path).collect()} == {(i, "new" if i in (3, 5) else "old") for i in range(40)} | {(99, "new")}
+    gone = rows(range(40), "")  # a bucket without rows goes
+    merge_buckets(spark, path, key, 8, gone, lambda old: old.join(gone, key, "left_anti"))
+    assert [tuple(r) for r in read_buckets(spark, path).collect()] == [(99, "new")] and len(files()) == 1
+    assert merge_buckets(spark, path, key, 8, fresh.limit(0), lambda old: old) == []
 
 
 def test_hash_of_content(spark):
@@ -57,9 +96,66 @@ def test_warehouses_and_basis(spark):
     assert (costing.allocation_status(layers, date(2030, 1, 1)), costing.allocation_status(layers, date(2030, 2, 1))) == ("ready", "skipped_no_opening_basis")
 
 
-def test_refresh_twice_gives_the_same(spark, tmp_path):
-    p = spark.createDataFrame([("t1", "1", " "), ("t1", "2", "F")], "tenant_id string, external_id string, family_name string").withColumn("preferred_supplier_name", F.lit(None).cast("string"))
-    tables = {"derived_n": lambda d: d["fact_x"].groupBy("family_name").count(), "fact_x": lambda d: d["dim_product"].select("tenant_id", "family_name"), "dim_product": lambda d: mart.dim_product(p)}
-    counts = [mart.refresh(tables, str(tmp_path)) for _ in range(2)]
-    assert counts[0] == counts[1] == {"dim_product": 2, "fact_x": 2, "derived_n": 2} and list(counts[0]) == ["dim_product", "fact_x", "derived_n"]
-    assert spark.read.parquet(f"{tmp_path}/fact_x").count() == 2
+DAY = date(2030, 1, 2)
+
+
+def _tables(spark, tenants: str, price: str = "7", cutoff: date = date(2030, 1, 1)) -> dict:
+    """Typed tables: each tenant opens with 4 units of one item at 5, buys 6, sells 7 and takes 1 back."""
+    make = lambda rows, schema: spark.createDataFrame([x for t in tenants for x in rows(t)], "tenant_id string, " + schema)
+    head = "document_id string, date date, status string, client_id string, {} string, currency_code string, is_deleted boolean"
+    line = "document_id string, line_number int, item_id string, quantity decimal(18,4), total decimal(18,2)"
+    named = "external_id string, name string, is_deleted boolean"
+    return {
+        "tenants": make(lambda t: [(t, t, t)], "slug string, name string"),
+        "items": make(lambda t: [(t, "i1", "Item", "R1", " ", None, False)], "external_id string, name string, reference string, family_name string, preferred_supplier_name string, is_deleted boolean"),
+        "contacts": make(lambda t: [(t, "c1", "C", False), (t, "p1", "P", False)], named), "sellers": make(lambda t: [(t, "s1", "S", False)], named), "warehouses": make(lambda t: [(t, "w1", "W", False)], named),
+        "invoices": make(lambda t: [(t, "F1", DAY, "open", "c1", "s1", None, False)], head.format("seller_id")),
+        "invoice_lines": make(lambda t: [(t, "F1", 1, "i1", Decimal(7), Decimal(70))], line),
+        "credit_notes": make(lambda t: [(t, "N1", date(2030, 1, 3), "open", "c1", "w1", "COP", False)], head.format("warehouse_id")),
+        "credit_note_lines": make(lambda t: [(t, "N1", 1, "i1", Decimal(1), Decimal(10))], line),
+        "bills": make(lambda t: [(t, "B1", date(2030, 1, 1), "open", "p1", None, False)], "document_id string, date date, status string, provider_id string, currency_code string, is_deleted boolean"),
+        "bill_lines": make(lambda t: [(t, "B1", 1, "i1", Decimal(6), Decimal(price), Decimal(42))], "document_id string, line_number int, item_id string, quantity decimal(18,4), price decimal(18,4), total decimal(18,2)"),
+        "payments": make(lambda t: [(t, "P1", DAY, "c1", "in", None, None, False)], "payment_id string, date date, contact_id string, payment_type string, currency_code string, amount decimal(18,2), is_deleted boolean"),
+        "snapshot_rows": make(lambda t: [(t, "1", "i1", "w1", Decimal(3), Decimal(5))], "run_id string, item_id string, warehouse_id string, quantity decimal(18,4), unit_cost decimal(18,4)"),
+        "adjustment_lines": make(lambda t: [(t, "A1", 1, DAY, Decimal(2), False, "i1", "w1")], "document_id string, line_number int, date date, quantity decimal(18,4), is_deleted boolean, item_id string, warehouse_id string"),
+        "transfer_lines": make(lambda t: [(t, "T1", 1, DAY, Decimal(2), False, "i1", "w1", "w9")], "document_id string, line_number int, date date, quantity decimal(18,4), is_deleted boolean, item_id string, source_id string, destination_id string"),
+        "opening_report": make(lambda t: [(t, 1, "item", "r1", Decimal(4), Decimal(5))], "row_number int, item string, reference string, quantity decimal(18,4), average_cost decimal(18,4)"),
+    }
+
+
+def _clock(*hours):
+    times = iter(datetime(2030, 1, 5, h) for h in hours)
+    return lambda: next(times)
+
+
+def test_refresh_ends_in_costed_facts_and_is_seen_whole(spark, tmp_path):
+    path, cutoff = str(tmp_path), date(2030, 1, 1)
+    sales = lambda t: sorted((r.document_type, str(r.cogs), r.cost_status, r.product_key) for r in refresh.published(spark, path, "fact_sales", t).collect())
+    for tenant in "ab":
+        counts = refresh.refresh(spark, path, tenant, f"{tenant}1", _tables(spark, "ab"), cutoff, _clock(1, 2, 3))
+    assert counts["fact_sales"] == 2 and counts["fact_movements"] == 3 and counts["cost_layers"] == 2
+    # 4 at 5 and 3 at 7; the unit that comes back is worth 41 / 7.
+    want = [("credit_note", "-5.86", "estimated", 1), ("invoice", "41.00", "costed", 1)]
+    assert sales("a") == sales("b") == want
+    assert refresh.published(spark, path, "fact_sales").count() == 4
+
+    # A failed run: what was published stays, and the failure is on record.
+    broken = _tables(spark, "a") | {"contacts": _tables(spark, "a")["contacts"].withColumn("name", F.raise_error(F.lit("no name")).cast("string"))}
+    with pytest.raises(Exception, match="no name"):
+        refresh.refresh(spark, path, "a", "a2", broken, cutoff, _clock(4, 5, 6))
+    assert sales("a") == want
+    runs = {(r.run_id, r.kind): r for r in read_runs(spark, f"{path}/runs").collect()}
+    assert runs["a2", "mart"].status == "failed" and "no name" in runs["a2", "mart"].error and runs["a2", "mart"].counts == {"dim_tenant": 1, "dim_product": 1}
+    assert runs["a1", "mart"].status == "succeeded" and runs["a1", "cost"].status == "succeeded"
+
+    # A tenant whose documents have gone: facts are emptied, dimensions and keys stay; the other tenant isn't touched.
+    gone = {n: (df if n in ("tenants", "items", "contacts", "sellers", "warehouses", "opening_report") else df.limit(0)) for n, df in _tables(spark, "ab").items()}
+    refresh.refresh(spark, path, "a", "a3", gone, cutoff, _clock(7, 8, 9))
+    assert sales("a") == [] and sales("b") == want
+    assert [tuple(r) for r in refresh.published(spark, path, "dim_product", "a").select("external_id", "product_key", "family_name").collect()] == [("i1", 1, "SIN FAMILIA")]
+
+    # Without an opening at the cutoff nothing is costed.
+    refresh.refresh(spark, path, "b", "b2", _tables(spark, "ab") | {"opening_report": _tables(spark, "ab")["opening_report"].limit(0)}, cutoff, _clock(7, 8, 9))
+    assert {(k, c, s) for k, c, s, _ in sales("b")} == {("credit_note", "None", None), ("invoice", "None", None)}
+    status = lookups.refresh_status(read_runs(spark, f"{path}/runs").filter("kind = 'mart'"), read_runs(spark, f"{path}/runs").filter("kind = 'cost'"), datetime(2030, 1, 5, 10))
+    assert {(r.tenant_id, r.mart_run_id, r.is_stale, r.cost_status) for r in status.collect()} == {("a", "a3", False, "succeeded"), ("b", "b2", False, "skipped_no_opening_basis")}
