@@ -28,6 +28,11 @@ def _amount() -> Column:
     return total(F.col("amount"))
 
 
+def _by(rows: DataFrame, *keys: str) -> DataFrame:
+    """Lines summed by keys, before anything is joined to them; sums stay exact."""
+    return rows.groupBy(*keys).agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 def purchases_summary(marts, f: ReportFilter) -> DataFrame:
     return _rows(marts, f).groupBy("currency_code").agg(_amount().alias("purchase_amount"), total(F.col("quantity")).alias("quantity"), F.count_distinct("document_id").alias("documents"))
 
@@ -37,12 +42,12 @@ def purchases_series(marts, f: ReportFilter) -> DataFrame:
 
 
 def purchases_by_supplier(marts, f: ReportFilter, top: int | None = 15) -> DataFrame:
-    rows = named(_rows(marts, f), marts.dim_contact, "provider_key", "name", "Sin proveedor", "contact_key")
+    rows = named(_by(_rows(marts, f), "provider_key", "currency_code"), marts.dim_contact, "provider_key", "name", "Sin proveedor", "contact_key")
     return first(rows.groupBy("label", "currency_code").agg(_amount().alias("amount")), top, F.desc("amount"), "label", "currency_code")
 
 
 def purchases_by_product(marts, f: ReportFilter, top: int | None = 15) -> DataFrame:
-    rows = named(_rows(marts, f), marts.dim_product, "product_key", "name", "Sin producto")
+    rows = named(_by(_rows(marts, f), "product_key", "currency_code"), marts.dim_product, "product_key", "name", "Sin producto")
     return first(rows.groupBy("label", "currency_code").agg(_amount().alias("amount")), top, F.desc("amount"), "label", "currency_code")
 
 
@@ -61,35 +66,41 @@ def suppliers_series(marts, f: ReportFilter) -> DataFrame:
 
 def suppliers_ranking(marts, f: ReportFilter, top: int | None = 100) -> DataFrame:
     """Suppliers by key with their share of all purchases in the currency."""
-    rows = named(_in_currency(_rows(marts, f)), marts.dim_contact, "provider_key", "name", "Sin proveedor", "contact_key")
-    g = rows.groupBy(F.col("provider_key").alias("supplier_key"), F.col("label").alias("supplier"), "currency_code").agg(
+    g = _in_currency(_rows(marts, f)).groupBy("provider_key", "currency_code").agg(
         _amount().alias("purchase_amount"), total(F.col("quantity")).alias("units"), F.count_distinct("document_id").alias("documents"), F.count_distinct("product_key").alias("skus"), F.min("date").alias("first_purchase_date"), F.max("date").alias("last_purchase_date"))
+    g = named(g, marts.dim_contact, "provider_key", "name", "Sin proveedor", "contact_key").withColumnsRenamed({"provider_key": "supplier_key", "label": "supplier"})
     return first(with_share(_averages(g), "purchase_amount"), top, F.desc("purchase_amount"), "supplier_key", "currency_code")
 
 
-def _with_names(marts, f: ReportFilter) -> DataFrame:
+def _with_names(marts, rows: DataFrame) -> DataFrame:
+    """Summed rows with the names of their product and supplier."""
     products = marts.dim_product.select(F.col("product_key").alias("_pk"), F.col("name").alias("_product"), F.col("family_name").alias("_family"))
-    rows = _in_currency(_rows(marts, f)).join(products, F.col("product_key") == F.col("_pk"), "left")
+    rows = rows.join(products, F.col("product_key") == F.col("_pk"), "left")
     rows = named(rows, marts.dim_contact, "provider_key", "name", "Sin proveedor", "contact_key").withColumnRenamed("label", "supplier")
     return rows.withColumn("product", label(F.col("_product"), "Sin producto")).withColumn("family", label(F.col("_family"), NO_FAMILY))
 
 
+PAIR = ("product_key", "provider_key", "currency_code")
+
+
 def purchases_by_family(marts, f: ReportFilter, top: int | None = 100) -> DataFrame:
-    g = _with_names(marts, f).groupBy("family", "currency_code").agg(_amount().alias("purchase_amount"), total(F.col("quantity")).alias("units"), F.count_distinct("provider_key").alias("suppliers"), F.count_distinct("product_key").alias("skus"))
+    rows = _with_names(marts, _by(_in_currency(_rows(marts, f)), *PAIR))
+    g = rows.groupBy("family", "currency_code").agg(_amount().alias("purchase_amount"), total(F.col("quantity")).alias("units"), F.count_distinct("provider_key").alias("suppliers"), F.count_distinct("product_key").alias("skus"))
     return first(g, top, F.desc("purchase_amount"), "family", "currency_code")
 
 
 def product_supplier_matrix(marts, f: ReportFilter, top: int | None = 200) -> DataFrame:
-    g = _with_names(marts, f).groupBy("product", "family", "supplier", "currency_code").agg(_amount().alias("purchase_amount"), total(F.col("quantity")).alias("units"), F.count_distinct("document_id").alias("documents"), F.max("date").alias("last_purchase_date"))
+    rows = _with_names(marts, _by(_in_currency(_rows(marts, f)), *PAIR, "document_id"))
+    g = rows.groupBy("product", "family", "supplier", "currency_code").agg(_amount().alias("purchase_amount"), total(F.col("quantity")).alias("units"), F.count_distinct("document_id").alias("documents"), F.max("last_date").alias("last_purchase_date"))
     g = g.withColumn("average_unit_cost", safe_ratio(F.col("purchase_amount"), F.col("units")))
     return first(g, top, F.desc("purchase_amount"), "product", "family", "supplier", "currency_code")
 
 
 def price_variations(marts, f: ReportFilter, top: int | None = 100) -> DataFrame:
     """Products bought twice or more from a supplier, by the range of their positive costs over their average."""
-    rows = _with_names(marts, f).filter("unit_cost > 0")
-    g = rows.groupBy("product", "family", "supplier", "currency_code").agg(
-        F.min("unit_cost").cast("double").alias("minimum_cost"), F.max("unit_cost").cast("double").alias("maximum_cost"), (F.sum("unit_cost").cast("double") / F.count("*")).alias("average_unit_cost"), F.count("*").alias("purchase_lines")).filter("purchase_lines >= 2")
+    rows = _in_currency(_rows(marts, f)).filter("unit_cost > 0").groupBy(*PAIR).agg(F.min("unit_cost").alias("least"), F.max("unit_cost").alias("most"), F.sum("unit_cost").alias("sum"), F.count("*").alias("n"))
+    g = _with_names(marts, rows).groupBy("product", "family", "supplier", "currency_code").agg(
+        F.min("least").cast("double").alias("minimum_cost"), F.max("most").cast("double").alias("maximum_cost"), (F.sum("sum").cast("double") / F.sum("n")).alias("average_unit_cost"), F.sum("n").alias("purchase_lines")).filter("purchase_lines >= 2")
     g = g.withColumn("cost_range_pct", F.round(safe_ratio(F.col("maximum_cost") - F.col("minimum_cost"), F.col("average_unit_cost"), 100), 6))
     return first(g, top, F.desc("cost_range_pct"), "product", "family", "supplier", "currency_code")
 
@@ -113,7 +124,7 @@ def payments(marts, f: ReportFilter, kind: str, top: int | None = 15) -> DataFra
         return rows.groupBy(F.trunc("date", "MM").alias("period"), "currency_code").agg(_amount().alias("amount"))
     if kind == "by_type":
         return rows.groupBy(label(F.col("payment_type"), "Sin tipo").alias("label"), "currency_code").agg(_amount().alias("amount"))
-    rows = named(rows, marts.dim_contact, "contact_key", "name", "Sin contacto")
+    rows = named(rows.groupBy("contact_key", "currency_code").agg(F.sum("amount").alias("amount")), marts.dim_contact, "contact_key", "name", "Sin contacto")
     return first(rows.groupBy("label", "currency_code").agg(_amount().alias("amount")), top, F.desc("amount"), "label", "currency_code")
 
 

@@ -8,6 +8,7 @@ quantity, net_sales, is_deleted, cost_status, cogs, margin. Credit notes are neg
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,17 +93,69 @@ def named(fact: DataFrame, dim: DataFrame | None, key: str, column: str, default
     return fact.join(names, F.col(key) == F.col("_k"), "left").withColumn("label", label(F.col("_name"), default)).drop("_k", "_name")
 
 
+def _part(column: Column, when: Column | None = None) -> Column:
+    return F.sum(column if when is None else F.when(when, column))
+
+
+def parts() -> dict[str, Column]:
+    """The sums of measures() as they add up from parts of a group: exact numbers, and no counts of different values."""
+    costed, one = is_costed(), F.lit(1)
+    return {
+        "net_sales": _part(F.col("net_sales")), "units": _part(F.col("quantity")), "cogs": _part(F.col("cogs"), costed), "gross_margin": _part(F.col("margin"), costed),
+        "costed_sales": _part(F.col("net_sales"), costed), "total_lines": F.count("*"), "costed_lines": _part(one, costed),
+        "unavailable_lines": _part(one, F.col("cost_status") == "unavailable"), "invoice_sales": _part(F.col("net_sales"), _of("invoice")),
+        "credit_note_amount": _part(F.col("net_sales"), _of("credit_note")), "last_sale_date": F.max("date"),
+    }
+
+
+def by_parts(rows: DataFrame, *keys: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows summed by keys, before anything is joined to them."""
+    return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in parts().items() if only is None or n in only])
+
+
+def of_parts(*names: str) -> list[Column]:
+    """Measures of groups of by_parts rows."""
+    counts = {n: F.coalesce(F.sum(n), F.lit(0)) for n in ("total_lines", "costed_lines", "unavailable_lines")}
+    other = {"documents": documents(), "product_count": F.count_distinct("product_key"), "last_sale_date": F.max("last_sale_date"), "credit_note_amount": F.abs(total(F.col("credit_note_amount")))}
+    known = counts | other
+    return [(known[n] if n in known else total(F.col(n))).alias(n) for n in names]
+
+
 BREAKDOWNS = {"product": ("dim_product", "product_key", "name"), "seller": ("dim_seller", "seller_key", "name"), "warehouse": ("dim_warehouse", "warehouse_key", "name"), "customer": ("dim_contact", "contact_key", "name"), "status": (None, None, "document_status")}
 
 
+ADDED = ("net_sales", "units", "cogs", "gross_margin")
+
+
+def _broken_down(named_parts: DataFrame, *keys: str) -> DataFrame:
+    return named_parts.groupBy(*keys, "label", "currency_code").agg(total(F.col("net_sales")).alias("amount"), total(F.col("units")).alias("quantity"), *of_parts("cogs", "gross_margin"))
+
+
 def sales_breakdown(marts, f: ReportFilter, kind: str, top: int | None = 15) -> DataFrame:
-    """Amount, quantity, cost and margin of the largest groups of a kind."""
+    """Amount, quantity, cost and margin of the largest groups of a kind. Lines are summed by key before keys get their names."""
     dim, key, column = BREAKDOWNS[kind]
-    rows = named(filter_fact(marts.fact_sales, f), getattr(marts, dim) if dim else None, key, column, "Sin dato")
-    g = rows.groupBy("label", "currency_code").agg(total(F.col("net_sales")).alias("amount"), total(F.col("quantity")).alias("quantity"), *pick("cogs", "gross_margin"))
+    rows = by_parts(filter_fact(marts.fact_sales, f), key or column, "currency_code", only=ADDED)
+    g = _broken_down(named(rows, getattr(marts, dim) if dim else None, key, column, "Sin dato"))
     return first(g, top, F.desc("amount"), "label", "currency_code")
 
 
+def sales_breakdowns(marts, f: ReportFilter, top: int = 15) -> DataFrame:
+    """sales_breakdown of every kind, told by kind, from one pass over the fact."""
+    keys = {kind: key or column for kind, (_, key, column) in BREAKDOWNS.items()}
+    ids = [F.col(k).cast("string").alias(k) for k in keys.values()]
+    rows = filter_fact(marts.fact_sales, f).select(*ids, *[c for c in marts.fact_sales.columns if c not in keys.values()])
+    is_of = F.coalesce(*[F.when(F.grouping(k) == 0, kind) for kind, k in keys.items()])
+    sums = [c.alias(n) for n, c in parts().items() if n in ADDED]
+    g = rows.groupingSets([[F.col(k), F.col("currency_code")] for k in keys.values()], *keys.values(), "currency_code").agg(is_of.alias("kind"), *sums)
+    g = g.withColumn("_key", F.coalesce(*[F.when(F.col("kind") == kind, F.col(k)) for kind, k in keys.items()]))
+    names = reduce(DataFrame.unionByName, [getattr(marts, d).select(F.lit(kind).alias("_kind"), F.col(key).cast("string").alias("_k"), F.col(column).alias("_name")) for kind, (d, key, column) in BREAKDOWNS.items() if d])
+    g = g.join(names, (F.col("kind") == F.col("_kind")) & (F.col("_key") == F.col("_k")), "left")
+    own = F.coalesce(*[F.when(F.col("kind") == kind, F.col("_key")) for kind, (d, _, _) in BREAKDOWNS.items() if d is None])
+    g = _broken_down(g.withColumn("label", label(F.coalesce("_name", own), "Sin dato")), "kind")
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("amount"), "label", "currency_code"))
+    return g.withColumn("nth", nth).filter(F.col("nth") <= top)
+
+
 def first(df: DataFrame, top: int | None, *order) -> DataFrame:
     """The first rows in an order that has no ties; all rows with None."""
     return df if top is None else df.orderBy(*order).limit(top)
@@ -111,7 +164,7 @@ def first(df: DataFrame, top: int | None, *order) -> DataFrame:
 def with_share(g: DataFrame, amount: str = "net_sales") -> DataFrame:
     """Share of a currency's total, over all groups."""
     totals = g.groupBy(F.col("currency_code").alias("_c")).agg(F.sum(amount).alias("_all"))
-    return g.join(F.broadcast(totals), F.col("currency_code") == F.col("_c")).withColumn("share_pct", F.round(safe_ratio(F.col(amount), F.col("_all"), 100), 6)).drop("_c", "_all")
+    return g.join(totals, F.col("currency_code") == F.col("_c")).withColumn("share_pct", F.round(safe_ratio(F.col(amount), F.col("_all"), 100), 6)).drop("_c", "_all")
 
 
 DETAILS = {
@@ -126,23 +179,29 @@ DETAIL_MEASURES = ("net_sales", "units", "documents", "invoice_sales", "credit_n
 
 
 def detail(rows: DataFrame, top: int | None, *more: Column) -> DataFrame:
-    g = rows.withColumn("currency_code", label(F.col("currency_code"), DEFAULT_CURRENCY)).groupBy("label", "currency_code").agg(*pick(*DETAIL_MEASURES), *more)
+    """Measures of by_parts rows with a label."""
+    g = rows.withColumn("currency_code", label(F.col("currency_code"), DEFAULT_CURRENCY)).groupBy("label", "currency_code").agg(*of_parts(*DETAIL_MEASURES), *more)
     g = g.withColumn("average_unit_sale", safe_ratio(F.col("net_sales"), F.col("units"))).withColumn("gross_margin_pct", margin_pct()).withColumn("cost_coverage_pct", coverage_pct())
     return first(with_share(g), top, F.desc("net_sales"), "label", "currency_code")
 
 
 def sales_detail(marts, f: ReportFilter, kind: str, top: int | None = 200) -> DataFrame:
-    """Fifteen measures and three percentages of each group of a kind. Shares are of all groups, also those below the top."""
+    """Fifteen measures and three percentages of each group of a kind. Shares are of all groups, also those below the top.
+
+    Lines are summed by key, document and product, which tell the different ones apart, before keys get their names.
+    """
     dim, key, column, default = DETAILS[kind]
-    return detail(named(filter_fact(marts.fact_sales, f), getattr(marts, dim) if dim else None, key, column, default), top)
+    keys = dict.fromkeys([key or column, "currency_code", *DOCUMENT, "product_key"])
+    return detail(named(by_parts(filter_fact(marts.fact_sales, f), *keys), getattr(marts, dim) if dim else None, key, column, default), top)
 
 
 def sales_modal_supplier(marts, modes: DataFrame, f: ReportFilter, top: int | None = 100) -> DataFrame:
     """sales_detail by the supplier who most often delivered the product, with the confidence of that, weighted by absolute sales."""
     known = modes.select(F.col("product_key").alias("_pk"), F.col("supplier_key").alias("_sk"), F.col("confidence").alias("_conf"))
-    rows = filter_fact(marts.fact_sales, f).join(known, F.col("product_key") == F.col("_pk"), "left")
-    rows = named(rows, marts.dim_contact, "_sk", "name", "SIN HISTORIAL DE PROVEEDOR", "contact_key")
-    size = F.abs(F.col("net_sales")).cast("double")
+    keys = ["product_key", "currency_code", *DOCUMENT]
+    rows = filter_fact(marts.fact_sales, f).groupBy(*keys).agg(*[c.alias(n) for n, c in parts().items()], F.sum(F.abs("net_sales")).alias("_size"))
+    rows = named(rows.join(known, F.col("product_key") == F.col("_pk"), "left"), marts.dim_contact, "_sk", "name", "SIN HISTORIAL DE PROVEEDOR", "contact_key")
+    size = F.col("_size").cast("double")
     confidence = F.round(safe_ratio(F.sum(size * F.coalesce("_conf", F.lit(0.0))), F.sum(size), 100), 6).alias("supplier_confidence_pct")
     return detail(rows, top, confidence)
 
@@ -220,13 +279,15 @@ def customers_summary(fact: DataFrame, f: ReportFilter) -> DataFrame:
 
 def customers_top(marts, f: ReportFilter, top: int | None = 20) -> DataFrame:
     """The customers who bought most; documents counts different document ids only."""
-    rows = named(filter_fact(marts.fact_sales, f), marts.dim_contact, "contact_key", "name", "Sin cliente")
+    rows = by_parts(filter_fact(marts.fact_sales, f), "contact_key", "currency_code", "document_id", only=("net_sales",))
+    rows = named(rows, marts.dim_contact, "contact_key", "name", "Sin cliente")
     return first(rows.groupBy("label", "currency_code").agg(total(F.col("net_sales")).alias("amount"), F.count_distinct("document_id").alias("documents")), top, F.desc("amount"), "label", "currency_code")
 
 
 def customers_recent(marts, f: ReportFilter, top: int | None = 20) -> DataFrame:
-    rows = named(filter_fact(marts.fact_sales, f), marts.dim_contact, "contact_key", "name", "Sin cliente")
-    return first(rows.groupBy("label").agg(F.max("date").alias("last_purchase"), total(F.col("net_sales")).alias("amount")), top, F.desc("last_purchase"), F.desc("amount"), "label")
+    rows = by_parts(filter_fact(marts.fact_sales, f), "contact_key", only=("net_sales", "last_sale_date"))
+    rows = named(rows, marts.dim_contact, "contact_key", "name", "Sin cliente")
+    return first(rows.groupBy("label").agg(F.max("last_sale_date").alias("last_purchase"), total(F.col("net_sales")).alias("amount")), top, F.desc("last_purchase"), F.desc("amount"), "label")
 
 
 def products_summary(fact: DataFrame, f: ReportFilter) -> DataFrame:
@@ -234,8 +295,9 @@ def products_summary(fact: DataFrame, f: ReportFilter) -> DataFrame:
 
 
 def products_by(marts, f: ReportFilter, column: str, default: str, top: int | None) -> DataFrame:
-    rows = named(filter_fact(marts.fact_sales, f), marts.dim_product, "product_key", column, default)
-    return first(rows.groupBy("label", "currency_code").agg(total(F.col("net_sales")).alias("amount"), total(F.col("quantity")).alias("quantity")), top, F.desc("amount"), "label", "currency_code")
+    rows = by_parts(filter_fact(marts.fact_sales, f), "product_key", "currency_code", only=("net_sales", "units"))
+    rows = named(rows, marts.dim_product, "product_key", column, default)
+    return first(rows.groupBy("label", "currency_code").agg(total(F.col("net_sales")).alias("amount"), total(F.col("units")).alias("quantity")), top, F.desc("amount"), "label", "currency_code")
 
 
 def products_best_sellers(marts, f: ReportFilter, top: int | None = 25) -> DataFrame:

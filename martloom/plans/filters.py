@@ -86,4 +86,4 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 def latest_snapshot(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Snapshot rows of the newest succeeded run. The run table has a row a tenant."""
-    return snapshots.join(F.broadcast(latest_run(runs)), ["tenant_id", "run_id"], "left_semi")
+    return snapshots.join(latest_run(runs), ["tenant_id", "run_id"], "left_semi")

@@ -35,6 +35,7 @@ QUERIES = {
     "sales_series": on(lambda m: sales.sales_series(m.fact_sales, QUARTER)),
     "sales_series_monthly": on(lambda m: sales.sales_series(m.fact_sales, YEAR)),
     **{f"sales_breakdown_{k}": on(lambda m, k=k: sales.sales_breakdown(m, YEAR, k)) for k in sales.BREAKDOWNS},
+    "sales_breakdowns": on(lambda m: sales.sales_breakdowns(m, YEAR)),
     **{f"sales_detail_{k}": on(lambda m, k=k: sales.sales_detail(m, YEAR, k)) for k in sales.DETAILS},
     "sales_modal_supplier": on(lambda m: sales.sales_modal_supplier(m, _modes(m), YEAR)),
     "monthly_net_sales": on(lambda m: sales.monthly_net_sales(m.fact_sales, date(2000, 8, 1), date(2001, 8, 1))),
@@ -183,6 +184,7 @@ RAW_SQL = {
     "sales_series": _series(QUARTER, "date"),
     "sales_series_monthly": _series(YEAR, "CAST(date_trunc('month', date) AS DATE)"),
     **{f"sales_breakdown_{k}": _breakdown(k) for k in sales.BREAKDOWNS},
+    "sales_breakdowns": " UNION ALL ".join(f"SELECT '{k}' AS kind, *, CAST(row_number() OVER (ORDER BY amount DESC, label, currency_code) AS INT) AS nth FROM ({_breakdown(k)})" for k in sales.BREAKDOWNS),
     **{f"sales_detail_{k}": _detail_of(k) for k in sales.DETAILS},
     "sales_modal_supplier": f"WITH modes AS ({MODES}) " + _detail("coalesce(c.name, 'SIN HISTORIAL DE PROVEEDOR')", "LEFT JOIN modes m ON f.product_key = m.product_key LEFT JOIN dim_contact c ON m.supplier_key = c.contact_key", 100,
         f"round({div('sum(CAST(abs(net_sales) AS DOUBLE) * coalesce(round(CAST(m.line_count AS DOUBLE) / m.total_lines, 6), 0))', 'sum(CAST(abs(net_sales) AS DOUBLE))', 100)}, 6) AS supplier_confidence_pct,"),
