@@ -112,19 +112,19 @@ def apply_policies(q: DataFrame, supplier_policies: DataFrame, product_policies:
         "unit_cost": F.coalesce(missing_if_zero(F.col("_k_last_cost")), missing_if_zero(F.col("_k_average_cost")), missing_if_zero(F.col("unit_cost")), F.lit(0.0)),
     }
     rows = rows.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) for c, v in swap.items()})
+    rows = rows.withColumns({"preferred_unit_share_pct": F.col("_k_unit_share_pct"), "preferred_lines": F.col("_k_line_count"), "preferred_average_cost": F.col("_k_average_cost")})
     sp = of(supplier_policies, "_s_", *supplier_policies.columns)
     pp = of(product_policies, "_p_", *product_policies.columns)
     rows = rows.join(sp, (F.col("supplier_key") == F.col("_s_supplier_key")) & (F.col("currency_code") == F.col("_s_currency_code")), "left").join(pp, (F.col("supplier_key") == F.col("_p_supplier_key")) & (F.col("product_key") == F.col("_p_product_key")) & (F.col("currency_code") == F.col("_p_currency_code")), "left")
     has_s, has_p = F.col("_s_supplier_key").isNotNull(), F.col("_p_supplier_key").isNotNull()
     term = lambda own, theirs, given: F.coalesce(missing_if_zero(F.coalesce(own, theirs)), F.lit(given)).cast("int")
     options = F.filter("supplier_options", lambda o: o["supplier_key"] == F.col("supplier_key"))
-    score = lambda o: F.least(F.lit(100.0), F.coalesce(o["confidence_pct"], F.lit(0.0)) * 0.45 + F.when(o["last_purchase_date"].isNotNull(), 25).otherwise(0) + F.when(o["purchase_lines"] >= 3, 15).otherwise(0) + F.when(o["is_modal"], 15).otherwise(0))
     rows = rows.withColumns({
         "minimum_order_quantity": F.col("_p_minimum_order_quantity"), "pack_size": F.when(has_p, F.col("_p_pack_size")).otherwise(F.lit(1.0)),
         "effective_lead_time_days": term(F.col("_p_lead_time_days"), F.col("_s_default_lead_time_days"), lead_days), "effective_max_wait_days": term(F.col("_p_max_wait_days"), F.col("_s_max_wait_days"), wait_days),
         "minimum_order_amount": F.col("_s_minimum_order_amount"), "shipping_cost": F.coalesce("_s_shipping_cost", F.lit(0.0)), "free_shipping_threshold": F.col("_s_free_shipping_threshold"),
         "policy_configured": has_s | has_p, "policy_source": F.when(has_p, "producto").when(has_s, "proveedor").otherwise("estandar"),
-        "supplier_score": F.when(chosen, F.lit(None).cast("double")).when(F.size(options) > 0, score(F.get(options, F.lit(0)))).otherwise(F.col("supplier_confidence_pct")),
+        "supplier_score": F.when(chosen, F.lit(None).cast("double")).when(F.size(options) > 0, option_score(F.get(options, F.lit(0)))).otherwise(F.col("supplier_confidence_pct")),
     })
     days = F.lit(target_days + safety_days) + F.col("effective_lead_time_days")
     base = F.greatest(F.col("daily_velocity") * days - F.col("quantity_on_hand"), F.lit(0.0))
@@ -135,16 +135,67 @@ def apply_policies(q: DataFrame, supplier_policies: DataFrame, product_policies:
     return rows.drop(*[c for c in rows.columns if c.startswith(("_w_", "_k_", "_n_", "_s_", "_p_"))])
 
 
+def option_score(o) -> Column:
+    """0 to 100: the share of the product's lines, 25 for any purchase date, 15 for three lines or more, 15 for the modal supplier."""
+    history = F.when(o["last_purchase_date"].isNotNull(), 25).otherwise(0) + F.when(o["purchase_lines"] >= 3, 15).otherwise(0) + F.when(o["is_modal"], 15).otherwise(0)
+    return F.least(F.lit(100.0), F.coalesce(o["confidence_pct"], F.lit(0.0)) * 0.45 + history)
+
+
+def supplier_options(items: DataFrame, supplier_policies: DataFrame, product_policies: DataFrame, top: int = 3) -> DataFrame:
+    """The suppliers that each item can come from, a row an option: its history, its terms by the policies, and a score.
+
+    items are apply_policies rows. A supplier that a product's policy prefers comes first,
+    with the history that the item took over from it and no score; the other options keep
+    their order; at most top of each item. Terms are the product's policy's, else the supplier's.
+    """
+    given = items.select("product_key", "currency_code", F.explode("supplier_options").alias("o")).select("product_key", "currency_code", F.col("o.choice_rank").alias("_nth"), "o.*").drop("choice_rank")
+    given = given.withColumn("supplier_score", option_score({c: F.col(c) for c in given.columns})).withColumn("_taken", F.lit(False))
+    first_of = items.filter("supplier_source = 'politica_producto'")
+    taken = first_of.select(F.col("product_key").alias("_tp"), F.col("supplier_key").alias("_ts"))
+    others = given.join(taken, (F.col("product_key") == F.col("_tp")) & (F.col("supplier_key") == F.col("_ts")), "left_anti")
+    nothing = F.lit(None).cast("double")
+    preferred = first_of.select(
+        "product_key", "currency_code", F.lit(0).alias("_nth"), "supplier_key", F.col("preferred_supplier").alias("supplier"), F.lit(False).alias("is_modal"), F.col("supplier_confidence_pct").alias("confidence_pct"),
+        F.coalesce("preferred_unit_share_pct", F.lit(0.0)).alias("unit_share_pct"), F.col("preferred_lines").alias("purchase_lines"), F.col("preferred_average_cost").alias("average_unit_cost"), "last_unit_cost", "last_purchase_date",
+        nothing.alias("supplier_score"), F.lit(True).alias("_taken"))
+    rows = others.unionByName(preferred)
+    nth = F.row_number().over(Window.partitionBy("product_key", "currency_code").orderBy("_nth", "supplier_key"))
+    rows = rows.withColumn("position", nth).filter(F.col("position") <= top)
+    sp = supplier_policies.select(*[F.col(c).alias(f"_s_{c}") for c in supplier_policies.columns])
+    pp = product_policies.select(*[F.col(c).alias(f"_p_{c}") for c in product_policies.columns])
+    rows = rows.join(sp, (F.col("supplier_key") == F.col("_s_supplier_key")) & (F.col("currency_code") == F.col("_s_currency_code")), "left")
+    rows = rows.join(pp, (F.col("supplier_key") == F.col("_p_supplier_key")) & (F.col("product_key") == F.col("_p_product_key")) & (F.col("currency_code") == F.col("_p_currency_code")), "left")
+    has_s, has_p, free = F.col("_s_supplier_key").isNotNull(), F.col("_p_supplier_key").isNotNull(), ~F.col("_taken")
+    terms = {
+        "is_preferred": F.col("_taken") | F.coalesce("_p_is_preferred", F.lit(False)), "policy_source": F.when(free, F.when(has_p, "producto").when(has_s, "proveedor").otherwise("estandar")),
+        "minimum_order_quantity": F.when(free, F.col("_p_minimum_order_quantity")), "pack_size": F.when(free, F.when(has_p, F.col("_p_pack_size")).otherwise(F.lit(1.0))),
+        "lead_time_days": F.when(free, F.coalesce("_p_lead_time_days", "_s_default_lead_time_days")), "max_wait_days": F.when(free, F.coalesce("_p_max_wait_days", "_s_max_wait_days")),
+        "minimum_order_amount": F.when(free, F.col("_s_minimum_order_amount")), "shipping_cost": F.when(free, F.when(has_s, F.col("_s_shipping_cost")).otherwise(F.lit(0.0))), "free_shipping_threshold": F.when(free, F.col("_s_free_shipping_threshold")),
+    }
+    return rows.select("product_key", "currency_code", "position", "supplier_key", "supplier", "is_modal", "confidence_pct", "unit_share_pct", "purchase_lines", "average_unit_cost", "last_unit_cost", "last_purchase_date", "supplier_score", *[c.alias(n) for n, c in terms.items()])
+
+
+def _place() -> Column:
+    return F.struct("queue_rank", (-F.coalesce("queue_value", F.lit(0.0))).alias("v"), "product_key")
+
+
+def plan_lines(items: DataFrame) -> DataFrame:
+    """The product lines of supplier orders, a row a line: supplier_key (null: unassigned) and the place in the order by which lines are shown."""
+    rows = items.filter("recommended_quantity > 0")
+    return rows.select(
+        "supplier_key", _place().alias("place"), "product_key", "name", "reference", "family", F.col("recommended_quantity").alias("quantity"), "unit_cost",
+        F.col("estimated_purchase_value").alias("estimated_value"), "priority", "coverage_days", "supplier_source")
+
+
 def purchase_plans(items: DataFrame, as_of: date) -> DataFrame:
-    """One order a supplier of the items with a quantity: totals, decision with reason, and the product lines. Terms are those of its first item in the queue."""
+    """One order a supplier of the items with a quantity: totals and decision with reason; its lines are in plan_lines. Terms are those of its first item in the queue."""
     rows = items.filter("recommended_quantity > 0")
-    place = F.struct("queue_rank", (-F.coalesce("queue_value", F.lit(0.0))).alias("v"), "product_key")
+    place = _place()
     terms = F.struct(label(F.col("preferred_supplier"), "Sin proveedor").alias("supplier"), "currency_code", "minimum_order_amount", "shipping_cost", "free_shipping_threshold", "effective_max_wait_days")
-    line = F.struct(place.alias("place"), "product_key", "name", "reference", "family", F.col("recommended_quantity").alias("quantity"), "unit_cost", F.col("estimated_purchase_value").alias("estimated_value"), "priority", "coverage_days", "supplier_source")
     n = lambda p: F.count(F.when(F.col("priority") == p, 1))
     g = rows.groupBy("supplier_key").agg(
         F.min_by(terms, place).alias("t"), F.count("*").alias("lines"), F.sum("recommended_quantity").alias("units"), F.round(F.sum("estimated_purchase_value"), 4).alias("estimated_value"), n("critical").alias("critical_lines"), n("high").alias("high_lines"),
-        F.max("policy_configured").alias("policy_configured"), F.round(F.sum(F.coalesce("supplier_score", F.lit(0.0))) / F.count("*"), 6).alias("supplier_score"), F.sort_array(F.collect_list(line)).alias("product_lines"))
+        F.max("policy_configured").alias("policy_configured"), F.round(F.sum(F.coalesce("supplier_score", F.lit(0.0))) / F.count("*"), 6).alias("supplier_score"))
     g = g.select("supplier_key", "t.*", *[c for c in g.columns if c not in ("supplier_key", "t")])
     minimum, value = F.coalesce("minimum_order_amount", F.lit(0.0)), F.col("estimated_value")
     rules = [

@@ -61,12 +61,12 @@ FIXTURES = {
           SELECT '1' AS run_id, 'succeeded' AS status, TIMESTAMP '2001-07-30 10:00:00' AS finished_at
           UNION ALL SELECT '2', 'succeeded', TIMESTAMP '2001-07-31 10:00:00' UNION ALL SELECT '3', 'failed', TIMESTAMP '2001-07-31 12:00:00') r""",
     "fact_snapshots": """
-        SELECT 't1' AS tenant_id, run_id, p_partkey + 1 AS product_key, cast(r_regionkey + 1 AS bigint) AS warehouse_key,
-          cast((p_partkey * 7 + r_regionkey * 13 + cast(run_id AS int)) % 120 - 10 AS decimal(18,4)) AS quantity,
+        SELECT 't1' AS tenant_id, run_id, p_partkey + 1 AS product_key, cast(r_regionkey + 1 AS bigint) AS warehouse_key, cast(quantity AS decimal(18,4)) AS quantity,
           CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE cast(cast(p_retailprice AS decimal(18,2)) * 0.60 AS decimal(18,2)) END AS unit_cost,
-          CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE cast(((p_partkey * 7 + r_regionkey * 13 + cast(run_id AS int)) % 120 - 10)
-            * cast(cast(p_retailprice AS decimal(18,2)) * 0.60 AS decimal(18,2)) AS decimal(18,2)) END AS value
-        FROM {part}, {region}, (SELECT '1' AS run_id UNION ALL SELECT '2' UNION ALL SELECT '3') r""",
+          CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE cast(quantity * cast(cast(p_retailprice AS decimal(18,2)) * 0.60 AS decimal(18,2)) AS decimal(18,2)) END AS value
+        FROM (SELECT *, CASE WHEN p_name LIKE '% gear' THEN 0 - r_regionkey % 2 WHEN p_name LIKE '% bolt' THEN 0 WHEN p_partkey % 5 = 1 THEN 1
+                ELSE (p_partkey * 7 + r_regionkey * 13 + cast(run_id AS int)) % 120 - 10 END AS quantity
+              FROM {part}, {region}, (SELECT '1' AS run_id UNION ALL SELECT '2' UNION ALL SELECT '3') r) shelf""",
     "adjustment_lines": """
         SELECT 't1' AS tenant_id, cast(event_id AS string) AS document_id, 1 AS line_number, cast(ts AS date) AS date,
           event_id % (SELECT count(*) FROM {part}) + 1 AS product_key, user_id % 5 + 1 AS warehouse_key,

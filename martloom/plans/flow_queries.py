@@ -12,7 +12,7 @@ from martloom.operators import replenish as r
 from martloom.plans.fixtures import with_fixtures
 from martloom.plans.reports import AS_OF, MODES, YEAR, on, period
 from martloom.sources import documents as docs
-from martloom.sources.sinks import shared_folder
+from martloom.sources.sinks import shared_folder, stored
 from martloom.streaming import changes
 
 
@@ -20,12 +20,19 @@ from martloom.streaming import changes
 TARGET = 240
 
 
+def _once(m, name: str, make):
+    """A table that several steps use, written once for these marts."""
+    if name not in m.made:
+        m.made[name] = stored(make(m.fact_purchases))
+    return m.made[name]
+
+
 def _stats(m):
-    return buy.supplier_product_stats(m.fact_purchases)
+    return _once(m, "stats", buy.supplier_product_stats)
 
 
 def _modes(m):
-    return buy.product_supplier_mode(m.fact_purchases)
+    return _once(m, "modes", buy.product_supplier_mode)
 
 
 def _candidates(m):
@@ -48,6 +55,11 @@ CANDIDATE = ("product_key", "name", "reference", "family", "quantity_on_hand", "
 ITEM = ("product_key", "priority", "supplier_key", "preferred_supplier", "supplier_source", "unit_cost", "minimum_order_quantity", "pack_size", "effective_lead_time_days", "effective_max_wait_days", "minimum_order_amount", "shipping_cost", "free_shipping_threshold", "policy_configured", "policy_source", "supplier_score", "order_up_to_days", "recommended_quantity", "estimated_purchase_value")
 PLAN = ("supplier_key", "supplier", "lines", "units", "estimated_value", "critical_lines", "high_lines", "policy_configured", "minimum_order_amount", "shipping_cost", "free_shipping_threshold", "decision", "amount_to_minimum", "next_review_date", "estimated_total_with_shipping", "supplier_score")
 
+OPTION = (
+    "product_key", "position", "supplier_key", "supplier", "is_modal", "confidence_pct", "purchase_lines", "average_unit_cost", "last_unit_cost", "last_purchase_date", "supplier_score",
+    "is_preferred", "policy_source", "minimum_order_quantity", "pack_size", "lead_time_days", "max_wait_days", "minimum_order_amount", "shipping_cost", "free_shipping_threshold",
+)
+
 
 # Documents made of the typed rows, to be read back.
 
@@ -120,6 +132,8 @@ QUERIES = {
     "replenishment_queue": on(lambda m: _queue(m).select(*CANDIDATE[:1], "recommended_quantity", "unit_cost", "priority", "reason", "review_status")),
     "apply_policies": on(lambda m: _items(m).select(*ITEM)),
     "supplier_purchase_plans": on(lambda m: _plans(m).select(*PLAN)),
+    "supplier_plan_lines": on(lambda m: r.plan_lines(_items(m)).select("supplier_key", "product_key", "name", "reference", "family", "quantity", "unit_cost", "estimated_value", "priority", "coverage_days", "supplier_source")),
+    "supplier_options": on(lambda m: r.supplier_options(_items(m), m.supplier_policies, m.product_policies).select(*OPTION)),
     "replenishment_summary": on(lambda m: r.replenishment_summary(_items(m), _plans(m))),
     "queue_summary_by_priority": on(lambda m: r.queue_by_priority(_items(m))),
     "queue_by_supplier": on(lambda m: r.queue_by_supplier(_items(m))),
@@ -187,6 +201,18 @@ RAW_SQL = {
     "replenishment_candidates": f"WITH {CAND} SELECT {', '.join(CANDIDATE)} FROM cand",
     "replenishment_queue": f"WITH {CAND} SELECT product_key, recommended_quantity, unit_cost, priority, reason, review_status FROM que ORDER BY queue_rank, queue_value DESC NULLS LAST, product_key LIMIT 100",
     "apply_policies": f"WITH {ITEMS} SELECT {', '.join(ITEM)} FROM items",
+    "supplier_plan_lines": f"WITH {ITEMS} SELECT i.supplier_key, i.product_key, q.name, q.reference, q.family, i.recommended_quantity AS quantity, i.unit_cost, i.estimated_purchase_value AS estimated_value, i.priority, q.coverage_days, i.supplier_source FROM items i JOIN que q ON i.product_key = q.product_key WHERE i.recommended_quantity > 0",
+    "supplier_options": f"""WITH {ITEMS},
+      opt AS (SELECT o.product_key, o.choice_rank AS nth, o.supplier_key, o.supplier, o.is_modal, o.line_share_pct AS confidence_pct, o.line_count AS purchase_lines, o.average_cost AS average_unit_cost, o.last_cost AS last_unit_cost, o.last_purchase_date,
+          least(100.0, o.line_share_pct * 0.45 + CASE WHEN o.last_purchase_date IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN o.line_count >= 3 THEN 15 ELSE 0 END + CASE WHEN o.is_modal THEN 15 ELSE 0 END) AS supplier_score, false AS taken
+        FROM choices o JOIN items i ON o.product_key = i.product_key AND o.currency_code = 'COP' WHERE NOT (i.chosen AND i.supplier_key = o.supplier_key)
+        UNION ALL SELECT i.product_key, 0, i.supplier_key, i.preferred_supplier, false, s.line_share_pct, s.line_count, s.average_cost, s.last_cost, s.last_purchase_date, NULL, true FROM items i JOIN stats s ON i.product_key = s.product_key AND i.supplier_key = s.supplier_key AND s.currency_code = 'COP' WHERE i.chosen),
+      pos AS (SELECT *, CAST(row_number() OVER (PARTITION BY product_key ORDER BY nth, supplier_key) AS INT) AS position FROM opt)
+      SELECT o.product_key, position, o.supplier_key, supplier, is_modal, confidence_pct, purchase_lines, average_unit_cost, last_unit_cost, last_purchase_date, supplier_score, taken OR coalesce(p.is_preferred, false) AS is_preferred,
+        CASE WHEN NOT taken THEN CASE WHEN p.supplier_key IS NOT NULL THEN 'producto' WHEN s.supplier_key IS NOT NULL THEN 'proveedor' ELSE 'estandar' END END AS policy_source, CASE WHEN NOT taken THEN p.minimum_order_quantity END AS minimum_order_quantity,
+        CASE WHEN NOT taken THEN CASE WHEN p.supplier_key IS NOT NULL THEN p.pack_size ELSE 1 END END AS pack_size, CASE WHEN NOT taken THEN coalesce(p.lead_time_days, s.default_lead_time_days) END AS lead_time_days, CASE WHEN NOT taken THEN coalesce(p.max_wait_days, s.max_wait_days) END AS max_wait_days,
+        CASE WHEN NOT taken THEN s.minimum_order_amount END AS minimum_order_amount, CASE WHEN NOT taken THEN coalesce(s.shipping_cost, 0) END AS shipping_cost, CASE WHEN NOT taken THEN s.free_shipping_threshold END AS free_shipping_threshold
+      FROM pos o LEFT JOIN supplier_policies s ON o.supplier_key = s.supplier_key LEFT JOIN product_policies p ON o.supplier_key = p.supplier_key AND o.product_key = p.product_key WHERE position <= 3""",
     "supplier_purchase_plans": f"WITH {PLANS} SELECT {', '.join(PLAN)} FROM plans",
     "replenishment_summary": f"WITH {PLANS} SELECT * FROM (SELECT count(*) AS recommended_products, count(*) FILTER (WHERE priority = 'critical') AS critical_products, round(coalesce(sum(estimated_purchase_value), 0), 4) AS estimated_value FROM items), (SELECT count(*) FILTER (WHERE decision IN ('buy_now', 'complete_order')) AS suppliers_to_buy, count(*) FILTER (WHERE decision = 'accumulate') AS suppliers_to_accumulate, count(*) FILTER (WHERE decision = 'review') AS suppliers_to_review FROM plans)",
     "queue_summary_by_priority": f"WITH {ITEMS} SELECT priority, count(*) AS products, count(*) FILTER (WHERE preferred_supplier IS NULL) AS without_supplier, round(sum(estimated_purchase_value), 4) AS estimated_value FROM items GROUP BY 1",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martloom.functions.cols import normalized_text
-from martloom.operators import costing, landing, mart, refresh
+from martloom.operators import costing, landing, lookups, mart, refresh, replenish
 from martloom.operators import purchases as buy
 from martloom.plans import flow_queries
 from martloom.plans.cost_queries import CLASSIFIED, CUTOFF, WHOLE, _layers
@@ -222,7 +222,80 @@ def _lines_in_buckets(m) -> DataFrame:
     return read_buckets(m.spark, path).select("document_id", "line_number", "item_id", "quantity")
 
 
+def _backfilled(m) -> DataFrame:
+    """Items whose family and supplier are missing for some, filled from their payloads."""
+    stored = m.dim_product.select("tenant_id", F.col("external_id").alias("item_id"), "product_key", "family_name", "preferred_supplier_name")
+    blank = lambda c, n: F.when(F.col("product_key") % n != 0, F.col(c)).alias(c)
+    return docs.backfill_attributes(stored.select("tenant_id", "item_id", blank("family_name", 2), blank("preferred_supplier_name", 3)), _items_json(m)).drop("tenant_id")
+
+
+def _names_json(dim: DataFrame, key: str) -> DataFrame:
+    """Names as text, as an object, or left out."""
+    k = F.col(key)
+    name = F.when(k % 3 == 0, F.to_json(F.struct(F.col("name").alias("firstName"), F.lit("Ruiz").alias("lastName")))).when(k % 3 == 1, F.concat(F.lit('"'), F.col("name"), F.lit('"'))).otherwise(F.lit("null"))
+    return dim.select("tenant_id", F.concat(F.lit('{"id": '), _text(key), F.lit(', "name": '), name, F.lit(', "status": "active"}')).alias("payload"))
+
+
+def _warehouses_and_sellers(m) -> DataFrame:
+    of = lambda kind, dim, key: docs.named_only(_names_json(dim, key)).select(F.lit(kind).alias("kind"), "id", "name", "status")
+    return of("warehouse", m.dim_warehouse, "warehouse_key").unionByName(of("seller", m.dim_seller, "seller_key"))
+
+
+def _adjustments(m) -> DataFrame:
+    """Adjustments whose number is an object, text or missing."""
+    n = F.col("document_id").cast("long") % 3
+    number = F.when(n == 0, F.concat(F.lit('"numberTemplate": {"fullNumber": "A-'), F.col("document_id"), F.lit('"},'))).when(n == 1, F.concat(F.lit('"number": '), F.col("document_id"), F.lit(","))).otherwise(F.lit(""))
+    raw = m.adjustment_lines.select("tenant_id", F.concat(F.lit('{"id": "'), "document_id", F.lit('", '), number, F.lit('"date": "'), _text("date"), F.lit('", "warehouse": {"id": "'), _text("warehouse_key"), F.lit('"}, "observations": "o"}')).alias("payload"))
+    return docs.adjustments(raw).drop("tenant_id")
+
+
+def _transfers(m) -> DataFrame:
+    """Transfers that name their warehouses in either way."""
+    odd = F.col("document_id").cast("long") % 2 == 1
+    side = lambda a, b, c: F.concat(F.lit('"'), F.when(odd, a).otherwise(b), F.lit('": {"id": "'), _text(c), F.lit('"}'))
+    raw = m.transfer_lines.select("tenant_id", F.concat(F.lit('{"id": "'), "document_id", F.lit('", "date": "'), _text("date"), F.lit('", '), side("sourceWarehouse", "originWarehouse", "source_key"), F.lit(", "), side("destinationWarehouse", "targetWarehouse", "destination_key"), F.lit("}")).alias("payload"))
+    return docs.transfers(raw).select("document_id", "date", "source_id", "destination_id")
+
+
+def _actions(m) -> DataFrame:
+    """Review actions after edits of every fourth product, of one that isn't there, and with states that aren't known."""
+    p = m.dim_product.filter("product_key % 4 = 0").select("product_key", F.when(F.col("product_key") % 8 == 0, "ordered").when(F.col("product_key") % 12 == 0, "unknown").otherwise("dismissed").alias("status"), F.lit("e").alias("note"), F.col("product_key").alias("seq"))
+    twice = p.unionByName(p.filter("product_key % 20 = 0").withColumn("status", F.lit("reviewed")).withColumn("seq", F.col("seq") + 1)).unionByName(p.withColumn("product_key", -F.col("product_key")))
+    return replenish.upsert_actions(m.review_actions, twice, "seq", m.dim_product.select("product_key"))
+
+
+def _policies(m) -> DataFrame:
+    """Product policies after edits that prefer a product's second supplier."""
+    pairs = m.fact_purchases.filter("not is_deleted and currency_code = 'COP' and product_key % 7 = 0").select("product_key", F.col("provider_key").alias("supplier_key")).distinct()
+    last = pairs.groupBy("product_key").agg(F.max("supplier_key").alias("supplier_key"))
+    like = m.product_policies
+    edits = last.withColumns({"currency_code": F.lit("COP"), "minimum_order_quantity": F.lit(3.0), "pack_size": F.lit(2.0), "lead_time_days": F.lit(5), "max_wait_days": F.lit(None).cast("int"), "is_preferred": F.lit(True)}).select(*like.columns).withColumn("seq", F.col("supplier_key"))
+    return replenish.upsert_product_policies(like, edits, "seq").select("product_key", "supplier_key", "minimum_order_quantity", "is_preferred")
+
+
+def _supplier_policies(m) -> DataFrame:
+    """Supplier policies after edits of every fifth supplier."""
+    like = m.supplier_policies
+    edits = m.dim_contact.filter("contact_key > 10000000 and contact_key % 5 = 0").select(F.col("contact_key").alias("supplier_key"), F.lit("COP").alias("currency_code"), F.lit(77.0).alias("minimum_order_amount"), F.lit(7.0).alias("shipping_cost"),
+                                                                                         F.lit(None).cast("double").alias("free_shipping_threshold"), F.lit(3).alias("default_lead_time_days"), F.lit(4).alias("max_wait_days"), F.col("contact_key").alias("seq"))
+    return replenish.upsert_policies(like, edits, ["supplier_key", "currency_code"], "seq").select("supplier_key", "minimum_order_amount", "default_lead_time_days")
+
+
+def _fresh(m) -> DataFrame:
+    """Runs of tenants as events tell them: the last success of the mart and the last costing of each user."""
+    runs = m.events.select(_text("user_id").alias("tenant_id"), _text("event_id").alias("run_id"), F.when(F.col("event_id") % 4 == 0, "failed").otherwise("succeeded").alias("status"), F.col("ts").alias("finished_at"), "event_type")
+    return lookups.refresh_status(runs.filter("event_type in ('view', 'click')"), runs.filter("event_type not in ('view', 'click')"), datetime(2024, 1, 30, 12))
+
+
 QUERIES = {
+    "backfill_family_supplier": on(_backfilled),
+    "project_warehouse_seller": on(_warehouses_and_sellers),
+    "project_adjustment": on(_adjustments),
+    "project_transfer": on(_transfers),
+    "upsert_actions": on(_actions),
+    "upsert_product_policies": on(_policies),
+    "upsert_supplier_policies": on(_supplier_policies),
+    "refresh_status": on(_fresh),
     "project_item": on(lambda m: _doubles(docs.items(_items_json(m)).select("item_id", "name", "reference", "item_type", "inventory_enabled", "cost", "family_name", "preferred_supplier_name"), "cost")),
     "project_contact": on(lambda m: docs.contacts(_contacts_json(m)).select("contact_id", "name", "contact_type")),
     "project_payment": on(lambda m: _doubles(docs.payments(_payments_json(m)).select("payment_id", "date", "contact_id", "payment_type", "currency_code", "amount"), "amount")),
@@ -262,6 +335,20 @@ def _after_bills(sql: str) -> str:
 
 
 RAW_SQL = {
+    "backfill_family_supplier": "SELECT external_id AS item_id, family_name, preferred_supplier_name FROM dim_product",
+    "project_warehouse_seller": " UNION ALL ".join(f"SELECT '{d}' AS kind, CAST({d}_key AS VARCHAR) AS id, CASE {d}_key % 3 WHEN 0 THEN name || ' Ruiz' WHEN 1 THEN name ELSE CAST({d}_key AS VARCHAR) END AS name, 'active' AS status FROM dim_{d}" for d in ("warehouse", "seller")),
+    "project_adjustment": "SELECT document_id, CASE CAST(document_id AS BIGINT) % 3 WHEN 0 THEN 'A-' || document_id WHEN 1 THEN document_id END AS number, date, CAST(warehouse_key AS VARCHAR) AS warehouse_id, 'o' AS observations FROM adjustment_lines",
+    "project_transfer": "SELECT document_id, date, CAST(source_key AS VARCHAR) AS source_id, CAST(destination_key AS VARCHAR) AS destination_id FROM transfer_lines",
+    "upsert_actions": """WITH e AS (SELECT product_key, CASE WHEN product_key % 20 = 0 THEN 'reviewed' WHEN product_key % 8 = 0 THEN 'ordered' WHEN product_key % 12 = 0 THEN 'unknown' ELSE 'dismissed' END AS status FROM dim_product WHERE product_key % 4 = 0),
+        k AS (SELECT product_key, status, 'e' AS note FROM e WHERE status <> 'unknown') SELECT * FROM k UNION ALL SELECT product_key, status, note FROM review_actions WHERE product_key NOT IN (SELECT product_key FROM k)""",
+    "upsert_product_policies": """WITH e AS (SELECT product_key, max(provider_key) AS supplier_key FROM fact_purchases WHERE NOT is_deleted AND currency_code = 'COP' AND product_key % 7 = 0 GROUP BY 1)
+        SELECT product_key, supplier_key, CAST(3 AS DOUBLE) AS minimum_order_quantity, true AS is_preferred FROM e
+        UNION ALL SELECT p.product_key, p.supplier_key, p.minimum_order_quantity, p.is_preferred AND e.supplier_key IS NULL FROM product_policies p LEFT JOIN e ON p.product_key = e.product_key WHERE e.supplier_key IS NULL OR e.supplier_key <> p.supplier_key""",
+    "upsert_supplier_policies": """SELECT contact_key AS supplier_key, CAST(77 AS DOUBLE) AS minimum_order_amount, CAST(3 AS INT) AS default_lead_time_days FROM dim_contact WHERE contact_key > 10000000 AND contact_key % 5 = 0
+        UNION ALL SELECT supplier_key, minimum_order_amount, default_lead_time_days FROM supplier_policies WHERE supplier_key % 5 <> 0""",
+    "refresh_status": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS t, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'succeeded' END AS status, ts, event_type IN ('view', 'click') AS mart FROM events),
+        m AS (SELECT t, arg_max(id, (ts, id)) AS mart_run_id, max(ts) AS mart_finished_at FROM r WHERE mart AND status = 'succeeded' GROUP BY 1), c AS (SELECT t, arg_max(id, (ts, id)) AS cost_run_id, arg_max(status, (ts, id)) AS cost_status FROM r WHERE NOT mart GROUP BY 1)
+        SELECT m.t AS tenant_id, mart_run_id, mart_finished_at, mart_finished_at < TIMESTAMP '2024-01-30 10:00:00' AS is_stale, cost_run_id, cost_status FROM m LEFT JOIN c ON m.t = c.t""",
     "project_item": "SELECT external_id AS item_id, name, reference, item_type, inventory_enabled, CAST(current_cost AS DOUBLE) AS cost, family_name, preferred_supplier_name FROM dim_product",
     "project_contact": "SELECT CAST(contact_key AS VARCHAR) AS contact_id, name, contact_type FROM dim_contact",
     "project_payment": "SELECT payment_id, date, CAST(contact_key AS VARCHAR) AS contact_id, payment_type, currency_code, CAST(amount AS DOUBLE) AS amount FROM fact_payments",

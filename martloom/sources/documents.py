@@ -146,7 +146,7 @@ def adjustments(raw: DataFrame) -> DataFrame:
 
 def transfers(raw: DataFrame) -> DataFrame:
     first = lambda *keys: F.coalesce(*[text_of(_p(), f"{k}.id") for k in keys])
-    return raw.select("tenant_id", external_id().alias("document_id"), _number().alias("number"), date_of(_p(), "date").alias("date"), first("origin", "source", "sourceWarehouse", "warehouseOrigin").alias("source_id"), first("destination", "target", "destinationWarehouse", "warehouseDestination").alias("destination_id"), text_of(_p(), "observations").alias("observations"))
+    return raw.select("tenant_id", external_id().alias("document_id"), _number().alias("number"), date_of(_p(), "date").alias("date"), first("sourceWarehouse", "originWarehouse").alias("source_id"), first("destinationWarehouse", "targetWarehouse").alias("destination_id"), text_of(_p(), "observations").alias("observations"))
 
 
 def snapshot_rows(raw: DataFrame) -> DataFrame:
