@@ -79,8 +79,9 @@ def postings(sent):
             term, doc, tf = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(term, kind="stable")
             term, doc, tf = term[order], doc[order], tf[order]
-            new = np.flatnonzero(np.append(True, term[1:] != term[:-1])).tolist() if len(term) else []
-            rows += [(block, int(term[a]), z - a, None, small(doc[a:z]), small(tf[a:z]), None) for a, z in zip(new, [*new[1:], len(term)], strict=True)]
+            new = [0, *(np.flatnonzero(np.diff(term)) + 1).tolist()] if len(term) else []
+            ends = [*new[1:], len(term)][: len(new)]
+            rows += [(block, int(term[a]), z - a, None, small(doc[a:z]), small(tf[a:z]), None) for a, z in zip(new, ends, strict=True)]
             types = [LONG, LONG, LONG, LONG, pa.binary(), pa.binary(), pa.list_(LONG)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "term", "n", "words", "docs", "tfs", "ids"])
 
