@@ -151,7 +151,8 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     start = F.col("x.pos") - F.col("_off")
     inside = (start >= 0) & (start + F.col("_len") <= F.col("n_words"))
     same = F.array_join(F.slice(F.split("x.words", " "), F.col("x.at") - F.col("_off") + 1, F.col("_len")), " ") == F.col("_words")
-    met = found.join(index, F.col("x.key") == F.col("_key"), "left")
+    # A document without a place has no key; one of its own keeps all such from meeting in one task, and by chance met entries don't fit it.
+    met = found.join(index, F.coalesce("x.key", F.xxhash64("part")) == F.col("_key"), "left")
     ok = F.coalesce(inside, F.lit(False)) & F.coalesce(F.when(inside, same), F.lit(False))
     span = F.when(ok, F.struct(start.alias("s"), (start + F.col("_len")).alias("e")))
     parts = met.groupBy("part", "doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set(F.when(ok, F.col("_items"))))).alias("items"))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martloom.llm.common import SPACED, Words, materialize, mix, slices, table
@@ -34,6 +34,7 @@ CUT = 5
 CHUNKS = "chunk long, doc_ids array<long>, held binary, counts binary, tokens binary, ranks binary, vocab binary, trained binary"
 SPLIT = "part int, chunk long, words binary, trained binary"
 VOCAB = "part int, words binary, counts binary, chunks array<long>, places array<binary>"
+COUNTED = "part int, c long, n long"
 IDS = "chunk long, part int, ids binary"
 PAIRS = "part int, chunk long, pairs binary, trained binary"
 ANSWERS = "chunk long, part int, found binary, sums array<binary>, pairs binary, counts binary"
@@ -136,9 +137,9 @@ def vocabulary(t: pa.Table) -> pa.Table:
 
 def counts_of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for raw in b.column("counts").to_pylist():
+        for part, raw in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
             c, n = np.unique(unpacked(raw).astype(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), part), INT), pa.array(c), pa.array(n)], ["part", "c", "n"])
 
 
 def discounts(n: list[float]) -> np.ndarray:
@@ -153,17 +154,20 @@ def discounts(n: list[float]) -> np.ndarray:
 
 
 class Unigrams:
-    """Word classes by count: ids, counts and discounted probabilities. classes: (count, words, most words in a part); their number grows as the square root of the tokens at most."""
+    """Word classes by count: ids, counts and discounted probabilities. classes: (count, words); their number grows as the square root of the tokens at most.
 
-    def __init__(self, classes: list[tuple[int, int, int]], parts: int) -> None:
+    Ids have no gaps, so two fit in a key of 64 bits up to 4 billion different words, which
+    is as far as 64-bit hashes tell words apart.
+    """
+
+    def __init__(self, classes: list[tuple[int, int]], parts: int) -> None:
         known = sorted((c for c in classes if c[0] > 0), reverse=True)
-        self.parts = parts
-        self.counts = np.array([c for c, _, _ in known], np.int64)
-        self.offsets = FIRST_ID + np.concatenate([[0], np.cumsum([w * parts for _, _, w in known])]).astype(np.int64)
+        self.counts = np.array([c for c, _ in known], np.int64)
+        self.offsets = FIRST_ID + np.concatenate([[0], np.cumsum([w for _, w in known])]).astype(np.int64)
         self.width = max(1, int(self.offsets[-1]).bit_length())
         if 2 * self.width > 64:
-            raise ValueError(f"ids of {self.width} bits: two don't fit in a key of 64")
-        kinds = np.array([n for _, n, _ in known], np.float64)
+            raise ValueError(f"{self.offsets[-1]} different words: 64-bit hashes don't tell them apart")
+        kinds = np.array([n for _, n in known], np.float64)
         self.tokens = int((self.counts * kinds).sum())
         self.words = int(kinds.sum())
         # Ids are in order of count, so the frequent histories are those below one id, whatever the number of parts; so are BOS and the unknown word.
@@ -191,23 +195,24 @@ class Unigrams:
         out[known] = self.share[self._class(ids[known])]
         return out
 
-    def ids(self, counts: np.ndarray, part: int) -> np.ndarray:
-        """Ids of a part's words."""
+    def ids(self, counts: np.ndarray, starts: dict[int, int]) -> np.ndarray:
+        """Ids of a part's words. starts: of each count, how many words of lower parts have it."""
         out = np.full(len(counts), UNK_ID, np.int64)
         at = np.flatnonzero(counts)
         at = at[np.argsort(counts[at], kind="stable")]
         c = counts[at]
         new = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
         nth = np.arange(len(c)) - np.repeat(new, np.diff(np.append(new, len(c))))
-        out[at] = self.offsets[len(self.counts) - 1 - np.searchsorted(self.counts[::-1], c)] + nth * self.parts + part
+        ahead = np.repeat(np.array([starts.get(k, 0) for k in c[new].tolist()], np.int64), np.diff(np.append(new, len(c))))
+        out[at] = self.offsets[len(self.counts) - 1 - np.searchsorted(self.counts[::-1], c)] + ahead + nth
         return out
 
 
 def word_ids(unigrams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, raw, chunks, places in zip(*[b.column(c).to_pylist() for c in ("part", "counts", "chunks", "places")], strict=True):
-                ids = unigrams.value.ids(unpacked(raw).astype(np.int64), part)
+            for part, raw, chunks, places, starts in zip(*[b.column(c).to_pylist() for c in ("part", "counts", "chunks", "places", "starts")], strict=True):
+                ids = unigrams.value.ids(unpacked(raw).astype(np.int64), {x["c"]: x["start"] for x in starts or ()})
                 yield batch(["chunk", "part", "ids"], [(c, part, packed(ids[unsteps(p).astype(np.int64)])) for c, p in zip(chunks, places, strict=True)], [LONG, INT, BIN])
 
     return run
@@ -376,10 +381,14 @@ def score(docs: DataFrame, held_out=None, chunk_tokens: int = CHUNK_TOKENS, part
     tokens = chunks.select("counts").mapInArrow(chunk_sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // part_tokens))
     vocab = materialize(chunks.select("chunk", "vocab", "trained").mapInArrow(split(parts), SPLIT).groupBy("part").applyInArrow(vocabulary, VOCAB))
-    classes = vocab.select("counts").mapInArrow(counts_of_counts, "c long, n long").groupBy("c").agg(F.sum("n").alias("words"), F.max("n").alias("widest")).collect()
-    unigrams = Unigrams([(r[0], r[1], r[2]) for r in classes], parts)
+    counted = materialize(vocab.select("part", "counts").mapInArrow(counts_of_counts, COUNTED).filter("c > 0"))
+    classes = counted.groupBy("c").agg(F.sum("n").alias("words")).collect()
+    unigrams = Unigrams([(r[0], r[1]) for r in classes], parts)
     sent = spark.sparkContext.broadcast(unigrams)
-    ids = vocab.select("part", "counts", "chunks", "places").mapInArrow(word_ids(sent), IDS)
+    lower = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select("part", "c", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("start"))
+    starts = starts.groupBy("part").agg(F.collect_list(F.struct("c", "start")).alias("starts"))  # a row for each count in the part
+    ids = vocab.select("part", "counts", "chunks", "places").join(starts, "part", "left").mapInArrow(word_ids(sent), IDS)
     texts = chunks.select("chunk", "doc_ids", "held", "counts", "tokens", "ranks")
     pairs = texts.drop("doc_ids").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(pairs_of(sent, parts), PAIRS)
     answered = materialize(pairs.groupBy("part").applyInArrow(answers(sent), ANSWERS))

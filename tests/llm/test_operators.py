@@ -285,3 +285,28 @@ def test_quality(spark):
     assert (got[53].n_words, got[53].n_symbols, got[53].n_dup_lines, got[53].n_repeat_words) == (86, 6, 1, 6)
     assert quality.judge(docs).count() == len(rows)
     assert quality.judge(docs.limit(0)).count() == 0
+
+
+def test_word_ids_have_no_gaps():
+    counts = [np.array([0, 3, 1, 1, 7, 1]), np.array([1, 3, 0, 3, 1]), np.array([0])]
+    classes = Counter(int(c) for part in counts for c in part if c)
+    u = lm.Unigrams(list(classes.items()), 3)
+    starts: dict[int, int] = defaultdict(int)
+    ids = []
+    for part in counts:
+        ids.append(u.ids(part, dict(starts)))
+        for c in part:
+            starts[int(c)] += 1
+    every = np.concatenate(ids)
+    known = every[every >= lm.FIRST_ID]
+    assert sorted(known.tolist()) == list(range(lm.FIRST_ID, lm.FIRST_ID + sum(classes.values())))
+    assert (u.count(every.astype(np.uint64)) == np.concatenate(counts)).all()
+
+
+def test_words_of_a_trillion_tokens_fit():
+    # Zipf: 1e12 / 25 / r occurrences of the r-th word; classes of the rare ones by how many words have a count.
+    top, tokens = 10_000, 1e12
+    classes = [(int(tokens / 25 / r), 1) for r in range(1, top)]
+    rare = [(c, int(tokens / 25 / c - tokens / 25 / (c + 1))) for c in [*range(40, 4000), *np.unique(np.geomspace(4000, tokens / 25 / top, 2000).astype(int)).tolist()]]
+    u = lm.Unigrams(list(Counter({c: n for c, n in rare}).items()) + classes, 250_000)
+    assert 2 * u.width <= 64 and u.words > 5e8
