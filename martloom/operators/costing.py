@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martloom.functions.cols import normalized_text
+from martloom.functions.running import running
 from martloom.sources.sinks import stored
 
 LINE = ["document_type", "document_id", "line_number"]
@@ -134,21 +135,6 @@ def layer_order() -> list[Column]:
 # Allocation.
 
 
-def running(rows: DataFrame, day: str, order: list, values: dict[str, tuple[str, Column, bool]]) -> DataFrame:
-    """Sums or maxima of each product's rows up to every row, or before it if the last of (kind, value, itself) is false: within the day, and over the totals of the days before. A sum of nothing is 0, a maximum null."""
-    fold = {"sum": F.sum, "max": F.max}
-    first = Window.unboundedPreceding
-    within = Window.partitionBy("product_key", day).orderBy(*order)
-    local = rows.select("*", *[fold[kind](value).over(within.rowsBetween(first, 0 if itself else -1)).alias(f"_in_{n}") for n, (kind, value, itself) in values.items()])
-    totals = rows.groupBy(F.col("product_key").alias("_p"), F.col(day).alias("_d")).agg(*[fold[kind](value).alias(f"_of_{n}") for n, (kind, value, _) in values.items()])
-    past = Window.partitionBy("_p").orderBy("_d").rowsBetween(first, -1)
-    before = totals.select("_p", "_d", *[fold[kind](f"_of_{n}").over(past).alias(f"_before_{n}") for n, (kind, _, _) in values.items()])
-    both = local.join(before, F.col("product_key").eqNullSafe(F.col("_p")) & F.col(day).eqNullSafe(F.col("_d")))
-    zero = F.lit(0)
-    join = {"sum": lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), "max": lambda a, b: F.greatest(a, b)}
-    return both.select(*rows.columns, *[join[kind](F.col(f"_in_{n}"), F.col(f"_before_{n}")).alias(n) for n, (kind, _, _) in values.items()])
-
-
 SALES_ORDER = ["_credit", "document_id", "line_number"]
 
 
@@ -160,7 +146,7 @@ def _lines(sales: DataFrame, cutoff: date | None) -> DataFrame:
 def sales_sequence(sales: DataFrame, cutoff: date | None = None) -> DataFrame:
     """Lines with a quantity, from the cutoff, numbered for each product: by date, invoices before credit notes, document and line."""
     rows = _lines(sales, cutoff).withColumn("_credit", F.col("document_type") == "credit_note")
-    return running(rows, "date", SALES_ORDER, {"seq": ("sum", F.lit(1), True)}).withColumn("seq", F.col("seq").cast("int")).drop("_credit")
+    return running(rows, "product_key", "date", SALES_ORDER, {"seq": ("sum", F.lit(1), True)}).withColumn("seq", F.col("seq").cast("int")).drop("_credit")
 
 
 def intervals(sales: DataFrame, layers: DataFrame, cutoff: date | None = None) -> DataFrame:
@@ -196,7 +182,7 @@ def intervals(sales: DataFrame, layers: DataFrame, cutoff: date | None = None) -
 def met(placed: DataFrame, layers: DataFrame, cell: int = CELL) -> DataFrame:
     """Which layer lies where: a row for each stretch that a line takes from a layer (sale), and for each return with units taken before, at the layer of the last of them (ask)."""
     nothing = lambda kind: F.lit(None).cast(kind)
-    first = running(layers.filter("quantity > 0"), "opened_on", layer_order(), {"_hi": ("sum", F.col("quantity"), True), "_worth": ("sum", F.col("quantity") * F.col("unit_cost"), False)})
+    first = running(layers.filter("quantity > 0"), "product_key", "opened_on", layer_order(), {"_hi": ("sum", F.col("quantity"), True), "_worth": ("sum", F.col("quantity") * F.col("unit_cost"), False)})
     worth = F.col("_worth").cast("double").alias("worth")
     of_layer = F.struct((F.col("_hi") - F.col("quantity")).cast(UNITS).alias("lo"), F.col("_hi").cast(UNITS).alias("hi"), "layer_id", "unit_cost", nothing("int").alias("return_seq"), worth, "source", "source_document_id", "source_line_number")
     supply = first.select("product_key", (F.col("_hi") - F.col("quantity")).cast(UNITS).alias("lo"), F.col("_hi").cast(UNITS).alias("hi"), of_layer.alias("layer"))
@@ -235,7 +221,7 @@ def segments(found: DataFrame) -> DataFrame:
 
 def priced(state: DataFrame) -> DataFrame:
     """One round: of the groups of returns without a price those get one whose source has it. The groups with a price are the first of each product."""
-    worth = running(state, "date", ["lo"], {"_worth": ("sum", F.col("q") * F.col("x"), False)})
+    worth = running(state, "product_key", "date", ["lo"], {"_worth": ("sum", F.col("q") * F.col("x"), False)})
     known = worth.filter("x is not null").select(F.col("product_key").alias("_p"), F.col("lo").alias("_lo"), (F.col("supply_value") + F.col("_worth")).alias("_v"), F.col("x").alias("_x"))
     found = state.join(known, (F.col("product_key") == F.col("_p")) & (F.col("source_lo") == F.col("_lo")), "left")
     x = (F.col("_v") + (F.col("used") - F.col("_lo")) * F.col("_x")) / F.col("used")
@@ -257,10 +243,10 @@ def return_costs(placed: DataFrame, found: DataFrame) -> DataFrame:
     chained = rows.filter("source_lo is not null").select(F.col("product_key").alias("_c")).distinct()
     easy = rows.join(chained, F.col("product_key") == F.col("_c"), "left_anti")
     hard = rows.join(chained, F.col("product_key") == F.col("_c"), "left_semi")
-    before = running(hard, "date", ["lo"], {"_used": ("max", F.col("used"), False), "_lo": ("max", F.col("lo"), False)})
+    before = running(hard, "product_key", "date", ["lo"], {"_used": ("max", F.col("used"), False), "_lo": ("max", F.col("lo"), False)})
     same = (F.col("used") == F.col("_used")) | ((F.col("used") == F.col("lo")) & (F.col("_used") == F.col("_lo")))
     before = before.withColumn("_first", F.when(~F.coalesce(same, F.lit(False)), F.col("lo"))).drop("_used", "_lo")
-    grouped = stored(running(before, "date", ["lo"], {"group": ("max", F.col("_first"), True)}).drop("_first"))
+    grouped = stored(running(before, "product_key", "date", ["lo"], {"group": ("max", F.col("_first"), True)}).drop("_first"))
     first = F.min_by(F.struct("date", "used", "supply_value", "source_lo", "x"), "lo").alias("f")
     state = grouped.groupBy("product_key", F.col("group").alias("lo")).agg(F.sum("q").alias("q"), first).select("product_key", "lo", "q", "f.*")
     of = grouped.select(F.col("product_key").alias("_p"), F.col("lo").alias("_lo"), F.col("group").alias("_group"))

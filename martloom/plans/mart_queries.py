@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martloom.functions.cols import normalized_text
+from martloom.functions.cols import json_at, normalized_text, text_of
 from martloom.operators import costing, landing, lookups, mart, refresh, replenish
 from martloom.operators import purchases as buy
 from martloom.plans import flow_queries
@@ -222,6 +222,19 @@ def _lines_in_buckets(m) -> DataFrame:
     return read_buckets(m.spark, path).select("document_id", "line_number", "item_id", "quantity")
 
 
+def _pages(m) -> DataFrame:
+    """Invoices written as pages of an export, some under data, and read back object by object."""
+    path = shared_folder(m.spark, "pages")
+    rows = flow_queries._invoices_json(m).withColumn("page", F.pmod(F.xxhash64("payload"), F.lit(97)))
+    page = F.concat(F.lit("["), F.array_join(F.collect_list("payload"), ", "), F.lit("]"))
+    pages = rows.groupBy("page").agg(page.alias("value"))
+    under = F.concat(F.lit('{"metadata": {"total": 1}, "data": '), F.col("value"), F.lit("}"))
+    for odd in (0, 1):
+        pages.filter(F.col("page") % 2 == odd).select((F.col("value") if odd else under).alias("value")).repartition(97).write.text(f"{path}/{odd}")
+    found = docs.read_payload_pages(m.spark, f"{path}/*", "invoices")
+    return found.select(text_of(F.col("payload"), "id").alias("document_id"), F.size(docs.elements(json_at(F.col("payload"), "items"))).alias("lines"))
+
+
 def _backfilled(m) -> DataFrame:
     """Items whose family and supplier are missing for some, filled from their payloads."""
     stored = m.dim_product.select("tenant_id", F.col("external_id").alias("item_id"), "product_key", "family_name", "preferred_supplier_name")
@@ -288,6 +301,7 @@ def _fresh(m) -> DataFrame:
 
 
 QUERIES = {
+    "read_payload_pages": on(_pages),
     "backfill_family_supplier": on(_backfilled),
     "project_warehouse_seller": on(_warehouses_and_sellers),
     "project_adjustment": on(_adjustments),
@@ -335,6 +349,7 @@ def _after_bills(sql: str) -> str:
 
 
 RAW_SQL = {
+    "read_payload_pages": "SELECT document_id, CAST(count(*) AS INT) AS lines FROM sales_lines WHERE document_type = 'invoice' GROUP BY 1",
     "backfill_family_supplier": "SELECT external_id AS item_id, family_name, preferred_supplier_name FROM dim_product",
     "project_warehouse_seller": " UNION ALL ".join(f"SELECT '{d}' AS kind, CAST({d}_key AS VARCHAR) AS id, CASE {d}_key % 3 WHEN 0 THEN name || ' Ruiz' WHEN 1 THEN name ELSE CAST({d}_key AS VARCHAR) END AS name, 'active' AS status FROM dim_{d}" for d in ("warehouse", "seller")),
     "project_adjustment": "SELECT document_id, CASE CAST(document_id AS BIGINT) % 3 WHEN 0 THEN 'A-' || document_id WHEN 1 THEN document_id END AS number, date, CAST(warehouse_key AS VARCHAR) AS warehouse_id, 'o' AS observations FROM adjustment_lines",
