@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share. Only a Spark of one process may go without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="martloom-")
         spark.conf.set("spark.checkpoint.dir", root)
