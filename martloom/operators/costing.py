@@ -83,6 +83,17 @@ def opening_decision(runs: DataFrame, tenant_id: str, cutoff: date, content_hash
     return "reject" if rows.filter(F.col("status").startswith("succeeded")).limit(1).count() else "import"
 
 
+def opening_decisions(imports: DataFrame, runs: DataFrame) -> DataFrame:
+    """opening_decision of many imports (tenant_id, cutoff, content_hash and what else they have) against one table of runs."""
+    key = ["tenant_id", "cutoff"]
+    of = lambda rows, keys, flag: rows.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn(flag, F.lit(True))
+    on = lambda keys: [F.col(k) == F.col(f"_{k}") for k in keys]
+    same = of(runs.filter("status <> 'failed'"), [*key, "content_hash"], "_same")
+    done = of(runs.filter(F.col("status").startswith("succeeded")), key, "_done")
+    rows = imports.join(same, on([*key, "content_hash"]), "left").select(*imports.columns, "_same").join(done, on(key), "left")
+    return rows.select(*imports.columns, F.when(F.col("_same"), "reuse").when(F.col("_done"), "reject").otherwise("import").alias("decision"))
+
+
 def opening_warehouse(warehouses: DataFrame, tenant_id: str, external_id: str | None = None) -> int:
     """Key of the one active warehouse of a tenant, or of the one with this external id; none or several are an error."""
     rows = warehouses.filter((F.col("tenant_id") == tenant_id) & ~F.col("is_deleted"))

@@ -137,7 +137,6 @@ QUERIES = {
     "replenishment_summary": on(lambda m: r.replenishment_summary(_items(m), _plans(m))),
     "queue_summary_by_priority": on(lambda m: r.queue_by_priority(_items(m))),
     "queue_by_supplier": on(lambda m: r.queue_by_supplier(_items(m))),
-    "export_replenishment": on(lambda m: r.export_rows(_items(m, 100), r.purchase_plans(_items(m, 100), AS_OF))),
     "policies_supplier": on(lambda m: r.policy_overview(_stats(m), m.supplier_policies, m.dim_contact)),
     "policies_product": on(lambda m: r.product_policy_overview(m.product_policies, m.dim_product, m.dim_contact).select("product_key", "supplier_key", "product", "supplier", "minimum_order_quantity", "pack_size", "is_preferred")),
     "norm_invoice_header": on(lambda m: docs.invoice_headers(_invoices_json(m)).select("document_id", "date", "status", "client_id", "client_name", "currency_code")),
