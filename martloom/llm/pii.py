@@ -26,22 +26,34 @@ CONTEXT = {
 }
 KINDS = ["email", "ip", "card", "phone", "iban"]
 NEAR = 40
+#: Matches of a text that are placed together.
+GROUP = 256
 
 
 def spans_of(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places: what lies between matches, from the same search, gives the starts. Places are code points."""
 
-    def placed(both: Column) -> Column:
+    kind = "array<struct<start:int,end:int,s:string>>"
+
+    def wide(both: Column, i: Column) -> Column:
+        return F.length(F.get(both["g"], i)) + F.length(F.get(both["m"], i))
+
+    def group(both: Column, first: Column, at: Column) -> Column:
+        """The places of the matches from first on, as many as a group has; at is where the text before them ends."""
         return F.aggregate(
-            F.sequence(F.lit(0), F.size(both["m"]) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out")),
-            lambda s, i: F.struct(
-                (s["at"] + F.length(F.get(both["g"], i)) + F.length(F.get(both["m"], i))).alias("at"),
-                F.array_append(s["out"], F.struct((s["at"] + F.length(F.get(both["g"], i))).alias("start"), (s["at"] + F.length(F.get(both["g"], i)) + F.length(F.get(both["m"], i))).alias("end"), F.get(both["m"], i).alias("s"))).alias("out"),
-            ),
+            F.sequence(first, F.least(first + GROUP, F.size(both["m"])) - 1),
+            F.struct(at.alias("at"), F.array().cast(kind).alias("out")),
+            lambda s, i: F.struct((s["at"] + wide(both, i)).alias("at"), F.array_append(s["out"], F.struct((s["at"] + F.length(F.get(both["g"], i))).alias("start"), (s["at"] + wide(both, i)).alias("end"), F.get(both["m"], i).alias("s"))).alias("out")),
             lambda s: s["out"],
         )
 
+    def placed(both: Column) -> Column:
+        """In groups, since appending to an array copies it: the groups' widths are added up first."""
+        firsts = F.sequence(F.lit(0), F.size(both["m"]) - 1, F.lit(GROUP))
+        widths = F.transform(firsts, lambda k: F.aggregate(F.sequence(k, F.least(k + GROUP, F.size(both["m"])) - 1), F.lit(0), lambda n, i: n + wide(both, i)))
+        starts = F.aggregate(widths, F.array(F.lit(0)), lambda out, w: F.array_append(out, F.element_at(out, -1) + w))
+        return let(starts, lambda ats: F.flatten(F.transform(firsts, lambda k, nth: group(both, k, F.get(ats, nth)))))
+
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
     return let(found, lambda b: F.when(F.size(b["m"]) == 0, none).otherwise(placed(b)))

@@ -13,6 +13,8 @@ TEXTS = [
     "+1 (377) 555-0271 +12 +49.30.123456 +++123456789",
     "Ünïcode 😀 mail é@x.de me@x.de 😀 10.0.0.1",
     "iban DE89 3704 0044 0532 0130 00, call 030 1234567 now",
+    "né a@b.cd 1.2.3.4 +49 30 123456 " * 30_000,
+    " ".join(f"u{i}@x.org" for i in range(513)),
     "7" * 20000 + " " + "a." * 20000 + " " + "1-" * 9000,
 ]
 
