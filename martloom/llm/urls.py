@@ -1,7 +1,8 @@
-"""URL filter: rules, blocked hosts and blocked words as sorted arrays of 64-bit digests, memory-mapped and probed by binary search.
+"""URL filter: rules, hosts, url prefixes and words as sorted arrays of 64-bit digests, memory-mapped and probed by binary search.
 
-The list is given, not taken from the pages. An entry with a / is a rule, one that starts
-with * a word of a host's labels, any other a host. Every verdict comes from the array.
+The list is given, as a table of any size and as rules, not taken from the pages. An entry
+with a / is a rule (host and start of the path), one that starts with * a word of a host's
+labels, any other a host with its subdomains. Every verdict comes from the array.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from martloom.llm.common import materialize, table
 
 #: (host, path) and verdict; a path starts and ends with /.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Words that block a host which has one of them between the dots and hyphens of its name.
-BLOCKED_WORDS = ("casino", "adult", "porn", "spam", "pills", "bets", "poker", "viagra", "ads")
+#: Before an entry that stands for all hosts with this word between the dots and hyphens of their names.
 WORD_MARK = "*"
 SHARD_ENTRIES = 1 << 20
 
@@ -47,13 +47,13 @@ def keys(host: Column, path: Column, depth: int) -> Column:
     return F.concat(F.flatten(F.transform(suffixes, lambda s: F.concat(F.array(s), F.transform(starts, lambda p: F.concat(s, p))))), words)
 
 
-def entries(spark, rules, blocked_hosts: DataFrame | None, blocked_words) -> DataFrame:
-    """The list as rows (entry, verdict). Of entries given twice a rule's first verdict stays."""
-    own = [(h, v, i) for i, (h, v) in enumerate(rules)] + [(WORD_MARK + w, "block", 0) for w in blocked_words]
-    given = spark.createDataFrame(own, "entry string, verdict string, n long")
-    if blocked_hosts is not None:
-        given = given.unionByName(blocked_hosts.select(F.col("host").alias("entry"), F.lit("block").alias("verdict"), F.lit(0).cast("long").alias("n")))
-    return given.filter(f"entry is not null and entry not in ('', '{WORD_MARK}')").groupBy("entry").agg(F.min_by("verdict", "n").alias("verdict"))
+def entries(spark, rules, listed: DataFrame | None) -> DataFrame:
+    """The list as rows (entry, verdict). Of entries given twice the first of the rules' verdicts stays, else allow before block."""
+    given = spark.createDataFrame([(h, v, i) for i, (h, v) in enumerate(rules)], "entry string, verdict string, n long")
+    if listed is not None:
+        given = given.unionByName(listed.select("entry", "verdict", F.lit(1 << 40).alias("n")))
+    kept = given.filter(f"entry is not null and verdict is not null and entry not in ('', '{WORD_MARK}')")
+    return kept.groupBy("entry").agg(F.min(F.struct("n", "verdict"))["verdict"].alias("verdict"))
 
 
 class DigestArray:
@@ -106,10 +106,11 @@ def found_in(shard_rows) -> object:
     return run
 
 
-def judge(pages: DataFrame, rules, blocked_hosts: DataFrame | None = None, blocked_words=BLOCKED_WORDS, shards: int | None = None) -> DataFrame:
-    """Verdict of each url: the longest rule that fits, else block if its host, a domain above it or a word of its name is listed, else allow.
+def judge(pages: DataFrame, rules, listed: DataFrame | None = None, shards: int | None = None) -> DataFrame:
+    """Verdict of each url: the longest rule that fits, else block if its host, a domain above it or a word of its name is listed to be blocked, else allow.
 
-    The list and the different keys of all urls are dealt by digest; a shard's part of
+    rules are pairs of entry and verdict, listed is a table of them (entry, verdict: allow or
+    block; null ones are left out). The list and the different keys of all urls are dealt by digest; a shard's part of
     the list becomes its digest array. A url's keys go no deeper than the deepest rule, and
     are made distinct before they are dealt, so a hot host costs a shard one probe.
 
@@ -120,14 +121,15 @@ def judge(pages: DataFrame, rules, blocked_hosts: DataFrame | None = None, block
     spark = pages.sparkSession
     p = pages.select("page_id", F.col("url").alias("_url"))
     host, path = parts(F.col("_url"))
-    depth = max((rule.count("/") for rule, _ in rules), default=0)
     p = p.select("page_id", host.alias("host"), path.alias("path"))
-    listed = materialize(entries(spark, rules, blocked_hosts, blocked_words))
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listed.count() // SHARD_ENTRIES))
+    every = materialize(entries(spark, rules, listed))
+    slashes = F.length("entry") - F.length(F.replace("entry", F.lit("/")))
+    depth, n = every.agg(F.coalesce(F.max(slashes), F.lit(0)), F.count("*")).first()
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_ENTRIES))
     whole = F.regexp_extract("path", f"^((?:[^/]*/){{0,{max(depth, 1)}}})", 1)  # as far as rules tell paths apart
     places = p.select("host", whole.alias("dir")).distinct()
     wanted = places.select(F.explode(keys(F.col("host"), F.col("dir"), depth)).alias("key")).distinct()
-    both = listed.select(F.col("entry").alias("key"), "verdict").unionByName(wanted.withColumn("verdict", F.lit(None).cast("string")))
+    both = every.select(F.col("entry").alias("key"), "verdict").unionByName(wanted.withColumn("verdict", F.lit(None).cast("string")))
     dealt = both.repartition(shards, F.xxhash64("key")).sortWithinPartitions(F.col("verdict").isNull())
     hits = materialize(dealt.mapInArrow(found_in(None), "key string, verdict string"))
     is_rule = F.col("key").contains("/")
@@ -135,7 +137,7 @@ def judge(pages: DataFrame, rules, blocked_hosts: DataFrame | None = None, block
         places.select("host", "dir", F.explode(keys(F.col("host"), F.col("dir"), depth)).alias("key"))
         .join(hits, "key")
         .groupBy(F.col("host").alias("_host"), F.col("dir").alias("_dir"))
-        .agg(F.max_by(F.struct("key", "verdict"), F.when(is_rule, F.length("key"))).alias("rule"), F.max(~is_rule).alias("listed"))
+        .agg(F.max_by(F.struct("key", "verdict"), F.when(is_rule, F.length("key"))).alias("rule"), F.max(~is_rule & (F.col("verdict") == "block")).alias("listed"))
     )
     out = p.withColumn("dir", whole).join(judged, (F.col("host") == F.col("_host")) & (F.col("dir") == F.col("_dir")), "left")
     verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("listed"), F.lit("block")), F.lit("allow"))
@@ -154,6 +156,6 @@ q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
 r(h, d, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (SELECT page_id, arg_max(h || d, length(h || d)) AS rule, arg_max(v, length(h || d)) AS v
       FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, d) GROUP BY page_id)
-SELECT q.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '(^|[.-])(casino|adult|porn|spam|pills|bets|poker|viagra|ads)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT q.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM q LEFT JOIN m ON q.page_id = m.page_id
 """

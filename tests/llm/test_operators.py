@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from llm.brute import ALNUM, SPACED, UPPER, contaminated, without_repeats
 from martloom.llm import decontam, lm, neardup, quality, substring, tokens, toxicity, urls
@@ -248,7 +249,8 @@ def test_toxicity_learns_from_document_labels(spark):
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?q", "block"), (2, None, ""), (3, "no scheme", ""), (4, "x://example.com/de/y", ""), (5, "x://example.com/d", ""), (6, "x://notexample.com/de/", ""), (7, "x://a.org/fr/", ""), (8, "x://foo.net", ""), (9, "x://foo.net/", ""), (10, "x://www.casino-win.org/en/", ""), (11, "x://casinox.org/", ""), (1, "http://A.Example.NET/en/x?q", "block"), (12, "x:///p", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
-    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, urls.RULES).collect()}
+    words = spark.createDataFrame([("*casino", "block"), ("*", "block"), ("*never", None)], "entry string, verdict string")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, urls.RULES, words).collect()}
     assert got == {
         (1, "a.example.net", "/en/x", "example.net/en/", "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "example.com", "/de/y", "example.com/de/", "block"), (5, "example.com", "/d", None, "allow"),
         (6, "notexample.com", "/de/", None, "allow"), (7, "a.org", "/fr/", "org/fr/", "allow"), (8, "foo.net", "", None, "allow"), (9, "foo.net", "/", "net/", "block"), (10, "www.casino-win.org", "/en/", None, "block"), (11, "casinox.org", "/", None, "allow"), (12, "", "/p", None, "allow"),
@@ -260,11 +262,30 @@ def test_urls(spark):
 def test_given_hosts_and_long_urls(spark):
     rows = [(1, "x://a.bad.org/p/q?r", "k"), (2, "x://notbad.org/", "k"), (3, "x://h.net" + "/ab" * 5000 + "/", "k"), (4, "x://" + "s." * 300 + "bad.org", "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, key string")
-    hosts = spark.createDataFrame([("bad.org",), (None,), ("",)], "host string")
-    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, (("net/ab/", "allow"), ("org/p/q/", "block")), hosts, ()).collect()}
+    hosts = spark.createDataFrame([("bad.org", "block"), (None, "block"), ("", "block"), ("h.net", "allow")], "entry string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, (("net/ab/", "allow"), ("org/p/q/", "block")), hosts).collect()}
     assert got == {1: (None, "block"), 2: (None, "allow"), 3: ("net/ab/", "allow"), 4: (None, "block")}
 
 
+def test_a_million_entries_and_a_hot_host(spark):
+    n = 1_000_000
+    i = F.col("id")
+    entry = F.when(i % 3 == 0, F.concat(F.lit("h"), i, F.lit(".example"))).when(i % 3 == 1, F.concat(F.lit("big.example/a/"), i, F.lit("/"))).otherwise(F.concat(F.lit("s.example/x/y/"), i, F.lit("/")))
+    listed = spark.range(n).select(entry.alias("entry"), F.when(i % 2 == 0, "block").otherwise("allow").alias("verdict"))
+    hot = [(k, f"http://www.big.example/a/{k * 97}/p{k}") for k in range(4000)]
+    rows = [*hot, *((10_000 + k, f"x://a.h{k}.example/z") for k in range(60)), (20_000, "x://s.example/x/y/2/q"), (20_001, "x://s.example/x/y/"), (20_002, "x://big.example/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, (("example/", "allow"),), listed, shards=3).collect()}
+    assert len(got) == len(rows)
+    for k, _ in hot:
+        e = k * 97
+        want = (f"big.example/a/{e}/", "allow" if e % 2 else "block") if e % 3 == 1 and e < n else ("example/", "allow")
+        assert got[k] == want, k
+    for k in range(60):
+        assert got[10_000 + k] == ("example/", "allow")  # a rule goes before a listed host
+    assert (got[20_000], got[20_001], got[20_002]) == (("s.example/x/y/2/", "block"), ("example/", "allow"), ("example/", "allow"))
+
+
 def test_digest_array_tells_collisions(monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s: 7)
     array = urls.DigestArray(["a", "b"], ["block", "allow"])
