@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -286,6 +287,18 @@ def test_a_million_entries_and_a_hot_host(spark):
     assert (got[20_000], got[20_001], got[20_002]) == (("s.example/x/y/2/", "block"), ("example/", "allow"), ("example/", "allow"))
 
 
+def test_the_query_blocks_words_as_its_sql_does(spark, tmp_path):
+    hosts = ["www.casino-win.org", "CASINO.example.com", "casinox.org", "a-ads.b", "x.pills", "spam-farm.org", "spam.example.net", "poker", "adult_shop.de", "porn..b", "", "ads.\n", "ads\n"]
+    rows = [(100 * i + j, f"http://{h}{path}") for i, h in enumerate(hosts) for j, path in enumerate(("", "/", "/fr/x", "/en/", "?casino.org/fr/", ":80/"))] + [(-1, None), (-2, "casino.org")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in urls.query(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(db.execute(urls.SQL).fetchall())
+    verdicts = {r[0]: r[4] for r in got}
+    assert [verdicts[k] for k in (0, 2, 100, 200, 300, 400, 500, 600, 800, -2)] == ["block", "allow", "block", "allow", "block", "block", "block", "block", "allow", "allow"]
+
+
 def test_digest_array_tells_collisions(monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s: 7)
     array = urls.DigestArray(["a", "b"], ["block", "allow"])
