@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C55
 GRAM = 0xC2B2AE3D27D4EB4F
 SLICE_BYTES = 1 << 19
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -58,6 +60,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside hand their rows to Python in batches of about size bytes; a longer row is a batch of its own."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

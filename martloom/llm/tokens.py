@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martloom.llm.common import materialize, mix, slices, table, text_bytes
+from martloom.llm.common import batches_of, materialize, mix, slices, table, text_bytes
 
 LIMIT = 16
 STEP = 256
@@ -25,6 +25,8 @@ END_ID = 2
 #: Pieces that a worker keeps with their ids (about 120 MB), and bytes of text whose pieces are found at once.
 CACHE = 600_000
 SLICE = 1 << 21
+#: Bytes of rows that a task hands to its worker at once. Both hold a batch or two beside the pieces; Spark's default is 64 MB.
+BATCH = 1 << 23
 # Where the byte-level splitter surely cuts, told by bytes of UTF-8. White space
 # is Unicode's; BLANK holds its ASCII bytes, and a byte that isn't SOLID may begin a longer one.
 # A run of letters, digits or signs ends where another of them begins, or a blank. Signs are
@@ -383,7 +385,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, block_tokens: int = 1 << 2
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_at"))
     ordered = texts.repartitionByRange(n, "doc_id", "_at").sortWithinPartitions("doc_id", "_at").select("doc_id", "text")
-    encoded = materialize(ordered.mapInArrow(to_ids(tokenizer), IDS))
+    with batches_of(spark, BATCH):
+        encoded = materialize(ordered.mapInArrow(to_ids(tokenizer), IDS))
     ids = encoded.filter("file >= 0")
     counts = encoded.filter("file < 0").select("ids").mapInArrow(id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     top = counts.collect()  # a row for each id of the vocabulary at most
@@ -393,7 +396,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, block_tokens: int = 1 << 2
     lengths = code_lengths(total)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     sent = spark.sparkContext.broadcast(lengths)
-    ids.mapInArrow(to_blocks(sent, block_tokens), BLOCK).write.parquet(f"{path}/blocks")
+    with batches_of(spark, BATCH):
+        ids.mapInArrow(to_blocks(sent, block_tokens), BLOCK).write.parquet(f"{path}/blocks")
 
 
 def read(spark, path: str) -> DataFrame:

@@ -126,6 +126,30 @@ def test_token_files(docs):
     assert tokens.write_and_read(docs.unionByName(docs)).count() == 2 * len(DOCS)
 
 
+def test_texts_reach_the_encoder_in_small_batches(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 4000).alias("text"))  # 20 MB a task
+    plain, setting = tokens.to_ids, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+
+    def watched(path):
+        encode = plain(path)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.nbytes < 10 << 20, batch.nbytes
+                    yield batch
+
+            return encode(seen())
+
+        return run
+
+    monkeypatch.setattr(tokens, "to_ids", watched)
+    got = tokens.write_and_read(docs)
+    assert got.agg(F.count("*"), F.min("n_tokens"), F.max("n_tokens"), F.max("start")).first() == (4000, n := got.first().n_tokens, n, 3999 * n)
+    assert spark.conf.get(setting) == before
+
+
 def test_code_is_complete_and_short():
     counts = np.array([0, *[2**i for i in range(25)], 3, 3])
     lengths = tokens.code_lengths(counts, 12)
