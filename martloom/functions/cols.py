@@ -90,6 +90,12 @@ def missing_if_zero(c: Column) -> Column:
     return F.nullif(c, F.lit(0))
 
 
+def is_number_zero(payload: Column, path: str) -> Column:
+    """Whether the value is the number 0. A text is something given, also if it says 0."""
+    raw = F.get_json_object(F.concat(F.lit("["), payload, F.lit("]")), f"$[*].{path}")  # of a list's members texts keep their quotes
+    return F.coalesce(raw.try_cast("double") == 0, F.lit(False))
+
+
 def person_name(payload: Column, path: str) -> Column:
     """A text, else .name, else the parts of a name joined by a space."""
     parts = ("firstName", "secondName", "lastName", "secondLastName", "surname")

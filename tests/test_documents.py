@@ -42,6 +42,12 @@ def test_lines_of_bills(spark):
     assert got == {("1", 1, "5", Decimal("21.75")), ("2", 1, "6", Decimal(9))}
 
 
+def test_payments_of_nothing(spark):
+    given = [{"amount": "0.00"}, {"amount": "0.00", "total": 5}, {"amount": 0, "total": 5}, {"amount": 0.0, "total": "7.5"}, {"amount": 3, "total": 5}, {"total": 5}, {"amount": {"amount": "2.5"}}, {"amount": 0}, {}]
+    got = [r.amount for r in docs.payments(raw(spark, *given)).collect()]
+    assert got == [Decimal(0), Decimal(0), Decimal(5), Decimal("7.5"), Decimal(3), Decimal(5), Decimal("2.5"), None, None]
+
+
 def test_items_and_snapshots(spark):
     item = {"id": 4, "name": "N", "reference": {"value": "R"}, "inventory": {"availableQuantity": 3.125, "unitCost": 41.6}, "customFields": [{"label": "familia ", "value": "Jardinería"}, {"key": "PROVEEDOR", "value": "Norte y Cía"}]}
     r = docs.items(raw(spark, item)).first()
