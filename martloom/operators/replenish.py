@@ -193,9 +193,12 @@ def purchase_plans(items: DataFrame, as_of: date) -> DataFrame:
     place = _place()
     terms = F.struct(label(F.col("preferred_supplier"), "Sin proveedor").alias("supplier"), "currency_code", "minimum_order_amount", "shipping_cost", "free_shipping_threshold", "effective_max_wait_days")
     n = lambda p: F.count(F.when(F.col("priority") == p, 1))
+    # Scores and most values have eight places at most; sums of doubles would round by the order in which they were added.
+    worth = F.round(F.sum(F.col("estimated_purchase_value").cast("decimal(28,8)")), 4).cast("double")
+    score = F.sum(F.coalesce("supplier_score", F.lit(0.0)).cast("decimal(22,8)")).cast("decimal(22,8)") / F.count("*").cast("decimal(10,0)")
     g = rows.groupBy("supplier_key").agg(
-        F.min_by(terms, place).alias("t"), F.count("*").alias("lines"), F.sum("recommended_quantity").alias("units"), F.round(F.sum("estimated_purchase_value"), 4).alias("estimated_value"), n("critical").alias("critical_lines"), n("high").alias("high_lines"),
-        F.max("policy_configured").alias("policy_configured"), F.round(F.sum(F.coalesce("supplier_score", F.lit(0.0))) / F.count("*"), 6).alias("supplier_score"))
+        F.min_by(terms, place).alias("t"), F.count("*").alias("lines"), F.sum("recommended_quantity").alias("units"), worth.alias("estimated_value"), n("critical").alias("critical_lines"), n("high").alias("high_lines"),
+        F.max("policy_configured").alias("policy_configured"), F.round(score, 6).cast("double").alias("supplier_score"))
     g = g.select("supplier_key", "t.*", *[c for c in g.columns if c not in ("supplier_key", "t")])
     minimum, value = F.coalesce("minimum_order_amount", F.lit(0.0)), F.col("estimated_value")
     rules = [

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martloom.functions.cols import normalized_text
-from martloom.operators import costing, landing, lookups, mart, refresh
+from martloom.operators import costing, landing, lookups, mart, refresh, replenish
 from martloom.sources import documents as docs
 from martloom.sources.buckets import merge_buckets, read_buckets, write_buckets
 from martloom.sources.sinks import read_runs
@@ -159,3 +159,16 @@ def test_refresh_ends_in_costed_facts_and_is_seen_whole(spark, tmp_path):
     assert {(k, c, s) for k, c, s, _ in sales("b")} == {("credit_note", "None", None), ("invoice", "None", None)}
     status = lookups.refresh_status(read_runs(spark, f"{path}/runs").filter("kind = 'mart'"), read_runs(spark, f"{path}/runs").filter("kind = 'cost'"), datetime(2030, 1, 5, 10))
     assert {(r.tenant_id, r.mart_run_id, r.is_stale, r.cost_status) for r in status.collect()} == {("a", "a3", False, "succeeded"), ("b", "b2", False, "skipped_no_opening_basis")}
+
+
+def test_mean_score_of_a_plan_does_not_depend_on_order(spark):
+    given = [46.4285713, 44.99999995, 44.99999995, 44.09090905, 45.625, 29.99999995, 31.4285713]  # their mean is 41.0818645
+    orders = [[given[(k * step + start) % 7] for k in range(7)] for step in range(1, 7) for start in range(7)]
+    rows = [(s, s * 10 + n, x) for s, order in enumerate(orders) for n, x in enumerate(order)]
+    items = spark.createDataFrame(rows, "supplier_key long, product_key long, supplier_score double").coalesce(1).withColumns({
+        "recommended_quantity": F.lit(1.0), "estimated_purchase_value": F.lit(1.0), "priority": F.lit("high"), "queue_rank": F.lit(2), "queue_value": F.lit(1.0), "policy_configured": F.lit(True), "preferred_supplier": F.lit("s"),
+        "currency_code": F.lit("COP"), "minimum_order_amount": F.lit(0.0), "shipping_cost": F.lit(0.0), "free_shipping_threshold": F.lit(0.0), "effective_max_wait_days": F.lit(7)})
+    got = {r.supplier_score for r in replenish.purchase_plans(items, DAY).collect()}
+    assert got == {41.081865}
+    none = items.limit(1).withColumn("supplier_score", F.lit(None).cast("double"))
+    assert replenish.purchase_plans(none, DAY).first().supplier_score == 0
