@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date, datetime
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,16 +226,40 @@ def _lines_in_buckets(m) -> DataFrame:
     return read_buckets(m.spark, path).select("document_id", "line_number", "item_id", "quantity")
 
 
+#: Documents of a page of an export.
+PAGE = 20_000
+
+
+def _as_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's payloads as the lines of pages, each a list or, every other, a list under data."""
+    n, held = 0, pa.array([], pa.string())
+
+    def lines(payloads: pa.Array, last: bool) -> pa.RecordBatch:
+        nonlocal n
+        at = np.arange(n, n + len(payloads))
+        odd, ends = (at // PAGE + part) % 2 == 1, at % PAGE == PAGE - 1
+        if last:
+            ends[-1:] = True
+        n += len(payloads)
+        begin = np.where(odd, '{"metadata": {"total": 1}, "data": [', "[")
+        return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(np.where(at % PAGE == 0, begin, ", ")), payloads, pa.array(np.where(ends, np.where(odd, "]}", "]"), "")), "")], ["value"])
+
+    for batch in batches:
+        if batch.num_rows:
+            part = batch.column("part")[0].as_py()
+            payloads = pa.concat_arrays([held, batch.column("payload").cast(pa.string())])
+            held = payloads[-1:]
+            yield lines(payloads[:-1], False)
+    if len(held):
+        yield lines(held, True)
+
+
 def _pages(m) -> DataFrame:
-    """Invoices written as pages of an export, some under data, and read back object by object."""
+    """Invoices written as pages of an export, some under data, and read back object by object. Pages are compressed files, so none is a row."""
     path = shared_folder(m.spark, "pages")
-    rows = flow_queries._invoices_json(m).withColumn("page", F.pmod(F.xxhash64("payload"), F.lit(97)))
-    page = F.concat(F.lit("["), F.array_join(F.collect_list("payload"), ", "), F.lit("]"))
-    pages = rows.groupBy("page").agg(page.alias("value"))
-    under = F.concat(F.lit('{"metadata": {"total": 1}, "data": '), F.col("value"), F.lit("}"))
-    for odd in (0, 1):
-        pages.filter(F.col("page") % 2 == odd).select((F.col("value") if odd else under).alias("value")).repartition(97).write.text(f"{path}/{odd}")
-    found = docs.read_payload_pages(m.spark, f"{path}/*", "invoices")
+    rows = flow_queries._invoices_json(m).select("payload", F.spark_partition_id().alias("part"))
+    rows.mapInArrow(_as_pages, "value string").write.option("maxRecordsPerFile", PAGE).option("compression", "gzip").text(path)
+    found = docs.read_payload_pages(m.spark, path, "invoices")
     return found.select(text_of(F.col("payload"), "id").alias("document_id"), F.size(docs.elements(json_at(F.col("payload"), "items"))).alias("lines"))
 
 
