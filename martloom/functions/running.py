@@ -14,12 +14,14 @@ def running(rows: DataFrame, key: str, part: str, order: list, values: dict[str,
     """
     fold = {"sum": F.sum, "max": F.max}
     first = Window.unboundedPreceding
-    within = Window.partitionBy(key, part).orderBy(*order)
-    local = rows.select("*", *[fold[kind](value).over(within.rowsBetween(first, 0 if itself else -1)).alias(f"_in_{n}") for n, (kind, value, itself) in values.items()])
-    totals = rows.groupBy(F.col(key).alias("_p"), F.col(part).alias("_d")).agg(*[fold[kind](value).alias(f"_of_{n}") for n, (kind, value, _) in values.items()])
-    past = Window.partitionBy("_p").orderBy("_d").rowsBetween(first, -1)
-    before = totals.select("_p", "_d", *[fold[kind](f"_of_{n}").over(past).alias(f"_before_{n}") for n, (kind, _, _) in values.items()])
-    both = local.join(before, F.col(key).eqNullSafe(F.col("_p")) & F.col(part).eqNullSafe(F.col("_d")))
+    # One column for key and part, never null: the join finds the rows dealt and sorted as the window left them.
+    rows_of = rows.withColumn("_k", F.struct(F.col(key).alias("p"), F.col(part).alias("d")))
+    within = Window.partitionBy("_k").orderBy(*order)
+    local = rows_of.select("*", *[fold[kind](value).over(within.rowsBetween(first, 0 if itself else -1)).alias(f"_in_{n}") for n, (kind, value, itself) in values.items()])
+    totals = rows_of.groupBy(F.col("_k").alias("_of")).agg(*[fold[kind](value).alias(f"_of_{n}") for n, (kind, value, _) in values.items()])
+    past = Window.partitionBy("_of.p").orderBy("_of.d").rowsBetween(first, -1)
+    before = totals.select("_of", *[fold[kind](f"_of_{n}").over(past).alias(f"_before_{n}") for n, (kind, _, _) in values.items()])
+    both = local.join(before, F.col("_k") == F.col("_of"))
     zero = F.lit(0)
     join = {"sum": lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), "max": lambda a, b: F.greatest(a, b)}
     return both.select(*rows.columns, *[join[kind](F.col(f"_in_{n}"), F.col(f"_before_{n}")).alias(n) for n, (kind, _, _) in values.items()])

@@ -169,16 +169,18 @@ def intervals(sales: DataFrame, layers: DataFrame, cutoff: date | None = None) -
     zero, q = F.lit(0).cast(UNITS), F.col("quantity").cast(UNITS)
     taken, given = F.greatest(q, zero), F.greatest(-q, zero)
     first = Window.unboundedPreceding
-    day = Window.partitionBy("product_key", "date").orderBy(*SALES_ORDER)
+    day = Window.partitionBy("_k").orderBy(*SALES_ORDER)
     upto = day.rowsBetween(first, 0)
-    local = _lines(sales, cutoff).withColumn("_credit", F.col("document_type") == "credit_note")
+    # Supply joins the days; lines are dealt once, by product and day in one column that is never null.
+    local = _lines(sales, cutoff).withColumn("_credit", F.col("document_type") == "credit_note").withColumn("_k", F.struct(F.col("product_key").alias("p"), F.col("date").alias("d")))
     local = local.select("*", F.sum(q).over(upto).alias("_net"), F.sum(taken).over(upto).alias("_asked"), F.sum(given).over(upto).alias("_back"), F.row_number().over(day).alias("_nth"))
     local = local.select("*", F.max("_net").over(upto).alias("_top"), F.max("_net").over(day.rowsBetween(first, -1)).alias("_top_before"))
     past = Window.partitionBy("_p").orderBy("_d").rowsBetween(first, -1)
-    days = local.groupBy(F.col("product_key").alias("_p"), F.col("date").alias("_d")).agg(F.sum(q).alias("_n"), F.sum(taken).alias("_a"), F.sum(given).alias("_b"), F.max("_net").alias("_t"), F.count("*").alias("_rows"))
-    days = days.select("_p", "_d", "_t", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in ("_n", "_a", "_b", "_rows")])
-    days = days.withColumn("_high", F.max(F.col("_n") + F.col("_t")).over(past)).drop("_t")
-    rows = local.join(days, F.col("product_key").eqNullSafe(F.col("_p")) & F.col("date").eqNullSafe(F.col("_d"))).join(supply, F.col("product_key") == F.col("_s"), "left")
+    days = local.groupBy(F.col("_k").alias("_of")).agg(F.sum(q).alias("_n"), F.sum(taken).alias("_a"), F.sum(given).alias("_b"), F.max("_net").alias("_t"), F.count("*").alias("_rows"))
+    days = days.select("_of", F.col("_of.p").alias("_p"), F.col("_of.d").alias("_d"), "_n", "_a", "_b", "_t", "_rows")
+    days = days.select("_of", "_p", "_d", "_t", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in ("_n", "_a", "_b", "_rows")])
+    days = days.withColumn("_high", F.max(F.col("_n") + F.col("_t")).over(past)).join(supply, F.col("_p") == F.col("_s"), "left").drop("_t", "_p", "_d", "_s")
+    rows = local.join(days, F.col("_k") == F.col("_of"))
     lost = lambda high: F.greatest(high - F.col("supply"), zero)
     asked, back = F.col("_a") + F.col("_asked"), F.col("_b") + F.col("_back")
     used = asked - lost(F.greatest(F.col("_high"), F.col("_n") + F.col("_top")))
@@ -203,8 +205,11 @@ def met(placed: DataFrame, layers: DataFrame, cell: int = CELL) -> DataFrame:
     takes = placed.filter("quantity > 0 and hi > lo and supply is not null").select("product_key", "lo", "hi", F.struct("hi", "seq", *LINE).alias("sale"))
     asks = back.filter("used > 0").select("product_key", F.col("used").alias("lo"), F.col("used").alias("hi"), F.col("seq").alias("ask"))
     spans = supply.unionByName(back.select("product_key", "lo", "hi", of_return.alias("layer"))).unionByName(takes, True).unionByName(asks, True)
-    parts = F.ceil(F.count("*") / cell)
-    sizes = spans.groupBy(F.col("product_key").alias("_p")).agg(parts.alias("_parts"), (F.ceil(F.max("hi") / parts * 10000) / 10000).cast(UNITS).alias("_width")).filter("_parts > 1").drop("_parts")
+    ends = back.select("product_key", "hi").unionByName(takes.select("product_key", "hi")).unionByName(asks.select("product_key", "hi")).groupBy("product_key").agg(F.count("*").alias("n"), F.max("hi").alias("hi"))
+    ends = ends.unionByName(layers.filter("quantity > 0").groupBy("product_key").agg(F.count("*").alias("n"), F.sum("quantity").cast(UNITS).alias("hi")))
+    parts = F.ceil(F.sum("n") / cell)
+    sizes = ends.groupBy(F.col("product_key").alias("_p")).agg(parts.alias("_parts"), (F.ceil(F.max("hi") / parts * 10000) / 10000).cast(UNITS).alias("_width")).filter("_parts > 1").drop("_parts")
+    sizes = stored(sizes)  # few: spans needn't be dealt to meet them
     spans = spans.join(sizes, F.col("product_key") == F.col("_p"), "left").drop("_p")
     least = F.lit("0.0001").cast(UNITS)
     of_cell = lambda x: F.floor(x / F.col("_width")).cast("long")
@@ -277,12 +282,13 @@ def fifo_allocate(sales: DataFrame, layers: DataFrame, cutoff: date | None = Non
     add up to its cost rounded to cents. A line without a product is unavailable as a whole.
     """
     layers = stored(layers)
-    placed = stored(intervals(sales, layers, cutoff))
+    placed = stored(intervals(sales.select(*LINE, "date", "product_key", "quantity"), layers, cutoff))
     found = stored(met(placed, layers, cell))
     cut = segments(found)
     costs = return_costs(placed, found)
     of_layer = costs.select(F.col("product_key").alias("_p"), F.col("seq").alias("_s"), F.col("unit_cost").alias("_cost"))
-    used = cut.join(of_layer, (F.col("product_key") == F.col("_p")) & (F.col("return_seq") == F.col("_s")), "left").withColumn("unit_cost", F.coalesce("unit_cost", "_cost"))
+    of_returns = cut.filter("return_seq is not null").join(of_layer, (F.col("product_key") == F.col("_p")) & (F.col("return_seq") == F.col("_s")), "left").withColumn("unit_cost", F.col("_cost")).drop("_p", "_s", "_cost")
+    used = cut.filter("return_seq is null").unionByName(of_returns)
     line = Window.partitionBy(*LINE)
     order = line.orderBy("pos")
     exact = (F.col("taken") * F.col("unit_cost")).cast(COST)
@@ -294,7 +300,7 @@ def fifo_allocate(sales: DataFrame, layers: DataFrame, cutoff: date | None = Non
     back = placed.filter("quantity < 0").join(costs.select(F.col("product_key").alias("_p"), F.col("seq").alias("_s"), "unit_cost"), (F.col("product_key") == F.col("_p")) & (F.col("seq") == F.col("_s")))
     back_cost = (F.col("quantity") * F.col("unit_cost")).cast(COST)
     back = back.select(*shared, F.lit(0).alias("sequence"), F.col("quantity").cast(UNITS).alias("quantity_allocated"), "unit_cost", F.round(back_cost, 2).cast(COST).alias("cost_amount"), F.lit("credit_note_return").alias("allocation_type"), F.lit("estimated").alias("confidence"), F.concat(F.lit("R"), F.col("document_id"), F.lit("/"), F.col("line_number").cast("string")).alias("layer_id"), *nothing, back_cost.alias("exact_cost"))
-    n_used = used.groupBy(*[F.col(c).alias(f"_{c}") for c in LINE]).agg(F.count("*").cast("int").alias("_segments"))
+    n_used = cut.groupBy(*[F.col(c).alias(f"_{c}") for c in LINE]).agg(F.count("*").cast("int").alias("_segments"))
     short = placed.withColumn("_missing", F.when(F.col("quantity") > 0, F.col("quantity") - F.coalesce(F.when(F.col("supply").isNotNull(), F.col("hi") - F.col("lo")), F.lit(0))).when(F.col("supply").isNull(), F.col("quantity"))).filter("_missing <> 0")
     short = short.join(n_used, (F.col("document_type") == F.col("_document_type")) & (F.col("document_id") == F.col("_document_id")) & (F.col("line_number") == F.col("_line_number")), "left")
     missing = short.select(*shared, F.coalesce("_segments", F.lit(0)).alias("sequence"), F.col("_missing").cast(UNITS).alias("quantity_allocated"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from martloom.operators import costing as c
 from martloom.operators import sales as s
-from martloom.plans.fixtures import with_fixtures
+from martloom.plans.fixtures import keep, with_fixtures
 from martloom.plans.reports import YEAR, on
 from martloom.sources.sinks import stored
 
@@ -29,7 +29,8 @@ def _lines(m, invoices: bool):
 
 
 def _allocated(m, invoices: bool = False):
-    return stored(c.fifo_allocate(stored(_lines(m, invoices)), _layers(m), CUTOFF))
+    keep(m, "sales_lines")
+    return stored(c.fifo_allocate(_lines(m, invoices), _layers(m), CUTOFF))
 
 
 def _costs(m, invoices: bool = False):
@@ -49,13 +50,17 @@ def _fifo(invoices: bool, suffix: str) -> dict:
         rows = _doubles(_allocated(m, invoices).select(*kind, "document_id", "line_number", "product_key", "sequence", *numbers, "allocation_type", "confidence", "layer_id"), *numbers)
         return rows if invoices else rows.withColumns({n: F.round(n, 6) for n in ("unit_cost", "cost_amount")})
 
+    def by_supplier(m):
+        keep(m, "sales_lines", "fact_purchases")
+        return s.sales_cost_supplier(m, _allocated(m, invoices), YEAR)
+
     named = {
         "fifo_allocate": on(allocated),
         "line_cost_status": on(lambda m: _doubles(_costs(m, invoices).select(*SHOWN), "costed_quantity", "uncosted_quantity", "cogs")),
         "layer_balances": on(lambda m: _doubles(c.layer_balances(_layers(m), _allocated(m, invoices)), "quantity", "taken", "remaining")),
         "cost_run_summary": on(lambda m: c.run_summary(_costs(m, invoices))),
         "apply_costs_to_facts": on(lambda m: c.cost_status_summary(c.apply_costs(_lines(m, invoices), _costs(m, invoices), CUTOFF))),
-        "sales_cost_supplier": on(lambda m: s.sales_cost_supplier(m, _allocated(m, invoices), YEAR)),
+        "sales_cost_supplier": on(by_supplier),
     }
     return {f"{k}{suffix}": v for k, v in named.items()}
 

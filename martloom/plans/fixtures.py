@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from martloom.sources.sinks import stored
+
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 ALL_COLUMNS = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
 
@@ -102,6 +104,7 @@ class Marts:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.made: dict[str, DataFrame] = {}
+        self.kept: set[str] = set()
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.made:
@@ -118,6 +121,14 @@ class Marts:
         return self.made[name]
 
 
+def keep(m: Marts, *names: str) -> None:
+    """Writes tables once, as a source has them, for queries that read them again and again; those made of them since read what was written."""
+    for name in names:
+        if name not in m.kept:
+            m.made[name] = stored(getattr(m, name))
+            m.kept.add(name)
+
+
 def with_fixtures(query: str) -> str:
     """The query with the mart tables that it names, and theirs, before it."""
     wanted: list[str] = []
